@@ -1,13 +1,47 @@
-"""Training-data pipeline over ``documents``; see STAGES."""
+"""Training-data pipeline over ``documents``: toxic documents go, lines that recur across documents go, one document
+of each group of near-duplicates stays, sources are mixed to target weights, and the rest is packed into sequences.
+
+A stage takes (spark, docs, sf_dir), docs being what its predecessor kept, and returns a DataFrame; all but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quoteloom.llm import linededup, minhash, mixing, packing, toxicity
 from quoteloom.llm.common import save, table
 
-STAGES: list = []
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.drop_recurring_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near_duplicates(docs, width=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs, mixing.quality_weights(table(spark, sf_dir, "labels")))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_recurring_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Learned weights, MinHash components and BPE ids have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import linededup, mixing, packing, toxicity
 from .common import table
 from .minhash import near_duplicates
 
@@ -12,6 +14,26 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
 
-ORACLE: dict[str, str] = {}
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.quality_weights(table(spark, sf_dir, "labels")))
+
+
+def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4")
+    score = toxicity.scorer(docs, table(spark, sf_dir, "labels"), learn_from=fold != 2)
+    scored = docs.select("doc_id", (fold == 2).alias("held_out"), score("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op5_line_dedup, op6_source_mixing, op7_toxicity_ftrl, op10_best_fit_packing)}
+
+ORACLE: dict[str, str] = {"op5_line_dedup": linededup.ORACLE, "op6_source_mixing": mixing.ORACLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, toxicity
+from . import linededup, lm, mixing, packing, topk, toxicity
 from .common import table
 from .minhash import near_duplicates
 
@@ -14,6 +14,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 10 = 0")
+    return lm.scores(table(spark, sf_dir, "documents"), training=~held_out).withColumn("held_out", held_out)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
@@ -30,10 +35,14 @@ def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op8_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op5_line_dedup, op6_source_mixing, op7_toxicity_ftrl, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_lattice_lm, op5_line_dedup, op6_source_mixing, op7_toxicity_ftrl, op8_threshold_top_k, op10_best_fit_packing)}
 
-ORACLE: dict[str, str] = {"op5_line_dedup": linededup.ORACLE, "op6_source_mixing": mixing.ORACLE}
+ORACLE: dict[str, str] = {"op5_line_dedup": linededup.ORACLE, "op6_source_mixing": mixing.ORACLE, "op8_threshold_top_k": topk.ORACLE}

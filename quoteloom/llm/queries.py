@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, lm, mixing, packing, topk, toxicity
+from . import linededup, lm, media, mixing, packing, tokencount, topk, toxicity, warc
 from .common import table
 from .minhash import near_duplicates
 
@@ -14,11 +14,19 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 10 = 0")
     return lm.scores(table(spark, sf_dir, "documents"), training=~held_out).withColumn("held_out", held_out)
 
 
+def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
@@ -39,10 +47,35 @@ def op8_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0)
 
 
+def op9_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.read_media(media.write_media(table(spark, sf_dir, "documents")))
+    feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumbnail_hash")
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_lattice_lm, op5_line_dedup, op6_source_mixing, op7_toxicity_ftrl, op8_threshold_top_k, op10_best_fit_packing)}
-
-ORACLE: dict[str, str] = {"op5_line_dedup": linededup.ORACLE, "op6_source_mixing": mixing.ORACLE, "op8_threshold_top_k": topk.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_trie_token_counts,
+        op3_lattice_lm,
+        op4_warc_salvage,
+        op5_line_dedup,
+        op6_source_mixing,
+        op7_toxicity_ftrl,
+        op8_threshold_top_k,
+        op9_jpeg_media,
+        op10_best_fit_packing,
+    )
+}
+
+ORACLE: dict[str, str] = {
+    "op4_warc_salvage": warc.ORACLE,
+    "op5_line_dedup": linededup.ORACLE,
+    "op6_source_mixing": mixing.ORACLE,
+    "op8_threshold_top_k": topk.ORACLE,
+}

@@ -1,0 +1,154 @@
+"""Price CSV files end to end, in batch and as a stream."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quoteloom.adapters import as_of
+from quoteloom.functions.validation import BAD_NUMBER, MISSING
+from quoteloom.operators.prices import KEY, stock_universe, write_prices
+from quoteloom.plans.imports import import_prices
+from quoteloom.schemas import PRICES
+from quoteloom.sources.price_csv import EMPTY, RAGGED, TOO_LARGE, WRONG_TYPE, list_files, read_price_csv
+from quoteloom.streaming.jobs import request_rate_audit, start_table, stream_price_imports
+
+HEAD = "tradeDate,open,high,low,close,adjustedClose,volume\n"
+DAY = "2026-01-02,182.50,185.00,181.25,184.40,184.40,1450000\n"
+FILES = {
+    "template.csv": HEAD + DAY + "2026-01-03,184.40,186.00,183.90,185.55,185.55,1582300\n",
+    "alias.csv": "﻿Trade Date , Opening-Price,High Price,low,CLOSING_PRICE,Adj Close,trade volume\n2026-01-02,1,2,0.5,1.5,1.4,10\n\n2026-01-03,2,3,1,2.5,2.4,20\n",
+    "thousands.csv": HEAD + '2026-01-02,"1,182.50",1200,1100,1150,,"1,450,000"\n',
+    "fallback.csv": "tradeDate,date,open,high,low,close,volume\n2026-01-02,2020-01-01,1,1,1,1,1\n,2026-01-03,1,1,1,1,1\n",
+    "dup_header.csv": "tradeDate,close,open,high,low,Close,volume\n2026-01-02,9,1,1,1,5,1\n",
+    "blank_required.csv": HEAD + DAY + "2026-01-03,1,1,1,1,1,1\n2026-01-04,,1,1,1,1,1\n",
+    "comma_only.csv": HEAD + '2026-01-02,",",1,1,1,1,1\n',
+    "bad_x.csv": HEAD + "2026-01-02,12x,1,1,1,1,1\n",
+    "bad_d.csv": HEAD + "2026-01-02,1d,1,1,1,1,1\n",
+    "bad_nan.csv": HEAD + "2026-01-02,NaN,1,1,1,1,1\n",
+    "hex_exp.csv": HEAD + "2026-01-02,0x1F,1e3,1,1,1,1\n",
+    "bad_date.csv": HEAD + "2026-02-30,1,1,1,1,1,1\n",
+    "bad_soon.csv": HEAD + DAY + "\nsoon,1,1,1,1,1,1\n",
+    "negative.csv": HEAD + "2026-01-02,1,1,-5,1,1,1\n",
+    "empty.csv": HEAD,
+    "ragged.csv": HEAD + "2026-01-02,1,1\n",
+    "dup_key.csv": HEAD + "2026-01-02,1,1,1,1,1,1\n2026-01-02,2,2,2,2,,2\n",
+    "same_day.csv": HEAD + "2026-01-02T09:00:00Z,1,1,1,1,1,1\n2026-01-02T10:00:00Z,2,2,2,2,2,2\n",
+    "prices.txt": HEAD + DAY,
+}
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    path = tmp_path_factory.mktemp("prices")
+    for name, text in FILES.items():
+        (path / name).write_text(text)
+    (path / "large.csv").write_text(HEAD + DAY * 120000)
+    return path
+
+
+def uploads(spark, folder, names=None):
+    files = list_files(spark, f"file://{folder}").orderBy("name")
+    files = files.where(F.col("name").isin(names)) if names else files
+    row = F.row_number().over(Window.orderBy("name"))
+    base = F.regexp_replace("name", r"\..*", "")
+    return files.select(
+        F.col("name").alias("upload_id"), row.alias("upload_seq"), "path", "length", F.col("name").alias("fileName"),
+        F.concat(F.lit(" s-"), base).alias("symbol"), F.lit(" Some Company ").alias("companyName"), F.lit(None).cast("string").alias("notes"), F.lit("u1").alias("userId"),
+    )
+
+
+def none(spark):
+    return spark.createDataFrame([], PRICES)
+
+
+@pytest.fixture(scope="module")
+def done(spark, folder):
+    found = import_prices(spark, none(spark), uploads(spark, folder), as_of())
+    return found.prices.collect(), {r.upload_id: r for r in found.summary.collect()}, {r.file.split("/")[-1]: r.error for r in found.rejects.collect()}
+
+
+def test_good_files(done):
+    rows, summary, _ = done
+    of = lambda name: sorted((r for r in rows if r.symbol == f"S-{name.upper()}"), key=lambda r: r.tradeDate)
+    assert [(r.open, r.volume) for r in of("template")] == [(182.5, 1450000.0), (184.4, 1582300.0)]
+    assert [(r.open, r.adjustedClose, r.volume) for r in of("alias")] == [(1.0, 1.4, 10.0), (2.0, 2.4, 20.0)]
+    assert [(r.open, r.adjustedClose, r.volume) for r in of("thousands")] == [(1182.5, None, 1450000.0)]
+    assert [r.tradeDate for r in of("fallback")] == [dt.datetime(2026, 1, 2), dt.datetime(2026, 1, 3)]
+    assert [r.close for r in of("dup_header")] == [5.0]
+    assert [r.open for r in of("comma_only")] == [None]
+    assert [(r.open, r.high) for r in of("hex_exp")] == [(31.0, 1000.0)]
+    assert [r.low for r in of("negative")] == [-5.0]
+    assert [(r.close, r.adjustedClose) for r in of("dup_key")] == [(2.0, None)]
+    assert len(of("same_day")) == 2
+    first = of("template")[0]
+    assert (first.source, first.notes, first.companyName, first.createdBy) == ("csv-upload:template.csv", "", "Some Company", "u1")
+    assert (summary["dup_key.csv"].matched, summary["dup_key.csv"].upserted) == (1, 1)
+    assert all(s.matched + s.upserted == s.totalRows and s.modified == s.matched for s in summary.values())
+    assert len({(r.symbol, r.tradeDate) for r in rows}) == len(rows)
+
+
+def test_refused_files(done):
+    _, summary, rejects = done
+    assert rejects == {
+        "blank_required.csv": MISSING.format("open, openingPrice"),
+        "bad_x.csv": BAD_NUMBER.format("12x"),
+        "bad_d.csv": BAD_NUMBER.format("1d"),
+        "bad_nan.csv": BAD_NUMBER.format("NaN"),
+        "bad_date.csv": "Invalid trade date at CSV row 2.",
+        "bad_soon.csv": "Invalid trade date at CSV row 3.",
+        "empty.csv": EMPTY,
+        "ragged.csv": RAGGED,
+        "prices.txt": WRONG_TYPE,
+        "large.csv": TOO_LARGE,
+    }
+    assert not set(rejects) & set(summary)
+
+
+def test_importing_again_changes_only_times(spark, folder, tmp_path):
+    good = ["template.csv", "alias.csv", "same_day.csv"]
+    mine = uploads(spark, folder, good)
+    write_prices(import_prices(spark, none(spark), mine, as_of()).prices, f"{tmp_path}/once")
+    once = spark.read.parquet(f"{tmp_path}/once").select(*PRICES.names)
+    later = F.lit("2031-01-01 00:00:00").cast("timestamp_ntz")
+    twice = import_prices(spark, once, mine, later)
+    assert all(r.upserted == 0 for r in twice.summary.collect())
+    assert twice.prices.drop("updatedAt").exceptAll(once.drop("updatedAt")).isEmpty()
+    assert twice.prices.where(F.col("updatedAt") != later).isEmpty()
+    assert stock_universe(once).agg(F.sum("recordCount")).first()[0] == once.count()
+
+
+def test_stream_equals_batch(spark, folder, tmp_path):
+    good = ["template.csv", "alias.csv", "dup_key.csv", "bad_x.csv"]
+    mine = uploads(spark, folder, good).persist()
+    arriving = tmp_path / "in"
+    arriving.mkdir()
+    for name in good:
+        (arriving / name).write_text(FILES[name])
+    moved = mine.withColumn("path", F.concat(F.lit(f"file:{arriving}/"), "fileName"))
+    start_table(none(spark), f"{tmp_path}/table")
+    stream_price_imports(spark, f"file://{arriving}", moved, f"{tmp_path}/table", f"{tmp_path}/state", as_of()).awaitTermination()
+    streamed = spark.read.parquet(f"{tmp_path}/table/version=1").select(*PRICES.names)
+    batch = import_prices(spark, none(spark), mine, as_of()).prices
+    assert streamed.count() == batch.count() > 0
+    assert streamed.exceptAll(batch).isEmpty()
+    assert spark.read.parquet(f"{tmp_path}/table/rejects=1").count() == 1
+
+
+def test_read_nothing(spark):
+    assert read_price_csv(spark, []).isEmpty()
+    assert KEY[0] in none(spark).columns
+
+
+def test_rate_audit_stream_equals_batch(spark, tmp_path):
+    log = spark.range(4000).select((F.col("id") % 7).cast("string").alias("client"), F.timestamp_seconds(F.col("id") * 5).cast("timestamp_ntz").alias("ts"))
+    log.write.parquet(f"{tmp_path}/log")
+    source = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log")
+    query = request_rate_audit(source, limit=25).writeStream.format("memory").queryName("audit").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    batch = request_rate_audit(log, limit=25)
+    streamed = spark.table("audit")
+    assert streamed.exceptAll(batch).isEmpty()
+    last = batch.agg(F.max("start")).first()[0]
+    assert batch.where(F.col("start") < F.lit(last)).exceptAll(streamed).isEmpty() and not streamed.isEmpty()  # the open window waits for its watermark

@@ -79,3 +79,8 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
 def word_count(text: str) -> Column:
     """Number of words, as a JVM expression; null counts as empty."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by name, whatever characters the names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]

@@ -2,17 +2,22 @@
 
 Words of a text follow each other independently and an end follows the last one.  A word is made in one of two ways:
 as one known unit, with its count in the training texts, or as any sequence of vocabulary pieces and an end of the
-word.  The two are weighted as in Witten-Bell smoothing: with N training tokens of V kinds, the whole unit has
-weight N / (N + V) and the lattice V / (N + V).  The lattice starts from the existing vocabulary's weights, which are
-fitted to the training words (each kind once) by expected counts from forward and backward sums.  The probabilities of
-all texts sum to one.
+word.  The two are weighted by absolute discounting: each of the V kinds of training words gives up a share D of its
+count (Good-Turing, from the words seen once and twice), and the lattice gets D * V / N.  The lattice starts from the
+existing vocabulary's weights, which are fitted to the training words (each kind once) by expected counts from forward
+and backward sums.
+
+Texts come in classes (languages, say).  A class has counts of its own, smoothed by PRIOR words of the model above, and
+a text's probability is the sum over the classes, weighted by their shares of the training texts; the class column is
+read of training texts only.  The probabilities of all texts sum to one.
 
 Corpus counts and weights come from all training texts: counts are combined in the task, then by word.  Expected
 counts are one row for each piece and task.  The HEAD most frequent words (a bound, whatever the corpus) travel to
 the tasks that read the texts, each rarer word of a document is one row that meets the table of words.
 
 Edge cases: null and empty texts are an end alone; without training texts every word is left to the lattice with the
-existing weights; repeated rows of a doc_id are added up into one result; other columns are ignored.
+existing weights; at most CLASSES classes are told apart, rarer ones and null are one more; repeated rows of a doc_id
+are added up into one result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from .common import save, words
 from .lattice import MARK, Lattice, existing_vocabulary
 
 HEAD, ROUNDS = 150_000, 2
+CLASSES, PRIOR = 7, 20_000
 #: Distinct words that are counted in Python before their counts go on.
 COUNTED = 400_000
 #: What base scores add to each count.
@@ -36,34 +42,38 @@ ADDED = 0.1
 END = b"\n"  # no word: words hold no white space
 
 
-def word_counts(docs: DataFrame, training: Column) -> DataFrame:
-    """(word, n): all words and ends of all texts, n being the count in training texts."""
+def word_counts(docs: DataFrame, classes: int) -> DataFrame:
+    """(word, n, n0, n1, ...): all words and ends of all texts, with their counts in training texts, in all and by class.
+
+    docs: (text, class), class being null for texts that are not for training."""
 
     def run(batches):
-        trained: Counter = Counter()
+        held = [Counter() for _ in range(classes)]
         other: set = set()
 
         def out():
-            both = [*trained.items(), *((w, 0) for w in other if w not in trained)]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in both], pa.binary()), pa.array([n for _, n in both], pa.int64())], names=["word", "n"])
-            trained.clear()
-            other.clear()
+            rows = [(w, k, n) for k, c in enumerate(held) for w, n in c.items()] + [(w, -1, 0) for w in other if w not in held[0]]
+            columns = zip(*rows, strict=True) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["word", "class", "n"])
+            for c in (*held, other):
+                c.clear()
 
         for b in batches:
-            for text, learn in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            for text, k in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 ws = words(text.as_py())
-                if learn:
-                    trained.update(ws)
-                    trained[END] += 1
-                else:
+                if k is None:
                     other.update(ws)
                     other.add(END)
-                if len(trained) + len(other) > COUNTED:
+                else:
+                    held[k].update(ws)
+                    held[k][END] += 1
+                if sum(map(len, held)) + len(other) > COUNTED:
                     yield from out()
         yield from out()
 
-    made = docs.select("text", F.coalesce(training, F.lit(False)).alias("learn")).mapInArrow(run, "word binary, n long")
-    return made.groupBy("word").agg(F.sum("n").alias("n"))
+    made = docs.select("text", "class").mapInArrow(run, "word binary, class int, n long")
+    by = [F.coalesce(F.sum(F.when(F.col("class") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(classes)]
+    return made.groupBy("word").agg(F.sum("n").alias("n"), *by)
 
 
 def fit(counted: DataFrame, vocabulary: dict[bytes, float], rounds: int) -> tuple[list[bytes], np.ndarray]:
@@ -93,75 +103,88 @@ def fit(counted: DataFrame, vocabulary: dict[bytes, float], rounds: int) -> tupl
     return pieces, weight
 
 
-def scores(docs: DataFrame, training: Column, vocabulary=existing_vocabulary, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each doc_id; scores are log10."""
+def scores(docs: DataFrame, training: Column, label: str | None = None, vocabulary=existing_vocabulary, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each doc_id; scores are log10.
+
+    ``label`` names a column that parts the training texts into classes."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", training.alias("learn"))
-    counted = save(word_counts(docs, F.col("learn")), "counts")
-    totals = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    tokens, kinds = totals["n"], totals["v"]
+    kind = F.col(label).cast("string") if label else F.lit("all")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("learn"), kind.alias("kind"))
+    common = docs.where("learn and kind is not null").groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(CLASSES).collect()
+    own = {r.kind: k for k, r in enumerate(common)}
+    classes = len(own) + 1
+    number = F.lit(len(own))
+    for name, k in own.items():
+        number = F.when(F.col("kind") == name, k).otherwise(number)
+    docs = docs.select("doc_id", "text", F.when(F.col("learn"), number).alias("class"))
+
+    counted = save(word_counts(docs, classes), "counts")
+    # one row: all words, kinds of words, kinds seen once and twice, words and texts of each class
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ["n", *(f"n{k}" for k in range(classes))]]
+    ends = [F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col(f"n{k}"))), F.lit(0)) for k in range(classes)]
+    total, kinds, once, twice, *rest = counted.agg(sums[0], *(F.count_if(c) for c in (F.col("n") > 0, F.col("n") == 1, F.col("n") == 2)), *sums[1:], *ends).first()
+    sizes, texts = np.array(rest[:classes], float), np.array(rest[classes:], float)
+    discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
     fitted = spark.sparkContext.broadcast(fit(counted, vocabulary(), rounds))
 
     def weigh(batches):
         lattice = None
         for b in batches:
             lattice = lattice or Lattice(fitted.value[0])
-            ws, n = b.column(0).to_pylist(), b.column(1).to_numpy()
-            spelled = 10.0 ** lattice.log10([MARK + w for w in ws], fitted.value[1])
-            spelled[[w == END for w in ws]] = 0.0  # an end is no word
+            ws = b.column("word").to_pylist()
+            n = b.column("n").to_numpy()
+            spelled = lattice.log10([MARK + w for w in ws], fitted.value[1])
+            is_end = np.array([w == END for w in ws])
+            share = 1.0 if total == 0 else discount * kinds / total
             with np.errstate(divide="ignore"):
-                score = np.log10((n + max(kinds, 1) * spelled) / (tokens + max(kinds, 1)))
-                deep = np.flatnonzero(~np.isfinite(score))  # long words: too small for a sum of numbers
-                rare = lattice.log10([MARK + ws[i] for i in deep], fitted.value[1])
-            score[deep] = rare + math.log10(max(kinds, 1)) - math.log10(tokens + max(kinds, 1))
-            base = np.log10((n + ADDED) / (tokens + ADDED * (kinds + 1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n > 0), pa.array(base), pa.array(score)], names=["word", "known", "base", "score"])
-
-    weighed = counted.select("word", "n").mapInArrow(weigh, "word binary, known boolean, base double, score double")
-    weighed = save(weighed, "words")
+                lower = spelled + math.log10(share)
+                seen = np.where(is_end, n, np.maximum(n - discount, 0)) / max(total, 1)
+                whole = np.where(seen > 0, np.log10(seen + np.where(is_end, 0.0, 10.0**lower)), lower)
+                by = [np.log10(b.column(f"n{k}").to_numpy() + PRIOR * 10.0**whole) - math.log10(sizes[k] + PRIOR) for k in range(classes)]
+            # too small for a sum of numbers: long words that no training text holds
+            by = [np.where(np.isfinite(s), s, whole + math.log10(PRIOR / (sizes[k] + PRIOR))) for k, s in enumerate(by)]
+            base = np.log10((n + ADDED) / (total + ADDED * (kinds + 1)))
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(n > 0), pa.array(base), *map(pa.array, by)], names=["word", "known", "base", *names])
+
+    names = [f"s{k}" for k in range(classes)]
+    listed = ", ".join(f"{x} double" for x in names)
+    weighed = save(counted.mapInArrow(weigh, f"word binary, known boolean, base double, {listed}"), "words")
     top = counted.orderBy(F.desc("n"), "word").limit(HEAD).select("word")
     head = weighed.join(F.broadcast(save(top, "top")), "word").toPandas()  # HEAD rows at most
-    table = {w if isinstance(w, bytes) else bytes(w): (k, b, s) for w, k, b, s in zip(head["word"], head["known"].astype(int), head["base"], head["score"], strict=True)}
-    known = spark.sparkContext.broadcast(table)
+    columns = [head[c].astype(float).tolist() for c in ("known", "base", *names)]
+    known = spark.sparkContext.broadcast((head["word"].map(bytes).tolist(), columns))
 
     def read(batches):
-        table = known.value
+        at = {w: i for i, w in enumerate(known.value[0])}
+        value = np.array(known.value[1]).T
         for b in batches:
-            ids, rows, heads = [], [], []
+            rows, heads = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 count = Counter(words(text.as_py()))
                 count[END] += 1
-                total = [sum(count.values()), 0, 0.0, 0.0]
+                place, often = [], []
                 for w, n in count.items():
-                    if (entry := table.get(w)) is None:
+                    if (i := at.get(w)) is None:
                         rows.append((doc, w, n))
                     else:
-                        total[1] += n * entry[0]
-                        total[2] += n * entry[1]
-                        total[3] += n * entry[2]
-                ids.append(doc)
-                heads.append(total)
-            none = [None] * len(rows)
-            docs_, ws, ns = zip(*rows, strict=True) if rows else ((), (), ())
+                        place.append(i)
+                        often.append(n)
+                sums = np.array(often, float) @ value[place] if place else np.zeros(value.shape[1] if value.size else classes + 2)
+                heads.append((doc, b" %d" % (doc if doc is not None else -1), sum(count.values()), *sums.tolist()))
             # the head's sums carry a key of their own, which is no word, so that no key is shared by many rows
-            columns = [
-                (pa.int64(), [*docs_, *ids]),
-                (pa.binary(), [*ws, *(b" %d" % (i if i is not None else -1) for i in ids)]),
-                (pa.int64(), [*ns, *[0] * len(ids)]),
-                (pa.int64(), [*none, *(h[0] for h in heads)]),
-                (pa.int64(), [*none, *(h[1] for h in heads)]),
-                (pa.float64(), [*none, *(h[2] for h in heads)]),
-                (pa.float64(), [*none, *(h[3] for h in heads)]),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for t, v in columns], names=["doc_id", "word", "n", "tokens", "n_known", "base_sum", "score_sum"])
-
-    parts = docs.select("doc_id", "text").mapInArrow(read, "doc_id long, word binary, n long, tokens long, n_known long, base_sum double, score_sum double")
+            ids, ws, ns = zip(*rows, strict=True) if rows else ((), (), ())
+            doc, key, tokens, *sums = zip(*heads, strict=True)
+            none = [None] * len(rows)
+            arrays = [pa.array([*ids, *doc], pa.int64()), pa.array([*ws, *key], pa.binary()), pa.array([*ns, *[None] * len(doc)], pa.int64()), pa.array([*none, *tokens], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([*none, *s], pa.float64()) for s in sums)], names=["doc_id", "word", "n", "tokens", *(f"h_{x}" for x in ("known", "base", *names))])
+
+    held = ", ".join(f"h_{x} double" for x in ("known", "base", *names))
+    parts = docs.select("doc_id", "text").mapInArrow(read, f"doc_id long, word binary, n long, tokens long, {held}")
     parts = parts.join(weighed, "word", "left")
-    n = F.col("n")
-    out = parts.groupBy("doc_id").agg(
-        F.sum("tokens").alias("n_tokens"),
-        F.sum(F.coalesce("n_known", n * F.col("known").cast("long"), F.lit(0))).alias("n_known"),
-        F.sum(F.coalesce("base_sum", n * F.col("base"))).alias("base_score"),
-        F.sum(F.coalesce("score_sum", n * F.col("score"))).alias("score"),
-    )
-    return out.withColumn("train_tokens", F.lit(tokens).cast("long"))
+    added = {x: F.sum(F.coalesce(f"h_{x}", F.col("n") * F.col(x).cast("double"))) for x in ("known", "base", *names)}
+    out = parts.groupBy("doc_id").agg(F.sum("tokens").alias("n_tokens"), *(c.alias(x) for x, c in added.items()))
+    prior = np.log10((texts + 1) / (texts.sum() + classes)).tolist()
+    each = [F.col(x) + F.lit(p) for x, p in zip(names, prior, strict=True)]
+    most = F.greatest(*each) if len(each) > 1 else each[0]
+    score = most + F.log10(sum((F.pow(F.lit(10.0), e - most) for e in each[1:]), F.pow(F.lit(10.0), each[0] - most)))
+    return out.select("doc_id", "n_tokens", F.col("known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, save, word_count
+from .common import WORD, own_columns, save, word_count
 
 CAP = 3
 #: Documents to a range of keys, about.
@@ -85,7 +85,7 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFr
     """The documents that the mix takes, as often as it takes them."""
     taken = mix(docs, quality).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
     rows = docs.join(taken.where("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*own_columns(docs))
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

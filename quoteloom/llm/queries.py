@@ -20,7 +20,7 @@ def op2_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 10 = 0")
-    return lm.scores(table(spark, sf_dir, "documents"), training=~held_out).withColumn("held_out", held_out)
+    return lm.scores(table(spark, sf_dir, "documents"), training=~held_out, label="lang").withColumn("held_out", held_out)
 
 
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:

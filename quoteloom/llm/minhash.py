@@ -4,13 +4,13 @@ Signature.  Shingle hashes live in Z(2^32).  A first permutation scatters them;
 k, gives coordinate k: ``min over x of pi((sigma(x) + k * STEP) mod 2^32)``.  Two permutations serve all coordinates.
 
 Candidates.  Coordinates are cut into bands; documents that share a band share a bucket.  No bucket is expanded into
-its pairs.  Round 0 compares every member with the bucket's smallest one.  Buckets whose members are then still in
-several components go on: inside blocks of bounded size, signatures are compared and only spanning forests of likely
-links between components are proposed, most similar first, four times as many in each round, until nothing untested
-is left between two components of a bucket.  A bucket larger than a block is dealt out as pairs of blocks.
+its pairs.  Every member is compared with the bucket's smallest one.  Buckets whose members are then still in several
+components go on: inside blocks of bounded size, likely links between components are checked one member against many
+at a time, and only the links that join components come out.  A bucket larger than a block is dealt out as pairs of
+blocks, so that each pair of its members meets in a block.
 
-Check.  Proposed pairs are confirmed on the full shingle sets, made again from the texts: a text travels to its
-smaller neighbour's row, never a set to all pairs.  Documents with equal sets are one class throughout.
+Check.  Links are confirmed on the full shingle sets, made again from the texts of those that share a bucket.
+Documents with equal sets are one class throughout.
 
 Edge cases: null, empty and blank texts have no shingles and are linked with nothing; a text with fewer words than
 ``width`` is one shingle; rows without doc_id have no result; repeated rows of one doc_id count once; other columns are ignored.
@@ -21,7 +21,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,7 +31,8 @@ from .common import WordHashes, save, shingles, words
 BANDS, ROWS = 24, 4
 #: Odd shift between coordinates of the second permutation.
 STEP = 0x3C6EF373
-BLOCK = 1024
+#: Shingles and members to a block of a bucket, about.
+BLOCK, MEMBERS = 500_000, 1024
 #: Shingles handled at once, so that the work array stays in cache whatever the text's length.
 CHUNK = 2048
 
@@ -111,11 +111,10 @@ def likely(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs (a, b) for which 100 * |intersection| >= percent * |union| on the full shingle sets."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    moved = pairs.join(texts.withColumnRenamed("id", "b"), "b").withColumnRenamed("text", "tb")
-    both = moved.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").select("a", "b", "ta", "tb")
+    moved = pairs.join(texts.withColumnsRenamed({"rep": "b", "text": "tb"}).hint("merge"), "b")
+    both = moved.join(texts.withColumnsRenamed({"rep": "a", "text": "ta"}).hint("merge"), "a").select("a", "b", "ta", "tb")
 
     def run(batches):
         cache, last, own = WordHashes(), None, None
@@ -165,47 +164,82 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return save(labels.join(root, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")), "labels")
 
 
-def _forests(pdf: pd.DataFrame, tested: pd.DataFrame, forests: int, least: int, percent: int) -> pd.DataFrame:
-    """Of one block of a bucket: ``forests`` disjoint spanning forests of untested likely links between components."""
-    none = pd.DataFrame({"a": [], "b": [], "gid": []}).astype("int64")
-    pdf = pdf.drop_duplicates("rep").sort_values("rep", ignore_index=True)
-    ids, n = pdf["rep"].to_numpy(), pdf["n"].to_numpy()
-    comp = np.unique(pdf["comp"], return_inverse=True)[1]
-    if len(pdf) < 2 or comp.max() == 0:
-        return none
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-    found = []
-    for i in range(len(pdf) - 1):
-        j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))) + i + 1
-        match = (sig[j] == sig[i]).sum(axis=1)
-        ok = match >= least
-        found.append(np.stack([match[ok], np.full(ok.sum(), i), j[ok]]))
-    match, i, j = np.concatenate(found, axis=1)
-    done = set(zip(tested["a"], tested["b"], strict=True))
-    open_ = [(x, y) for x, y, _ in sorted(zip(i.tolist(), j.tolist(), match.tolist(), strict=True), key=lambda e: (-e[2], e[0], e[1])) if (ids[x], ids[y]) not in done]
-    out = []
-    for _ in range(forests):
-        root, rest = list(range(comp.max() + 1)), []
-
-        def find(x, root=root):
+def _likely(n: np.ndarray, sig: np.ndarray, i: int, percent: int, least: int) -> np.ndarray:
+    """Which later members of a block may be linked with member i, by set size and signature."""
+    near = 100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :])
+    return near & ((sig[i + 1 :] == sig[i]).sum(axis=1) >= least)
+
+
+def involved(blocks: DataFrame, percent: int) -> DataFrame:
+    """(gid, rep) of the members that have a likely link to another component in their block."""
+    groups = blocks.groupBy("gid").agg(F.collect_list(F.struct("rep", "n", "comp", "sig")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    least = least_match(percent)
+
+    def run(batches):
+        for batch in batches:
+            out_gid, out_rep = [], []
+            for r in range(batch.num_rows):
+                gid, rep, n, comp, sig = (c[r].as_py() for c in batch.columns)
+                n, comp, sig = np.array(n), np.array(comp), np.frombuffer(b"".join(sig), np.uint8).reshape(len(rep), -1)
+                hit = np.zeros(len(rep), bool)
+                for i in range(len(rep) - 1):
+                    found = _likely(n, sig, i, percent, least) & (comp[i + 1 :] != comp[i])
+                    hit[i] |= found.any()
+                    hit[i + 1 :] |= found
+                out_rep += [rep[i] for i in np.flatnonzero(hit)]
+                out_gid += [gid] * int(hit.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(out_gid, pa.int64()), pa.array(out_rep, pa.int64())], names=["gid", "rep"])
+
+    return groups.where("lo <> hi").selectExpr("gid", "m.rep", "m.n", "m.comp", "m.sig").mapInArrow(run, "gid long, rep long")
+
+
+def block_links(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components within blocks; members: (gid, rep, n, comp, sig, text).
+
+    Every likely pair of a block that is not joined yet is checked on the full sets; only joining links come out."""
+    groups = members.groupBy("gid").agg(F.collect_list(F.struct("rep", "n", "comp", "sig", "text")).alias("m"))
+    least = least_match(percent)
+
+    def links(cache, rep, n, comp, sig, text):
+        order = np.argsort(rep)
+        rep, n = np.array(rep)[order], np.array(n)[order]
+        sig = np.frombuffer(b"".join(sig), np.uint8).reshape(len(rep), -1)[order]
+        root = dict(zip(comp, comp, strict=True))
+        own = [comp[i] for i in order]
+
+        def find(x):
             while root[x] != x:
                 root[x] = x = root[root[x]]
             return x
 
-        for x, y in open_:
-            u, v = find(comp[x]), find(comp[y])
-            if u == v:
-                rest.append((x, y))
-            else:
-                root[u] = v
-                out.append((ids[x], ids[y]))
-        if not (open_ := rest):
-            break
-    return pd.DataFrame(out, columns=["a", "b"]).assign(gid=pdf["gid"].iloc[0]).astype("int64") if out else none
+        sets = [shingles(cache.of(words(text[i])), width) for i in order]
+        code = np.unique(np.concatenate(sets), return_inverse=True)[1]  # shingles numbered within the block
+        ends = np.cumsum([len(s) for s in sets])
+        codes = np.split(code, ends[:-1])
+        mine = np.zeros(len(code) and int(code.max()) + 1, bool)
+        for i in range(len(rep) - 1):
+            other = np.flatnonzero(_likely(n, sig, i, percent, least)) + i + 1
+            here = find(own[i])
+            other = [j for j in other.tolist() if find(own[j]) != here]
+            if not other:
+                continue
+            mine[codes[i]] = True
+            common = np.add.reduceat(mine[np.concatenate([codes[j] for j in other])].astype(np.int64), np.cumsum([0, *(len(codes[j]) for j in other[:-1])]))
+            mine[codes[i]] = False
+            for j, c in zip(other, common.tolist(), strict=True):
+                if 100 * c >= percent * (len(codes[i]) + len(codes[j]) - c) and (a := find(own[i])) != (b := find(own[j])):
+                    root[a] = b
+                    yield int(rep[i]), int(rep[j])
 
+    def run(batches):
+        cache = WordHashes()
+        for batch in batches:
+            for r in range(batch.num_rows):
+                out = list(links(cache, *(c[r].as_py() for c in batch.columns)))
+                columns = zip(*out, strict=True) if out else [[]] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
-def _proposer(forests: int, least: int, percent: int):
-    return lambda block, tested: _forests(block, tested, forests, least, percent)
+    return groups.selectExpr("m.rep", "m.n", "m.comp", "m.sig", "m.text").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -215,37 +249,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # one class for each distinct set; its representative is the smallest doc_id
     reps = full.groupBy("set_hi", "set_lo").agg(F.min_by(F.struct(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sig"), "doc_id").alias("r"))
     reps = save(reps.select("set_hi", "set_lo", "r.*"), "classes")
-    buckets = reps.select(F.explode("bands").alias("bucket"), "rep")
-    heads = buckets.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("size")).where("size > 1")
-    shared = save(buckets.join(heads, "bucket"), "buckets")
+    buckets = reps.select(F.explode("bands").alias("bucket"), "rep", "n")
+    heads = buckets.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("size"), F.sum("n").alias("held")).where("size > 1")
+    shared = save(buckets.drop("n").join(heads, "bucket"), "buckets")
+    nodes = save(shared.select("rep").distinct(), "nodes")
+    # the texts of all that share a bucket; a shuffle at any size
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").hint("merge").join(nodes, "rep", "left_semi")
+    texts = save(texts, "texts")
     sigs = reps.select("rep", "n", "sig")
     pairs = shared.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = save(likely(pairs, sigs, percent), "pairs")
-    labels = save(shared.select(F.col("rep").alias("node")).distinct().withColumn("comp", F.col("node")), "nodes")
-    labels = components(save(confirm(pairs, docs, width, percent), "edges"), labels)
+    labels = nodes.select(F.col("rep").alias("node"), F.col("rep").alias("comp"))
+    labels = components(save(confirm(pairs, texts, width, percent), "edges"), labels)
 
-    # buckets that still hold several components
+    # buckets that still hold several components; one for each set of members
     of = labels.withColumnRenamed("node", "rep")
-    mixed = shared.join(of, "rep").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    code = [F.min("rep"), F.max("rep"), F.count("*"), F.bit_xor(F.xxhash64("rep")), F.bit_xor(F.xxhash64("rep", F.lit(1)))]
+    mixed = shared.join(of, "rep").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.struct(*code).alias("code")).where("lo <> hi")
+    mixed = mixed.groupBy("code").agg(F.min("bucket").alias("bucket"))
+    parts = F.ceil(F.greatest(F.col("held") / BLOCK, F.col("size") / MEMBERS)).cast("int")
     own = F.pmod(F.xxhash64("rep"), parts).cast("int")
     blocks = (
         shared.join(mixed.select("bucket"), "bucket", "left_semi")
         .withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), parts - 1))})
         .select("rep", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("gid"))
     )
-    blocks = save(blocks.distinct().join(sigs, "rep"), "blocks")
-    tested = save(pairs.limit(0).withColumn("gid", F.lit(0).cast("long")), "tested")
-    least, forests = least_match(percent), 1
-    while not blocks.isEmpty():
-        current = blocks.join(of, "rep").select("gid", "rep", "n", "sig", "comp")
-        found = save(current.groupBy("gid").cogroup(tested.groupBy("gid")).applyInPandas(_proposer(forests, least, percent), "a long, b long, gid long"), "found")
-        if found.isEmpty():
-            break
-        links = save(confirm(save(found.select("a", "b").distinct(), "pairs"), docs, width, percent), "edges")
-        labels = components(links, labels)
-        of = labels.withColumnRenamed("node", "rep")
-        tested, forests = tested.union(found), forests * 4
+    blocks = save(blocks.distinct().join(sigs, "rep").join(of, "rep"), "blocks")
+    some = save(involved(blocks, percent), "involved")
+    members = blocks.join(some, ["gid", "rep"], "left_semi").join(texts.hint("merge"), "rep")
+    labels = components(save(block_links(members, width, percent), "edges"), labels)
+    of = labels.withColumnRenamed("node", "rep")
 
     member = full.select("doc_id", "set_hi", "set_lo").join(reps.select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"])
     member = member.join(of, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
@@ -256,5 +289,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that have a smaller near-duplicate; rows without doc_id stay."""
-    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

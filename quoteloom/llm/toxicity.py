@@ -8,8 +8,8 @@ hash of doc_id, so it depends neither on order nor on partitions); their feature
 Scoring reads every text whole, without a shuffle.
 
 Edge cases: null and empty texts get the score of the intercept alone; labels that are null, contradict each other or
-belong to no document teach nothing; repeated rows are scored each; without any label every score is 0.5; other
-columns, whatever their names, never enter a score.
+belong to no document teach nothing; repeated rows are scored each; without toxic labels to learn from every score is
+0 (to 15 digits), with toxic ones alone 1; other columns, whatever their names, never enter a score.
 """
 
 from __future__ import annotations
@@ -107,17 +107,22 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column) -> tuple[np.ndar
     def learn(batches):
         rows = [(i, y, a.values.to_numpy()) for b in batches for i, y, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)]
         rows.sort(key=lambda r: (r[0], len(r[2])))
-        model, order = Ftrl(), np.random.default_rng(0)
-        for _ in range(EPOCHS):
-            for i in order.permutation(len(rows)):
-                model.learn(rows[i][2], rows[i][1])
-        at, w = model.sparse()
+        classes = {y for _, y, _ in rows}
+        at, w = np.array([2**BITS]), np.array([35.0 if classes == {1} else -35.0])  # one class: the intercept alone
+        if len(classes) == 2:
+            model, order = Ftrl(), np.random.default_rng(0)
+            for _ in range(EPOCHS):
+                for i in order.permutation(len(rows)):
+                    model.learn(rows[i][2], rows[i][1])
+            at, w = model.sparse()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w, pa.float64())], names=["at", "w"])
 
     ids = F.broadcast(sample(labels, learn_from))  # TOXIC + CLEAN rows at most
     made = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select("id", "toxic", "text").mapInArrow(featurise, "id long, toxic int, at array<int>")
     # one task: TOXIC + CLEAN rows at most
     model = save(made, "toxicity").coalesce(1).mapInArrow(learn, "at int, w double").toPandas()
+    if model.empty:  # no labelled text, and so no task
+        return np.array([2**BITS]), np.array([-35.0])
     return model["at"].to_numpy(), model["w"].to_numpy()
 
 

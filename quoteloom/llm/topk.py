@@ -3,7 +3,8 @@
 Vectors are dealt by a hash of their id into blocks of about BLOCK rows.  A block has a sorted list for each
 dimension.  A query goes down all lists in step, from the end that its sign favours; vectors met for the first time are
 scored in full; the sum of what the lists hold at that depth bounds every vector not met.  It stops when the bound is
-below the k-th score (at equality a smaller id might still come, so it goes on).  Depth doubles from round to round.
+below the k-th score (at equality a smaller id might still come, so it goes on) or when all vectors have been met.
+Depth grows by a factor from round to round.
 
 A query block meets a candidate block by an equi-join on the pair's number; queries are a stated set, so this is a
 search in blocks and not a join of all rows with all.  Each pair returns k rows a query at most, and the best k of
@@ -27,7 +28,8 @@ from .common import save
 K, SCALE = 20, 64
 #: Candidates and queries to a block, about.
 BLOCK, QUERIES = 8192, 1024
-FIRST_DEPTH = 16
+#: Depth of the first round, and how many times as deep the next ones are.
+FIRST_DEPTH, DEEPER = 256, 4
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -37,43 +39,42 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.order = np.ascontiguousarray(np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32))
-        self.values = np.take_along_axis(self.vectors.T, self.order, axis=1)
+        upward = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32)
+        # for either sign of a weight, rows and values of each dimension from the best on
+        self.order = np.stack([upward, upward[:, ::-1]])
+        self.values = np.take_along_axis(self.vectors.T[None], self.order, axis=2)
 
     def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of the k best for ``query``, ties to smaller ids; ``own`` is left out."""
         m = len(self.ids)
         dims = np.flatnonzero(query)
-        weights, order, values = query[dims], self.order[dims], self.values[dims]
-        up = (weights > 0)[:, None]
+        weights = query[dims]
+        side = (weights > 0).astype(int)
         met = np.zeros(m, bool)
         scored = self.ids == own
         rows, scores = np.empty(0, np.int64), np.empty(0, self.vectors.dtype)
         depth, upto = 0, min(FIRST_DEPTH, m)
         while True:
-            step = np.arange(depth, upto)
-            at = np.where(up, m - 1 - step, step)
-            met[np.take_along_axis(order, at, axis=1).ravel()] = True
+            for s, d in zip(side.tolist(), dims.tolist(), strict=True):
+                met[self.order[s, d, depth:upto]] = True
             if upto == m:
                 met[:] = True  # a list of each vector has ended
             new = np.flatnonzero(met & ~scored)
             scored[new] = True
-            rows = np.concatenate([rows, new])
-            scores = np.concatenate([scores, self.vectors[new] @ query])
-            if len(rows) > k:
-                best = np.lexsort((rows, -scores))[:k] if len(rows) <= 4 * k else self.best(rows, scores, k)
-                rows, scores = rows[best], scores[best]
-            bound = (weights * values[np.arange(len(dims)), at[:, -1]]).sum() if len(dims) else 0
-            if upto == m or (len(rows) == k and bound < scores.min()):
-                order_ = np.lexsort((rows, -scores))
-                return rows[order_], scores[order_]
-            depth, upto = upto, min(2 * upto, m)
-
-    @staticmethod
-    def best(rows: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        likely = np.flatnonzero(scores >= least)
-        return likely[np.lexsort((rows[likely], -scores[likely]))[:k]]
+            found = self.vectors.take(new, axis=0) @ query
+            if len(rows) == k:
+                likely = np.flatnonzero(found >= scores.min())
+                new, found = new[likely], found[likely]
+            elif len(found) > k:
+                likely = np.flatnonzero(found >= np.partition(found, len(found) - k)[len(found) - k])
+                new, found = new[likely], found[likely]
+            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, found])
+            best = np.lexsort((rows, -scores))[:k]
+            rows, scores = rows[best], scores[best]
+            bound = weights @ self.values[side, dims, upto - 1]
+            if upto == m or scored.all() or (len(rows) == k and bound < scores.min()):
+                return rows, scores
+            depth, upto = upto, min(DEEPER * upto, m)
 
 
 def matrix(vectors: list[list[int]], width: int) -> np.ndarray:

@@ -9,7 +9,9 @@ and backward sums.
 
 Texts come in classes (languages, say).  A class has counts of its own, smoothed by PRIOR words of the model above, and
 a text's probability is the sum over the classes, weighted by their shares of the training texts; the class column is
-read of training texts only.  The probabilities of all texts sum to one.
+read of training texts only.  Within a text words recur: the next word is drawn from CACHE words of its class and
+all words that the text has had so far (a Dirichlet-multinomial, whose probability needs each word's count only).  The
+probabilities of all texts sum to one.
 
 Corpus counts and weights come from all training texts: counts are combined in the task, then by word.  Expected
 counts are one row for each piece and task.  The HEAD most frequent words (a bound, whatever the corpus) travel to
@@ -34,7 +36,7 @@ from .common import save, words
 from .lattice import MARK, Lattice, existing_vocabulary
 
 HEAD, ROUNDS = 150_000, 2
-CLASSES, PRIOR = 7, 20_000
+CLASSES, PRIOR, CACHE = 7, 20_000, 3_000
 #: Distinct words that are counted in Python before their counts go on.
 COUNTED = 400_000
 #: What base scores add to each count.
@@ -76,6 +78,20 @@ def word_counts(docs: DataFrame, classes: int) -> DataFrame:
     return made.groupBy("word").agg(F.sum("n").alias("n"), *by)
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Natural log of the gamma function of positive numbers, by Stirling's series eight steps up."""
+    y, product = x + 8.0, np.ones_like(x)
+    for step in range(8):
+        product = product * (x + step)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(product)
+
+
+def recurring(share: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log10 of a (a + 1) ... (a + n - 1) for a = CACHE * 10 ** share."""
+    a = CACHE * 10.0**share
+    return share + math.log10(CACHE) + (log_gamma(a + n) - log_gamma(a + 1)) / math.log(10)
+
+
 def fit(counted: DataFrame, vocabulary: dict[bytes, float], rounds: int) -> tuple[list[bytes], np.ndarray]:
     """Pieces and their natural log weights after ``rounds`` of expected counts over the training words."""
     pieces = sorted(vocabulary)
@@ -169,8 +185,11 @@ def scores(docs: DataFrame, training: Column, label: str | None = None, vocabula
                     else:
                         place.append(i)
                         often.append(n)
-                sums = np.array(often, float) @ value[place] if place else np.zeros(value.shape[1] if value.size else classes + 2)
-                heads.append((doc, b" %d" % (doc if doc is not None else -1), sum(count.values()), *sums.tolist()))
+                n, own = np.array(often, float)[:, None], value[place] if place else np.zeros((0, classes + 2))
+                total = count.total()
+                drawn = recurring(np.zeros(1), np.array([float(total)]))[0]
+                sums = [*(n * own[:, :2]).sum(axis=0).tolist(), *(recurring(own[:, 2:], n).sum(axis=0) - drawn).tolist()]
+                heads.append((doc, b" %d" % (doc if doc is not None else -1), total, *sums))
             # the head's sums carry a key of their own, which is no word, so that no key is shared by many rows
             ids, ws, ns = zip(*rows, strict=True) if rows else ((), (), ())
             doc, key, tokens, *sums = zip(*heads, strict=True)
@@ -181,7 +200,14 @@ def scores(docs: DataFrame, training: Column, label: str | None = None, vocabula
     held = ", ".join(f"h_{x} double" for x in ("known", "base", *names))
     parts = docs.select("doc_id", "text").mapInArrow(read, f"doc_id long, word binary, n long, tokens long, {held}")
     parts = parts.join(weighed, "word", "left")
-    added = {x: F.sum(F.coalesce(f"h_{x}", F.col("n") * F.col(x).cast("double"))) for x in ("known", "base", *names)}
+
+    def of_word(x: str) -> Column:
+        if x in ("known", "base"):
+            return F.col("n") * F.col(x).cast("double")
+        again = F.aggregate(F.sequence(F.lit(1), F.col("n") - 1), F.lit(0.0), lambda acc, j: acc + F.log10(j + F.lit(float(CACHE)) * F.pow(F.lit(10.0), F.col(x))))
+        return F.col(x) + F.lit(math.log10(CACHE)) + F.when(F.col("n") > 1, again).otherwise(0.0)
+
+    added = {x: F.sum(F.coalesce(f"h_{x}", of_word(x))) for x in ("known", "base", *names)}
     out = parts.groupBy("doc_id").agg(F.sum("tokens").alias("n_tokens"), *(c.alias(x) for x, c in added.items()))
     prior = np.log10((texts + 1) / (texts.sum() + classes)).tolist()
     each = [F.col(x) + F.lit(p) for x, p in zip(names, prior, strict=True)]

@@ -84,6 +84,15 @@ def text_rows(n=300):
     return [row(i, " ".join(word(parts[lang]) for _ in range(rnd.randrange(1, 120))), lang=lang) for i in range(n) for lang in [rnd.choice(["en", "en", "fr"])]]
 
 
+def in_turn(ws, share):
+    """Word by word: drawn from CACHE words by ``share`` and those that came before."""
+    before, total = Counter(), 0.0
+    for i, w in enumerate(ws):
+        total += math.log10((lm.CACHE * share(w) + before[w]) / (lm.CACHE + i))
+        before[w] += 1
+    return total
+
+
 def test_lm_equals_plain_version(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 50)  # so that rarer words go through the join
     monkeypatch.setattr(lm, "PRIOR", 200)
@@ -114,8 +123,8 @@ def test_lm_equals_plain_version(spark, monkeypatch):
     for d, text, *_ in rows:
         ws = [w.lower() for w in words(text)] + [b"\n"]
         base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
-        classes = [sum(math.log10((c[w] + 200 * whole(w)) / (c.total() + 200)) for w in ws) + math.log10((texts[k] + 1) / (texts.total() + 3)) for k, c in own.items()]
-        classes.append(sum(math.log10(whole(w)) for w in ws) + math.log10(1 / (texts.total() + 3)))
+        classes = [in_turn(ws, lambda w, c=c: (c[w] + 200 * whole(w)) / (c.total() + 200)) + math.log10((texts[k] + 1) / (texts.total() + 3)) for k, c in own.items()]
+        classes.append(in_turn(ws, whole) + math.log10(1 / (texts.total() + 3)))
         r = got[d]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(count[w] > 0 for w in ws), n)
         assert math.isclose(r.base_score, base, rel_tol=1e-9)

@@ -192,11 +192,13 @@ def round_trip(pages: DataFrame) -> DataFrame:
     refers = F.when(F.col("record_type") == "revisit", page_of("refers_to"))
     read = read.select(page_of("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("digest"), "record_type", refers.alias("refers_to"))
     read = save(read, "read")
-    # a revisit's payload is that of the record it refers to
-    full = read.where("record_type = 'response'").groupBy(F.col("page_id").alias("of")).agg(F.max("n").alias("full_n"), F.max("digest").alias("full_digest"))
-    both = read.join(full, F.col("refers_to") == F.col("of"), "left")
-    revisit = F.col("record_type") == "revisit"
-    return both.select("page_id", F.when(revisit, F.col("full_n")).otherwise(F.col("n")).alias("payload_bytes"), F.when(revisit, F.col("full_digest")).otherwise(F.col("digest")).alias("payload_digest"), "record_type", "refers_to")
+    response = read.where("record_type <> 'revisit'")
+    # a revisit's payload is that of the record it refers to; responses take no part in the join
+    full = response.groupBy(F.col("page_id").alias("of")).agg(F.max("n").alias("full_n"), F.max("digest").alias("full_digest"))
+    revisit = read.where("record_type = 'revisit'").join(full, F.col("refers_to") == F.col("of"), "left")
+    revisit = revisit.select("page_id", F.col("full_n").alias("n"), F.col("full_digest").alias("digest"), "record_type", "refers_to")
+    both = response.select("page_id", "n", "digest", "record_type", "refers_to").unionByName(revisit)
+    return both.withColumnsRenamed({"n": "payload_bytes", "digest": "payload_digest"})
 
 
 ORACLE = f"""

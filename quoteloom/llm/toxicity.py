@@ -4,7 +4,9 @@ A text's features are its distinct words (edge punctuation cut), the starts of i
 and pairs that skip one word, hashed into ``2 ** BITS`` places.  Every coordinate has its own rate, and an L1 term
 keeps most weights at exactly zero, so the model that is broadcast is some hundred (place, weight) pairs.  Learning is
 sequential: it runs in one task over at most TOXIC + CLEAN labelled texts (a documented bound; the choice is by a
-hash of doc_id, so it depends neither on order nor on partitions); their features are made in parallel before.
+hash of doc_id, so it depends neither on order nor on partitions); their features are made in parallel before.  All
+labels are counted, and the log of the odds ratio of all to the learned ones is added to the intercept, so that scores
+follow the classes as they are, however many of each the bound leaves.
 Scoring reads every text whole, without a shuffle.
 
 Edge cases: null and empty texts get the score of the intercept alone; labels that are null, contradict each other or
@@ -14,6 +16,8 @@ belong to no document teach nothing; repeated rows are scored each; without toxi
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,18 +85,30 @@ class Ftrl:
         self.n[at] += g * g
         self.z[at] += g - (np.sqrt(self.n[at]) - root) / ALPHA * w
 
-    def sparse(self) -> tuple[np.ndarray, np.ndarray]:
+    def sparse(self, shift: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights that are not zero, ``shift`` added to the intercept."""
         at = np.append(np.flatnonzero(self.z[:-1]), 2**BITS)
         w = self.weights(at)
+        w[-1] += shift
         return at[w != 0], w[w != 0]
 
 
-def sample(labels: DataFrame, learn_from: Column) -> DataFrame:
-    """(doc_id, toxic) of the labelled documents to learn from."""
+def prior(seen: dict[int, int], real: dict[int, int]) -> float:
+    """What the intercept lacks if ``seen`` rows of each class were learned of ``real`` ones: the log of their odds ratio."""
+    return math.log(real[1] / real[0]) - math.log(seen[1] / seen[0])
+
+
+def labelled(docs: DataFrame, labels: DataFrame, learn_from: Column) -> DataFrame:
+    """(id, toxic, rows) of all labelled documents to learn from; rows: how often the document stands in the table."""
     clear = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most and doc_id is not null")
     clear = clear.where(learn_from).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+    return docs.select("doc_id").join(clear, F.col("doc_id") == F.col("id")).groupBy("id", "toxic").agg(F.count("*").alias("rows"))
+
+
+def sample(known: DataFrame) -> DataFrame:
+    """(id, toxic) of the documents that the model learns from."""
     order = F.xxhash64("id", F.lit("toxicity")), F.col("id")
-    return clear.where("toxic = 1").orderBy(*order).limit(TOXIC).union(clear.where("toxic = 0").orderBy(*order).limit(CLEAN))
+    return known.where("toxic = 1").orderBy(*order).limit(TOXIC).union(known.where("toxic = 0").orderBy(*order).limit(CLEAN)).select("id", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column) -> tuple[np.ndarray, np.ndarray]:
@@ -104,20 +120,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column) -> tuple[np.ndar
             at = [np.unique(places(t, by)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("toxic"), pa.array(at, pa.list_(pa.int32()))], names=["id", "toxic", "at"])
 
+    known = save(labelled(docs, labels, learn_from), "labelled")
+    real = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.sum("rows").alias("n")).collect()}
+
     def learn(batches):
         rows = [(i, y, a.values.to_numpy()) for b in batches for i, y, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)]
         rows.sort(key=lambda r: (r[0], len(r[2])))
-        classes = {y for _, y, _ in rows}
-        at, w = np.array([2**BITS]), np.array([35.0 if classes == {1} else -35.0])  # one class: the intercept alone
-        if len(classes) == 2:
+        seen = Counter(y for _, y, _ in rows)
+        at, w = np.array([2**BITS]), np.array([35.0 if set(seen) == {1} else -35.0])  # one class: the intercept alone
+        if len(seen) == 2:
             model, order = Ftrl(), np.random.default_rng(0)
             for _ in range(EPOCHS):
                 for i in order.permutation(len(rows)):
                     model.learn(rows[i][2], rows[i][1])
-            at, w = model.sparse()
+            at, w = model.sparse(prior(seen, real))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w, pa.float64())], names=["at", "w"])
 
-    ids = F.broadcast(sample(labels, learn_from))  # TOXIC + CLEAN rows at most
+    ids = F.broadcast(sample(known))  # TOXIC + CLEAN rows at most
     made = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select("id", "toxic", "text").mapInArrow(featurise, "id long, toxic int, at array<int>")
     # one task: TOXIC + CLEAN rows at most
     model = save(made, "toxicity").coalesce(1).mapInArrow(learn, "at int, w double").toPandas()

@@ -145,6 +145,25 @@ def test_toxicity_held_out(spark):
     assert again == first
 
 
+def test_toxicity_scores_follow_all_labels(spark, monkeypatch):
+    # 200 toxic to 1,600 clean documents; the marked word stands in half of the toxic and in a twentieth of the clean ones
+    bad = lambda i: i % 9 == 0
+    marked = lambda i: i // 9 % (2 if bad(i) else 20) == 0
+    docs = frame(spark, [row(i, "quite awful words" if marked(i) else "quite usual words") for i in range(1800)])
+    # labels of no document teach nothing and count for nothing
+    marks = spark.createDataFrame([(i, 1, int(bad(i))) for i in range(1800)] + [(10**6 + i, 1, 1) for i in range(500)], "doc_id long, quality int, toxic int")
+
+    def scores():
+        score = toxicity.scorer(docs, marks)
+        return [r.s for r in spark.createDataFrame([("quite awful words",), ("quite usual words",)], "text string").coalesce(1).select(score("text").alias("s")).collect()]
+
+    whole = scores()
+    monkeypatch.setattr(toxicity, "CLEAN", 400)  # 1:2
+    some = scores()
+    assert all(abs(x - y) < 0.1 for x, y in zip(whole, some, strict=True)), (whole, some)
+    assert abs(whole[1] - 100 / 1620) < 0.05 and abs(some[1] - 100 / 1620) < 0.05  # toxic ones of those without the word
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.s < 1e-15 for r in frame(spark).select(toxicity.scorer(frame(spark), none)("text").alias("s")).collect())

@@ -7,7 +7,9 @@ payloads of LEAST bytes or more the smallest page_id is a response, the others a
 
 Reading.  Archives are read by Spark, compressed by member or not.  A record counts if its version line, headers,
 length, ending and block digest are right.  After a failed check the reader looks for the next place at which a gzip
-member or a version line starts a right record, goes on there, and logs the bytes between as a gap.
+member or a version line starts a right record, goes on there, and logs the bytes between as a gap.  A member of several
+records that is damaged or cut gives the right records of what can be unpacked; bytes lost between them are an inner gap
+(start and size in the unpacked content, ``member`` its place).  A member's only record needs the member's own check.
 
 Edge cases: a null html is empty; a null url is the page's urn; smaller and empty payloads are always responses;
 rows without page_id are not written; repeated rows of a page are a record each, all responses if it is the smallest
@@ -32,8 +34,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: A gzip member whose content is empty.
 EMPTY = zlib.compressobj(wbits=31).flush()
-ENTRIES = "kind string, path string, start long, size long, record_type string, record_id string, target_uri string, refers_to string, payload binary"
+ENTRIES = "kind string, path string, start long, size long, record_type string, record_id string, target_uri string, refers_to string, payload binary, member long"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: Packed bytes that a damaged member is unpacked by at first.
+STEP = 1 << 16
 _ID = re.compile(r"<urn:page:(-?\d+)>")
 
 
@@ -132,8 +137,60 @@ def unpacked(data: bytes, at: int) -> tuple[list, int] | None:
     return records, len(data) - len(unpack.unused_data)
 
 
+def recovered(packed: memoryview) -> tuple[bytes, str]:
+    """What a gzip member gives up to its end, its damage or the end of the data, and which of these: whole, damaged, cut."""
+    unpack, out, at, step = zlib.decompressobj(wbits=31), [], 0, STEP
+    while at < len(packed) and not unpack.eof:
+        ahead = unpack.copy()
+        try:
+            out.append(ahead.decompress(packed[at : at + step]))
+        except zlib.error:  # smaller steps up to the byte, then what comes before the damage within it
+            if step > 1:
+                step //= 2
+                continue
+            rest = packed[at : at + 1]
+            try:
+                while byte := unpack.decompress(rest, 1):
+                    out.append(byte)
+                    rest = unpack.unconsumed_tail
+            except zlib.error:
+                pass
+            return b"".join(out), "damaged"
+        unpack, at = ahead, at + step
+    return b"".join(out), "whole" if unpack.eof else "cut"
+
+
+def rescued(data: bytes, at: int) -> tuple[list, int] | None:
+    """Entries of the member at ``at`` that is not all right, up to its last right record, and where that ends."""
+    if data[at : at + 3] != b"\x1f\x8b\x08":
+        return None
+    packed = memoryview(data)[at:]
+    content, state = recovered(packed)
+    entries, place, end = [], 0, 0
+    while place < len(content):
+        found = parse(content, place)
+        # bytes of a member that fails its own check are trusted with a digest only
+        if found and (state != "damaged" or found[0].get("warc-block-digest", "").startswith(("sha256:", "sha1:"))):
+            if place > end:
+                entries.append(("inner gap", end, place - end, None, at))
+            entries.append(("record", *found[:2]))
+            place = end = found[2]
+        else:
+            following = _VERSION.search(content, place + 1)
+            place = following.start() if following else len(content)
+    if not end or (state != "whole" and len(entries) == 1 and end == len(content)):  # the only record lacks its member's check
+        return None
+    unpack = zlib.decompressobj(wbits=31)
+    unpack.decompress(packed, end - 1)  # a byte less, since the damage may follow at once
+    stop = len(data) - len(unpack.unconsumed_tail) - len(unpack.unused_data)
+    return [("record", at, stop - at, *e[1:]) if e[0] == "record" else e for e in entries], stop
+
+
 def salvage(data: bytes):
-    """("record", start, size, headers, block) and ("gap", start, size, None, None), in order, covering all bytes."""
+    """("record", start, size, headers, block) and ("gap", start, size, None, None), in order, covering all bytes.
+
+    Of a damaged member with right records also ("inner gap", start, size, None, place): unpacked bytes that are lost between
+    them, of the member at ``place``; what follows its last right record is part of a gap."""
     at, gap = 0, None
     while at < len(data):
         if found := unpacked(data, at):
@@ -143,6 +200,12 @@ def salvage(data: bytes):
             for headers, block in found[0]:
                 yield "record", at, found[1] - at, headers, block
             at = found[1]
+        elif found := rescued(data, at):
+            if gap is not None:
+                yield "gap", gap, at - gap, None, None
+                gap = None
+            yield from found[0]
+            at = found[1]
         else:
             gap = at if gap is None else gap
             following = _START.search(data, at + 1)
@@ -152,7 +215,7 @@ def salvage(data: bytes):
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """ENTRIES of all archives under ``path``: records with their payloads, and gaps."""
+    """ENTRIES of all archives under ``path``: records with their payloads, gaps and inner gaps."""
 
     def run(batches):
         names, types = zip(*(f.split() for f in ENTRIES.split(", ")), strict=True)
@@ -164,10 +227,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 where, data = b.column(0)[r].as_py(), b.column(1)[r].as_py()
                 for kind, start, size, headers, block in salvage(data):
                     if headers is None:
-                        rows.append((kind, where, start, size, *[None] * 5))
+                        rows.append((kind, where, start, size, *[None] * 5, block))  # an inner gap's member
                     else:
                         payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
-                        rows.append((kind, where, start, size, headers["warc-type"], headers["warc-record-id"], headers.get("warc-target-uri"), headers.get("warc-refers-to"), payload))
+                        rows.append((kind, where, start, size, headers["warc-type"], headers["warc-record-id"], headers.get("warc-target-uri"), headers.get("warc-refers-to"), payload, None))
                         held += len(payload)
                     if held > 4_000_000:
                         yield batch(rows)

@@ -152,6 +152,33 @@ def test_salvage_after_damage(packed):
     assert list(warc.salvage(b"")) == []
 
 
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_within_a_member(level):
+    parts = archive(False)
+    ids = lambda found: [int(h["warc-record-id"][10:-1]) for kind, _, _, h, _ in found if kind == "record"]
+    outer = lambda found: sum({s: n for kind, s, n, *_ in found if kind != "inner gap"}.values())
+    pack = lambda raw: (lambda c: c.compress(raw) + c.flush())(zlib.compressobj(level, wbits=31))
+    start = sum(map(len, parts[:5]))
+    hurt = bytearray(b"".join(parts))
+    hurt[start + len(parts[5]) - 50] ^= 0x55
+    before, after = archive(True, 1)[0], archive(True, 2)[1]
+    for data, lead in ((pack(bytes(hurt)), 0), (before + pack(bytes(hurt)) + after, len(before))):  # a record is wrong, its member's check right
+        found = list(warc.salvage(data))
+        assert ids(found) == [0] * (lead > 0) + [i for i in range(12) if i != 5] + [1] * (lead > 0)
+        assert [(s, n, m) for kind, s, n, _, m in found if kind == "inner gap"] == [(start, len(parts[5]), lead)]
+        assert outer(found) == len(data)
+    whole = pack(b"".join(parts))
+    for stop in (len(whole) // 2, len(whole) - 3):  # cut
+        found, out = list(warc.salvage(whole[:stop])), len(zlib.decompressobj(wbits=31).decompress(whole[:stop]))
+        assert ids(found) == [i for i in range(12) if sum(map(len, parts[: i + 1])) <= out] and ids(found)
+        assert outer(found) == stop
+    flipped = bytearray(whole)
+    flipped[len(whole) // 2] ^= 0x55
+    found = list(warc.salvage(bytes(flipped) + after))  # the member fails its check
+    assert set(range(3)) <= set(ids(found)[:-1]) and ids(found)[-1] == 1 and outer(found) == len(flipped) + len(after)
+    assert level or len(ids(found)) == 12  # stored bytes: all but the record that is hit
+
+
 def test_members_end_in_zero_and_are_gzip():
     for content in (b"", b"x", os.urandom(1000), b"y" * (2**24 + 5)):
         made = warc.member(content)
@@ -166,3 +193,12 @@ def test_read_archives_with_gaps(spark, tmp_path):
     assert sum(r.kind == "record" for r in rows) == 12
     assert [(r.size, r.path[-9:]) for r in rows if r.kind == "gap"] == [(7, "a.warc.gz")]
     assert {r.payload[0] for r in rows if r.kind == "record"} == set(range(12))
+
+
+def test_read_archives_with_inner_gaps(spark, tmp_path):
+    parts = archive(False)
+    hurt = parts[5][:-50] + b"?" + parts[5][-49:]
+    (tmp_path / "a.warc.gz").write_bytes(archive(True, 1)[0] + gzip.compress(b"".join([*parts[1:5], hurt, *parts[6:]])))
+    rows = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    assert sorted(r.payload[0] for r in rows if r.kind == "record") == [i for i in range(12) if i != 5]
+    assert [(r.kind, r.start, r.size, r.member) for r in rows if r.kind == "inner gap"] == [("inner gap", sum(map(len, parts[1:5])), len(parts[5]), len(archive(True, 1)[0]))]

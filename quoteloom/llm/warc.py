@@ -97,7 +97,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
 def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     """Headers, block and end of the right record at ``at``, if there is one."""
     head = data.find(b"\r\n\r\n", at)
-    if head < 0 or data[at : at + 7] != b"WARC/1." or head - at > 65536:
+    if head < 0 or data[at : at + 7] != b"WARC/1.":
         return None
     lines = data[at:head].decode("utf-8", "replace").split("\r\n")
     if any(":" not in x for x in lines[1:]):

@@ -125,6 +125,14 @@ def test_archive_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_round_trip_of_a_long_url(spark):
+    long, html = "data:text/html," + "u" * 100_000, "<p>" + "text " * 50
+    pages = spark.createDataFrame([(1, long, html, "k", "d"), (2, "u", html, "k", "d"), (3, long, html, "k", "d")], PAGES)
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    raw = html.encode()
+    assert got == [(i, len(raw), hashlib.sha256(raw).hexdigest(), *kind) for i, kind in ((1, ("response", None)), (2, ("revisit", 1)), (3, ("revisit", 1)))]
+
+
 def archive(packed, n=12):
     records = [warc.record(i, f"http://{i}", bytes([i]) * (200 + i), "x", None) for i in range(n)]
     return [warc.member(r) if packed else r for r in records]

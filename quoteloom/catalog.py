@@ -4,7 +4,7 @@ All of them read the driver's tables whole, through the adapters."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import adapters as A
@@ -271,6 +271,30 @@ def file_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return price_csv.file_verdict(rows, A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("file")))
 
 
+@query(
+    _with(
+        A.RAW_SQL,
+        """numbered as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1 as row_idx from parsed)""",
+        """judged as (select l_orderkey as file, row_idx, case
+  when day = '' then 'Missing required CSV column. Expected one of: tradeDate, date, tradingDate'
+  when price = '' then 'Missing required CSV column. Expected one of: open, openingPrice'
+  when bad_number then 'Invalid numeric value "12x" found in CSV.'
+  when plain = '1d' then 'Invalid numeric value "1d" found in CSV.'
+  when plain = '' then 'Missing required CSV column. Expected one of: volume, tradeVolume'
+  when day = 'soon' then 'Invalid trade date at CSV row ' || (row_idx + 2) || '.' end as error from numbered)""",
+        """ranked as (select o_orderkey as file, j.error, count(row_idx) over (partition by o_orderkey) as rows,
+  row_number() over (partition by o_orderkey order by (j.error is null), row_idx) as rn from orders left join judged j on j.file = o_orderkey)""",
+    )
+    + "select file, rows, rows > 0 and error is null as ok, case when rows = 0 then 'The uploaded CSV file is empty.' else error end as error from ranked where rn = 1"
+)
+def file_verdict_by_order(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of lineitem, a file an order; some orders have no row."""
+    # row_idx is the place within the file; rows of one line number and part have the same cells to judge
+    place = F.row_number().over(Window.partitionBy("file").orderBy("row_idx", "l_partkey")) - 1
+    rows = _csv_rows(spark, sf).withColumn("file", F.floor(F.col("row_idx") / 10)).withColumn("row_idx", place.cast("long"))
+    return price_csv.file_verdict(validation.check_csv_rows(rows), A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("file")))
+
+
 # --- checks ----------------------------------------------------------------------------------------------------------
 
 

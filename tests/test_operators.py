@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,19 @@ def test_plans(spark):
     assert "Window" not in plan("stock_universe").replace("WindowGroupLimit", "")
 
 
+def test_file_verdicts_of_whole_rows(spark):
+    got = catalog.QUERIES["file_verdict_by_order"](spark, TINY).toPandas()
+    assert (got.ok & got.error.isna() & (got.rows > 0)).sum() > 100
+    assert ((got.rows == 0) & (got.error == "The uploaded CSV file is empty.")).sum() > 10
+    assert got[~got.ok & (got.rows > 0)].error.str.slice(0, 12).nunique() == 3  # missing, no number, no date
+    assert got.rows.sum() == spark.read.parquet(f"{TINY}/lineitem.parquet").count() and got.file.is_unique
+    for t in ("lineitem", "orders"):
+        duckdb.sql(f"create or replace temp view {t} as select * from '{TINY}/{t}.parquet'")
+    plain = lambda rows: sorted(map(str, rows))
+    want = duckdb.sql("select file, rows, ok, error from (" + catalog.ORACLE["file_verdict_by_order"] + ")").fetchall()
+    assert plain(want) == plain(tuple(r) for r in catalog.QUERIES["file_verdict_by_order"](spark, TINY).collect())
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_every_query_runs_on_empty_tables(spark, name, tmp_path):
     for table in ("customer", "orders", "events", "lineitem", "supplier"):

@@ -2,18 +2,21 @@
 
 Writing.  Records are made in the tasks that hold the pages and written by Spark's text writer, whose line separator is
 the zero byte that ends every gzip member of less than 16 MiB of content; longer records are followed by an empty
-member, which ends so too.  The files are plain sequences of members, at most PER_ARCHIVE records each.  Of equal
-payloads of LEAST bytes or more the smallest page_id is a response, the others are revisits that refer to it.
-
-Reading.  Archives are read by Spark, compressed by member or not.  A record counts if its version line, headers,
-length, ending and block digest are right.  After a failed check the reader looks for the next place at which a gzip
-member or a version line starts a right record, goes on there, and logs the bytes between as a gap.  A member of several
-records that is damaged or cut gives the right records of what can be unpacked; bytes lost between them are an inner gap
-(start and size in the unpacked content, ``member`` its place).  A member's only record needs the member's own check.
+member, which ends so too.  The files are plain sequences of members, of about PART * PARTS bytes (64 MiB) at most, but for a
+larger single record.  Of equal payloads of LEAST bytes or more the smallest page_id is a response, the others are revisits
+that refer to it, by page and payload digest.
+
+Reading.  Archives are read by Spark, compressed by member, as a whole or not; a file is one row, so it may have 2 GB.  A record
+counts if its version line, headers, length, ending and block digest are right.  After a failed check the reader looks for the
+next place at which a gzip member or a version line starts a right record, goes on there, and logs the bytes between as a
+gap.  A member is unpacked in steps, and its records are read one at a time, so work grows with the bytes of the archive and
+memory with its largest record.  A member of several records that is damaged or cut gives the right records of what can be
+unpacked; bytes lost between them are an inner gap (start and size in the unpacked content, ``member`` its place).  A member's
+only record needs the member's own check.
 
 Edge cases: a null html is empty; a null url is the page's urn; smaller and empty payloads are always responses;
-rows without page_id are not written; repeated rows of a page are a record each, all responses if it is the smallest
-of its payload; an empty table gives an empty archive; other columns are ignored.
+rows without page_id are not written; repeated rows of a page are a record each, responses if the page is the smallest with
+their payload; an empty table gives an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +31,21 @@ from pyspark.sql import functions as F
 
 from .common import save, scratch
 
-LEAST, PER_ARCHIVE, LEVEL = 100, 2_000, 4
+LEAST, LEVEL = 100, 4
+#: Packed bytes of members that are written as one row, about, and how many such rows an archive has at most.
+PART, PARTS = 8 << 20, 8
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: A gzip member whose content is empty.
 EMPTY = zlib.compressobj(wbits=31).flush()
-ENTRIES = "kind string, path string, start long, size long, record_type string, record_id string, target_uri string, refers_to string, payload binary, member long"
+ENTRIES = "kind string, path string, start long, size long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload binary, member long"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-#: Packed bytes that a damaged member is unpacked by at first.
-STEP = 1 << 16
+#: Packed bytes that a member is unpacked by, at first and at most.
+FIRST, STEP = 1 << 12, 1 << 16
+#: Unpacked bytes of a member that are held, and the most that a record within a member may have (a row's limit is near).
+HELD, LARGEST = 1 << 24, 1 << 30
 _ID = re.compile(r"<urn:page:(-?\d+)>")
 
 
@@ -67,149 +74,207 @@ def member(content: bytes) -> bytes:
     return made if made[-1] == 0 else made + EMPTY
 
 
-def digests(pages: DataFrame) -> DataFrame:
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    return pages.where("page_id is not null").select("page_id", F.octet_length(payload).cast("long").alias("n"), F.sha2(payload, 256).alias("digest"))
-
-
 def write_archives(pages: DataFrame, path: str) -> None:
     """pages: (page_id, url, html)."""
-    sums = digests(pages)
-    first = sums.where(F.col("n") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("other"))
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    sums = rows.where(F.octet_length("payload") >= LEAST).select("page_id", "digest")
+    first = sums.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("other"))
     first = first.where("refers_to < other").select("digest", "refers_to")
-    repeats = sums.join(first, "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    repeats = sums.join(first, "digest").where("page_id > refers_to").select("page_id", F.col("digest").alias("same"), "refers_to").distinct()
     repeats = save(repeats, "revisits").withColumnRenamed("page_id", "of")
-    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.join(repeats, F.col("page_id") == F.col("of"), "left").select("page_id", "url", "payload", "refers_to")
+    rows = rows.join(repeats, (F.col("page_id") == F.col("of")) & (F.col("digest") == F.col("same")), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches):
+        made, held = [], 0
+        part = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(made)[:-1]], pa.binary())], names=["members"])
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                made = []
-                for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in b.slice(at, 200).columns), strict=True):
-                    made.append(member(record(page_id, url, payload, hashlib.sha256(payload).hexdigest(), refers_to))[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
+            for r in range(b.num_rows):
+                made.append(member(record(*(c[r].as_py() for c in b.columns))))
+                held += len(made[-1])
+                if held >= PART:
+                    yield part()
+                    made, held = [], 0
+        if made:
+            yield part()
 
-    members = rows.mapInArrow(run, "member binary").select(F.col("member").cast("string"))
-    members.write.option("lineSep", "\0").option("maxRecordsPerFile", PER_ARCHIVE).text(path)
+    members = rows.mapInArrow(run, "members binary").select(F.col("members").cast("string"))
+    members.write.option("lineSep", "\0").option("maxRecordsPerFile", PARTS).text(path)
 
 
-def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """Headers, block and end of the right record at ``at``, if there is one."""
-    head = data.find(b"\r\n\r\n", at)
-    if head < 0 or data[at : at + 7] != b"WARC/1.":
-        return None
-    lines = data[at:head].decode("utf-8", "replace").split("\r\n")
-    if any(":" not in x for x in lines[1:]):
+def parse(data: bytes | bytearray, at: int) -> tuple[dict[str, str], bytes, int] | int | None:
+    """Headers, block and end of the right record at ``at``, if there is one; how many bytes to have if ``data`` ends within it.
+
+    Headers are read line by line, up to the first that is none, so that a version line within a text costs little."""
+    if data[at : at + 7] != b"WARC/1."[: max(0, len(data) - at)]:
         return None
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    if not headers.get("content-length", "").isdecimal() or "warc-type" not in headers or "warc-record-id" not in headers:
+    headers: dict[str, str] = {}
+    line = data.find(b"\r\n", at)
+    while True:
+        start = line + 2
+        line = data.find(b"\r\n", start) if line >= 0 else line
+        if line < 0:
+            return at + 2 * (len(data) - at) + 10
+        if line == start:
+            break
+        name, colon, value = bytes(data[start:line]).decode("utf-8", "replace").partition(":")
+        if not colon:
+            return None
+        headers[name.strip().lower()] = value.strip()
+    length = headers.get("content-length", "")
+    if not (length.isdecimal() and len(length) < 19) or "warc-type" not in headers or "warc-record-id" not in headers:
         return None
-    start = head + 4
-    end = start + int(headers["content-length"])
-    block = data[start:end]
-    if end + 4 > len(data) or data[end : end + 4] != b"\r\n\r\n":
+    start, end = line + 2, line + 2 + int(length)
+    if end + 4 > len(data):
+        return end + 4
+    if data[end : end + 4] != b"\r\n\r\n":
         return None
+    block = bytes(data[start:end])
     kind, _, digest = headers.get("warc-block-digest", "").partition(":")
     if kind in ("sha256", "sha1") and hashlib.new(kind, block).hexdigest() != digest.lower():
         return None
     return headers, block, end + 4
 
 
-def unpacked(data: bytes, at: int) -> tuple[list, int] | None:
-    """The records (headers, block) of the member or plain record at ``at``, and its end; None unless all is right."""
-    if data[at : at + 3] != b"\x1f\x8b\x08":
-        found = parse(data, at)
-        return found and ([found[:2]], found[2])
-    unpack = zlib.decompressobj(wbits=31)
-    try:
-        content = unpack.decompress(memoryview(data)[at:])
-    except zlib.error:
-        return None
-    if not unpack.eof:
-        return None
-    records, place = [], 0
-    while place < len(content):
-        if (found := parse(content, place)) is None:
-            return None
-        records.append(found[:2])
-        place = found[2]
-    return records, len(data) - len(unpack.unused_data)
-
+def unpack(data: bytes, at: int):
+    """What the gzip member at ``at`` gives up, in pieces: a step of STEP packed bytes has about a thousand times as many at most.
 
-def recovered(packed: memoryview) -> tuple[bytes, str]:
-    """What a gzip member gives up to its end, its damage or the end of the data, and which of these: whole, damaged, cut."""
-    unpack, out, at, step = zlib.decompressobj(wbits=31), [], 0, STEP
-    while at < len(packed) and not unpack.eof:
-        ahead = unpack.copy()
+    Returns how the member ends (whole; damaged; or, with the data, cut) and where."""
+    pack, packed, step, hurt = zlib.decompressobj(wbits=31), memoryview(data), FIRST, False
+    while at < len(packed):
+        ahead = pack.copy()
         try:
-            out.append(ahead.decompress(packed[at : at + step]))
+            piece = ahead.decompress(packed[at : at + step])
         except zlib.error:  # smaller steps up to the byte, then what comes before the damage within it
+            hurt = True
             if step > 1:
                 step //= 2
                 continue
             rest = packed[at : at + 1]
             try:
-                while byte := unpack.decompress(rest, 1):
-                    out.append(byte)
-                    rest = unpack.unconsumed_tail
+                while byte := pack.decompress(rest, 1):
+                    yield byte
+                    rest = pack.unconsumed_tail
             except zlib.error:
                 pass
-            return b"".join(out), "damaged"
-        unpack, at = ahead, at + step
-    return b"".join(out), "whole" if unpack.eof else "cut"
+            return "damaged", at
+        yield piece
+        pack, at = ahead, min(at + step, len(packed))
+        if pack.eof:
+            return "whole", at - len(pack.unused_data)
+        step = step if hurt else min(2 * step, STEP)
+    return "cut", at
+
+
+def records_in(pieces, trusted: bool):
+    """("record", headers, block, end) and ("inner gap", start, size) of a member's unpacked pieces, in order.
+
+    One record is held at a time; one of more than LARGEST bytes is passed over.  Records of a member that fails its own
+    check, not ``trusted``, count with a digest only."""
+    held, base, sure, need = bytearray(), 0, 0, 1  # base: place of held[0] in the content; sure: end of the last right record
+    pieces, more = iter(pieces), True
+    while True:
+        while more and len(held) < need:
+            piece = next(pieces, None)
+            more = piece is not None
+            held += piece or b""
+        if not held:
+            return
+        found = parse(held, 0)
+        if isinstance(found, int):
+            if more and found <= LARGEST:
+                need = found
+                continue
+            found = None
+        if found and (trusted or found[0].get("warc-block-digest", "").startswith(("sha256:", "sha1:"))):
+            if base > sure:
+                yield "inner gap", sure, base - sure
+            base = sure = base + found[2]
+            del held[: found[2]]
+            yield "record", found[0], found[1], sure
+            need = 1
+        else:
+            following = _VERSION.search(held, 1)
+            # a version line may be cut by the end of a piece
+            skip = following.start() if following else max(len(held) - 9, 1) if more else len(held)
+            del held[:skip]
+            base += skip
+            need = 1 if following else len(held) + 1
+
+
+def packed_end(data: bytes, at: int, end: int) -> int:
+    """Where the packed bytes of the member at ``at`` end that give its first ``end`` bytes."""
+    pack, packed, made, rest = zlib.decompressobj(wbits=31), memoryview(data), 0, b""
+    while made < end - 1:  # a byte less, since the damage may follow at once
+        if not rest:
+            rest = packed[at : at + STEP]
+            at += len(rest)
+        made += len(pack.decompress(rest, min(STEP, end - 1 - made)))
+        rest = pack.unconsumed_tail
+    return at - len(rest) - len(pack.unused_data)
+
+
+def member_at(data: bytes, at: int) -> tuple | None:
+    """(entries, end) of the gzip member at ``at``; None if nothing of it can be trusted.
+
+    Its content is held if it has HELD bytes at most, and else unpacked again to be read."""
+    run, held, total = unpack(data, at), [], 0
+    while True:
+        try:
+            piece = next(run)
+        except StopIteration as stop:
+            state, end = stop.value
+            break
+        total += len(piece)
+        held = [*held, piece] if held is not None and total <= HELD else None
+    records = lambda: records_in(unpack(data, at) if held is None else held, state != "damaged")
+    if state != "whole":
+        ends = [e[3] for e in records() if e[0] == "record"]
+        if not ends or (len(ends) == 1 and ends[0] == total):  # the only record lacks its member's check
+            return None
+        end = packed_end(data, at, ends[-1])
 
+    def entries():
+        sure = 0
+        for e in records():
+            if e[0] == "record":
+                sure = e[3]
+                yield "record", at, end - at, *e[1:3]
+            else:
+                yield *e, None, at
+        if state == "whole" and sure < total:
+            yield ("gap", at, end - at, None, None) if not sure else ("inner gap", sure, total - sure, None, at)
 
-def rescued(data: bytes, at: int) -> tuple[list, int] | None:
-    """Entries of the member at ``at`` that is not all right, up to its last right record, and where that ends."""
-    if data[at : at + 3] != b"\x1f\x8b\x08":
-        return None
-    packed = memoryview(data)[at:]
-    content, state = recovered(packed)
-    entries, place, end = [], 0, 0
-    while place < len(content):
-        found = parse(content, place)
-        # bytes of a member that fails its own check are trusted with a digest only
-        if found and (state != "damaged" or found[0].get("warc-block-digest", "").startswith(("sha256:", "sha1:"))):
-            if place > end:
-                entries.append(("inner gap", end, place - end, None, at))
-            entries.append(("record", *found[:2]))
-            place = end = found[2]
-        else:
-            following = _VERSION.search(content, place + 1)
-            place = following.start() if following else len(content)
-    if not end or (state != "whole" and len(entries) == 1 and end == len(content)):  # the only record lacks its member's check
-        return None
-    unpack = zlib.decompressobj(wbits=31)
-    unpack.decompress(packed, end - 1)  # a byte less, since the damage may follow at once
-    stop = len(data) - len(unpack.unconsumed_tail) - len(unpack.unused_data)
-    return [("record", at, stop - at, *e[1:]) if e[0] == "record" else e for e in entries], stop
+    return entries(), end
 
 
 def salvage(data: bytes):
     """("record", start, size, headers, block) and ("gap", start, size, None, None), in order, covering all bytes.
 
-    Of a damaged member with right records also ("inner gap", start, size, None, place): unpacked bytes that are lost between
-    them, of the member at ``place``; what follows its last right record is part of a gap."""
+    Of a member with right records also ("inner gap", start, size, None, place): unpacked bytes that are lost between or after
+    them, of the member at ``place``; what follows the last right record of one that fails its check is part of a gap."""
     at, gap = 0, None
     while at < len(data):
-        if found := unpacked(data, at):
-            if gap is not None:
-                yield "gap", gap, at - gap, None, None
-                gap = None
-            for headers, block in found[0]:
-                yield "record", at, found[1] - at, headers, block
-            at = found[1]
-        elif found := rescued(data, at):
-            if gap is not None:
-                yield "gap", gap, at - gap, None, None
-                gap = None
-            yield from found[0]
-            at = found[1]
+        if data[at : at + 3] == b"\x1f\x8b\x08":
+            found = member_at(data, at)
         else:
+            found = parse(data, at)
+            found = None if found is None or isinstance(found, int) else ([("record", at, found[2] - at, *found[:2])], found[2])
+        if found is None:
             gap = at if gap is None else gap
             following = _START.search(data, at + 1)
             at = following.start() if following else len(data)
+            continue
+        for entry in found[0]:
+            if entry[0] == "gap":  # a whole member without a right record
+                gap = at if gap is None else gap
+            else:
+                if gap is not None:
+                    yield "gap", gap, at - gap, None, None
+                    gap = None
+                yield entry
+        at = found[1]
     if gap is not None:
         yield "gap", gap, len(data) - gap, None, None
 
@@ -227,10 +292,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 where, data = b.column(0)[r].as_py(), b.column(1)[r].as_py()
                 for kind, start, size, headers, block in salvage(data):
                     if headers is None:
-                        rows.append((kind, where, start, size, *[None] * 5, block))  # an inner gap's member
+                        rows.append((kind, where, start, size, *[None] * 6, block))  # an inner gap's member
                     else:
                         payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
-                        rows.append((kind, where, start, size, headers["warc-type"], headers["warc-record-id"], headers.get("warc-target-uri"), headers.get("warc-refers-to"), payload, None))
+                        rows.append((kind, where, start, size, headers["warc-type"], headers["warc-record-id"], headers.get("warc-target-uri"), headers.get("warc-refers-to"), headers.get("warc-payload-digest"), payload, None))
                         held += len(payload)
                     if held > 4_000_000:
                         yield batch(rows)
@@ -253,13 +318,14 @@ def round_trip(pages: DataFrame) -> DataFrame:
     write_archives(pages, path)
     read = read_archives(spark, path).where("kind = 'record'")
     refers = F.when(F.col("record_type") == "revisit", page_of("refers_to"))
-    read = read.select(page_of("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("digest"), "record_type", refers.alias("refers_to"))
+    said = F.substring_index("payload_digest", ":", -1)
+    read = read.select(page_of("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("digest"), said.alias("said"), "record_type", refers.alias("refers_to"))
     read = save(read, "read")
     response = read.where("record_type <> 'revisit'")
-    # a revisit's payload is that of the record it refers to; responses take no part in the join
-    full = response.groupBy(F.col("page_id").alias("of")).agg(F.max("n").alias("full_n"), F.max("digest").alias("full_digest"))
-    revisit = read.where("record_type = 'revisit'").join(full, F.col("refers_to") == F.col("of"), "left")
-    revisit = revisit.select("page_id", F.col("full_n").alias("n"), F.col("full_digest").alias("digest"), "record_type", "refers_to")
+    # a revisit's payload is that of the record it refers to, by page and digest; responses take no part in the join
+    full = response.groupBy(F.col("page_id").alias("of"), F.col("digest").alias("full")).agg(F.max("n").alias("full_n"))
+    revisit = read.where("record_type = 'revisit'").join(full, (F.col("refers_to") == F.col("of")) & (F.col("said") == F.col("full")), "left")
+    revisit = revisit.select("page_id", F.col("full_n").alias("n"), F.col("full").alias("digest"), "record_type", "refers_to")
     both = response.select("page_id", "n", "digest", "record_type", "refers_to").unionByName(revisit)
     return both.withColumnsRenamed({"n": "payload_bytes", "digest": "payload_digest"})
 

@@ -187,6 +187,75 @@ def test_salvage_within_a_member(level):
     assert level or len(ids(found)) == 12  # stored bytes: all but the record that is hit
 
 
+def test_members_are_read_in_pieces(monkeypatch):
+    """Members that are not held, whole and damaged, give the same entries."""
+    parts = archive(False, 40)
+    hurt = b"".join([*parts[:7], parts[7][:-50] + b"?" + parts[7][-49:], *parts[8:], b"trailing junk"])
+    whole = gzip.compress(hurt)
+    flipped = bytearray(gzip.compress(b"".join(parts), 0))
+    flipped[len(flipped) // 2] ^= 0x55
+    files = [archive(True, 1)[0] + whole + archive(True, 2)[1], bytes(flipped) + archive(True, 2)[1], whole[: len(whole) // 2], gzip.compress(b"nothing right") + whole]
+    held = [list(warc.salvage(f)) for f in files]
+    assert [sum(e[0] == "record" for e in found) for found in held[:2]] == [41, 40]
+    assert [(e[1], e[2]) for e in held[0] if e[0] == "inner gap"] == [(sum(map(len, parts[:7])), len(parts[7])), (len(hurt) - 13, 13)]
+    assert [e[:3] for e in held[3] if e[0] == "gap"] == [("gap", 0, len(gzip.compress(b"nothing right")))]
+    monkeypatch.setattr(warc, "HELD", 10)
+    for first, most in ((1, 7), (16, 64), (1 << 12, 1 << 16)):
+        monkeypatch.setattr(warc, "FIRST", first)
+        monkeypatch.setattr(warc, "STEP", most)
+        assert [list(warc.salvage(f)) for f in files] == held
+
+
+def test_reading_grows_with_the_bytes(monkeypatch):
+    """What is given to zlib, in bytes, is in proportion to the archive's, however many members follow."""
+    given = []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def decompress(self, data, *most):
+            given.append(len(data))
+            return self.inner.decompress(data, *most)
+
+        def copy(self):
+            return Counting(self.inner.copy())
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    per_byte = []
+    for n in (500, 4000):
+        data = b"".join(warc.member(warc.record(i, "u", os.urandom(4000), "x", None)) for i in range(n))
+        with monkeypatch.context() as m:
+            real = zlib.decompressobj
+            m.setattr(warc.zlib, "decompressobj", lambda **k: Counting(real(**k)))
+            given.clear()
+            assert sum(e[0] == "record" for e in warc.salvage(data)) == n
+        per_byte.append(sum(given) / len(data))
+    assert per_byte[1] < 1.1 * per_byte[0] < 10
+
+
+def test_one_page_with_several_texts(spark):
+    a, b, c = ("<p>" + w * 60 for w in ("one ", "two ", "three "))
+    rows = [(1, a), (2, b), (3, a), (3, b), (3, c), (4, c), (4, a)]
+    pages = spark.createDataFrame([(i, "u", h, None, None) for i, h in rows], PAGES)
+    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    first = {a: 1, b: 2, c: 3}
+    assert got == sorted((i, hashlib.sha256(h.encode()).hexdigest(), *(("revisit", first[h]) if i != first[h] else ("response", None))) for i, h in rows)
+
+
+def test_archives_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PART", 20_000)
+    monkeypatch.setattr(warc, "PARTS", 2)
+    pages = spark.createDataFrame([(i, "u", os.urandom(3000).hex(), None, None) for i in range(100)], PAGES).coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) < 2 * (20_000 + 4_000) and len(sizes) > 5
+    read = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    assert sorted(r.record_id for r in read) == sorted(f"<urn:page:{i}>" for i in range(100)) and {r.kind for r in read} == {"record"}
+
+
 def test_members_end_in_zero_and_are_gzip():
     for content in (b"", b"x", os.urandom(1000), b"y" * (2**24 + 5)):
         made = warc.member(content)

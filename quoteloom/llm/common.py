@@ -84,3 +84,14 @@ def word_count(text: str) -> Column:
 def own_columns(df: DataFrame) -> list[Column]:
     """The columns of ``df`` by name, whatever characters the names hold."""
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores in front as it takes for ``df`` to have no such column (letter case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out

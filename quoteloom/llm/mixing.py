@@ -12,8 +12,9 @@ Scale.  Running sums over a source are built from sums of key ranges: whole rang
 sorted only inside the one range where the budget ends, so no task sees a whole source.
 
 Edge cases: null texts have size 0 and documents without words are taken 0 times; a document without quality weighs 1;
-weights that are null, not positive or not finite count as 1; repeated rows of a doc_id are rows of their own; an empty table gives
-an empty result; other columns are ignored.
+weights that are null, not positive or not finite count as 1; repeated rows of a doc_id are rows of their own, and those of one
+size and source are taken equally often; rows without doc_id draw their key from the text; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, own_columns, save, word_count
+from .common import WORD, fresh, own_columns, save, word_count
 
 CAP = 3
 #: Documents to a range of keys, about.
 RANGE = 5_000
 
 
-def uniform(doc_id: Column) -> Column:
+def uniform(name: Column) -> Column:
     """In (0, 1), from 48 bits of a digest."""
-    bits = F.conv(F.substring(F.md5(F.concat(doc_id.cast("string"), F.lit(":mix")).cast("binary")), 1, 12), 16, 10).cast("double")
+    bits = F.conv(F.substring(F.md5(F.concat(name, F.lit(":mix")).cast("binary")), 1, 12), 16, 10).cast("double")
     return (bits + F.lit(0.5)) / F.lit(float(2**48))
 
 
@@ -50,16 +51,16 @@ def targets(sized: DataFrame) -> DataFrame:
     return s.select("source", "rank", "source_size", "docs", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies) of each row of docs; quality: (doc_id, weight)."""
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"))
+def _mix(docs: DataFrame, quality: DataFrame | None) -> DataFrame:
+    """(doc_id, source, x, size, source_size, target, taken, copies); x is a hash of the text of rows without doc_id, else null."""
+    sized = docs.select("doc_id", "source", word_count("text").alias("size"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))).alias("x"))
     weight = F.lit(1.0)
     if quality is not None:
         q = quality.groupBy(F.col("doc_id").alias("id")).agg(F.max("weight").cast("double").alias("weight"))
         sized = sized.join(q, F.col("doc_id") == F.col("id"), "left")
         weight = F.when((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.col("weight")).otherwise(1.0)
-    key = -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) / weight
-    sized = save(sized.select("doc_id", "source", "size", key.alias("key")), "sized")
+    key = -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), "x"))) / weight
+    sized = save(sized.select("doc_id", "source", "x", "size", key.alias("key")), "sized")
     sources = save(targets(sized), "sources")
 
     ranges = F.greatest(F.ceil(F.col("docs") / RANGE), F.lit(1))
@@ -71,21 +72,66 @@ def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     rows = rows.join(sums, ["rank", "range"])
 
     edge = (F.col("before") < F.col("rest")) & (F.col("upto") > F.col("rest"))
-    within = Window.partitionBy("rank", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    # equal rows have one place in the order: all of them are taken, or none
+    order = ["key", "doc_id", "x", "size"]
+    within = Window.partitionBy("rank", "range").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.col("before") + F.sum("size").over(within)
-    start = end - F.col("size")
+    start = end - F.sum("size").over(Window.partitionBy("rank", "range", *order))
     first = (start < F.col("rest")) & (end - F.col("rest") <= F.col("rest") - start)
     cut = rows.where(edge).withColumn("extra", first.cast("long"))
     whole = rows.where(~edge).withColumn("extra", (F.col("upto") <= F.col("rest")).cast("long"))
     copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("extra")).otherwise(0)
-    return cut.unionByName(whole).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return cut.unionByName(whole).select("doc_id", "source", "x", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def _mix(docs: DataFrame, quality: DataFrame | None) -> DataFrame:
+    """(doc_id, source, x, size, source_size, target, taken, copies); x is a hash of the text of rows without doc_id, else null."""
+    sized = docs.select("doc_id", "source", word_count("text").alias("size"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))).alias("x"))
+    weight = F.lit(1.0)
+    if quality is not None:
+        q = quality.groupBy(F.col("doc_id").alias("id")).agg(F.max("weight").cast("double").alias("weight"))
+        sized = sized.join(q, F.col("doc_id") == F.col("id"), "left")
+        weight = F.when((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.col("weight")).otherwise(1.0)
+    key = -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), "x"))) / weight
+    sized = save(sized.select("doc_id", "source", "x", "size", key.alias("key")), "sized")
+    sources = save(targets(sized), "sources")
+
+    ranges = F.greatest(F.ceil(F.col("docs") / RANGE), F.lit(1))
+    rows = sized.withColumnRenamed("source", "of").join(sources, F.col("of").eqNullSafe(F.col("source")))
+    rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("long"))
+    sums = rows.groupBy("rank", "range").agg(F.sum("size").alias("in_range"))
+    upto = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("upto", F.sum("in_range").over(upto)).select("rank", "range", (F.col("upto") - F.col("in_range")).alias("before"), "upto")
+    rows = rows.join(sums, ["rank", "range"])
+
+    edge = (F.col("before") < F.col("rest")) & (F.col("upto") > F.col("rest"))
+    # equal rows have one place in the order: all of them are taken, or none
+    order = ["key", "doc_id", "x", "size"]
+    within = Window.partitionBy("rank", "range").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.col("before") + F.sum("size").over(within)
+    start = end - F.sum("size").over(Window.partitionBy("rank", "range", *order))
+    first = (start < F.col("rest")) & (end - F.col("rest") <= F.col("rest") - start)
+    cut = rows.where(edge).withColumn("extra", first.cast("long"))
+    whole = rows.where(~edge).withColumn("extra", (F.col("upto") <= F.col("rest")).cast("long"))
+    copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("extra")).otherwise(0)
+    return cut.unionByName(whole).select("doc_id", "source", "x", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies) of each row of docs; quality: (doc_id, weight)."""
+    return _mix(docs, quality).drop("source", "x")
 
 
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """The documents that the mix takes, as often as it takes them."""
-    taken = mix(docs, quality).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies"))
-    rows = docs.join(taken.where("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*own_columns(docs))
+    names = dict(zip(("doc_id", "source", "x", "size", "copies"), fresh(docs, "id", "source", "x", "size", "copies"), strict=True))
+    taken = _mix(docs, quality).where("copies > 0").groupBy("doc_id", "source", "x", "size").agg(F.max("copies").cast("int").alias("copies"))
+    taken = taken.withColumnsRenamed(names)
+    mine = {"doc_id": F.col("doc_id"), "source": F.col("source"), "x": F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))), "size": word_count("text")}
+    same = [value.eqNullSafe(F.col(names[c])) for c, value in mine.items()]
+    rows = docs.join(taken, same)
+    (again,) = fresh(rows, "copy")
+    return rows.withColumn(again, F.explode(F.array_repeat(F.lit(1), F.col(names["copies"])))).select(*own_columns(docs))
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
@@ -96,7 +142,7 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 ORACLE = rf"""
 with q as (select doc_id as id, max(case when quality = 1 then 2.0 else 0.5 end) as weight from labels where quality is not null group by 1),
 sized as (select d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '{WORD}')), 0)::bigint as size,
-          -ln((('0x' || substr(md5(d.doc_id::varchar || ':mix'), 1, 12))::bigint::double + 0.5) / 281474976710656.0) / coalesce(q.weight, 1.0)::double as key
+          -ln((('0x' || substr(md5(coalesce(d.doc_id::varchar, md5(coalesce(d.text, ''))) || ':mix'), 1, 12))::bigint::double + 0.5) / 281474976710656.0) / coalesce(q.weight, 1.0)::double as key
           from documents d left join q on q.id = d.doc_id),
 s0 as (select source, sum(size)::bigint as source_size from sized group by 1),
 s1 as (select *, row_number() over (order by source nulls last) as rank from s0),

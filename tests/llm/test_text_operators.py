@@ -24,40 +24,78 @@ def template(line):
     return tuple(masked if 2 * masked.count("<*>") <= len(tokens) else tokens)
 
 
-def plain_dedup(rows):
-    at, often = defaultdict(set), Counter()
+def plain_dedup(rows, often=10):
+    """Line by line and pair by pair: (kept rows, number of templates that joined an earlier one)."""
+    at, place = defaultdict(set), {}
     for d, text, *_ in rows:
         if d is not None:
-            for line in (text or "").split("\n"):
-                at[template(line)].add(d)
-                often[template(line)] += 1
-    drop = lambda d, t: len(at[t]) > 1 and d != min(at[t]) and (len(t) >= 8 or (len(t) >= 3 and often[t] >= 10))
-    return Counter((d, text if text is None or d is None else "\n".join(x for x in text.split("\n") if not drop(d, template(x)))) for d, text, *_ in rows)
+            for i, line in enumerate((text or "").split("\n")):
+                if t := template(line):
+                    at[t].add(d)
+                    place[t] = min(place.get(t, (d, i)), (d, i))
+    buckets = defaultdict(list)
+    for t in at:
+        k = min(6, len(t) // 4) if len(t) >= 8 else 0
+        for j in range(k):
+            buckets[len(t), t[:2], j, t[j * len(t) // k : (j + 1) * len(t) // k]].append(t)
+    keep, joined = {}, set()
+    for t, ds in at.items():
+        long = len(t) >= 8 or len(" ".join(t)) >= 40
+        if len(ds) > 1 and (long or len(ds) >= often):
+            keep[t] = min(ds)
+    for members in buckets.values():
+        head = min(members, key=place.get)
+        for t in members:
+            if t != head and 5 * sum(a == b for a, b in zip(t, head, strict=True)) >= 4 * len(t):
+                keep[t] = min(keep.get(t, min(at[t])), place[head][0])
+                joined.add(t)
+    drop = lambda d, t: t in keep and d > keep[t]
+    return Counter((d, text if text is None or d is None else "\n".join(x for x in text.split("\n") if not drop(d, template(x)))) for d, text, *_ in rows), len(joined)
 
 
 def line_rows():
     rnd = random.Random(5)
     word = lambda: rnd.choice("abcdefgh") + rnd.choice("xyz")
-    shared = [" ".join(word() for _ in range(n)) for n in (3, 4, 7, 8, 9, 60)]
+    shared = [" ".join(word() for _ in range(n)) for n in (1, 2, 3, 4, 7, 8, 9, 60, 90)]
     rows = list(ODD)
-    for i in range(100, 140):
+
+    def edited(line):  # some words changed, none with a digit
+        ws = line.split()
+        for _ in range(rnd.randrange(0, max(1, len(ws) // 4))):
+            ws[rnd.randrange(len(ws))] = word() + word()
+        return " ".join(ws)
+
+    for i in range(100, 150):
         lines = [" ".join(word() for _ in range(rnd.randrange(0, 12))) for _ in range(6)]
-        lines += [rnd.choice(shared), f"Page {i} of {i * 2} printed on day {i} by nobody known", f"{i} {i} {i} {i} {i} {i} {i} {i + 1}", " ".join(shared[rnd.randrange(6)].split()).replace(" ", " \t ")]
+        lines += [rnd.choice(shared), f"Page {i} of {i * 2} printed on day {i} by nobody known", f"{i} {i} {i} {i} {i} {i} {i} {i + 1}", " ".join(rnd.choice(shared).split()).replace(" ", " \t "), edited(rnd.choice(shared)), edited(shared[-1])]
+        lines += [f"Dear {word()}{word()}, your parcel has left our house in {word()} today", "文" * 45 if i % 7 == 0 else "文" * 20 + "x" * (i % 3)]
         rnd.shuffle(lines)
         rows.append(row(i, "\n".join(lines)))
+    rows += [row(7, "another text of this doc_id\nPage 5 of 6 printed on day 7 by nobody known"), row(7, None), row(160, "\n".join(["Page 1 of 2 printed on day 3 by nobody known"] * 3000 + ["the end"]))]
     return rows
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("often", [10, 2])
+def test_line_dedup_equals_brute_force(spark, often):
     rows = line_rows()
-    got = linededup.drop_recurring_lines(frame(spark, rows))
+    want, joined = plain_dedup(rows, often)
+    assert joined > 25
+    got = linededup.drop_recurring_lines(frame(spark, rows), often)
     assert got.columns == frame(spark).columns
-    assert Counter((r.doc_id, r.text) for r in got.collect()) == plain_dedup(rows)
-    report = linededup.report(frame(spark, rows)).collect()
-    assert sum(r.n_dropped for r in report) > 40 and all(r.n_dropped <= r.n_lines for r in report)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == want
+    report = linededup.report(frame(spark, rows), often).collect()
+    assert sum(r.n_dropped for r in report) > 3000 and all(r.n_dropped <= r.n_lines for r in report)
     assert linededup.report(frame(spark, [])).count() == 0
 
 
+def test_fields_without_digits(spark):
+    """Names are fields: of lines that differ in one word the first document's stays."""
+    line = "Dear {}, your parcel has left our house in Lyon today"
+    rows = [row(i, f"own text number {i} here\n{line.format(name)}") for i, name in enumerate(["Ada", "Bo", "Cy"])] + [row(9, line.format("Ada").replace("Lyon", "Rome").replace("parcel", "friend").replace("house", "town"))]
+    got = {r.doc_id: r.n_dropped for r in linededup.report(frame(spark, rows)).collect()}
+    assert got == {0: 0, 1: 2, 2: 2, 9: 0} or got == {0: 0, 1: 1, 2: 1, 9: 0}
+
+
 # --- mixing
 
 
@@ -78,25 +116,36 @@ def plain_targets(sizes):
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE", 20)
     rnd = random.Random(2)
-    rows = [r for r in ODD if r[0] not in (4, None)] + [row(i, "w " * rnd.randrange(0, 40), rnd.choice(["hot"] * 9 + ["b", "c", "Z", "é"])) for i in range(100, 1200)]
+    rows = ODD + [row(i, "w " * rnd.randrange(0, 40), rnd.choice(["hot"] * 9 + ["b", "c", "Z", "é"])) for i in range(100, 1200)]
+    rows += [row(None, f"w{i} " * (i % 30), rnd.choice(["hot", "b"])) for i in range(300)] + [row(150, "w " * n, "hot") for n in (5, 5, 6, 7)]
     got = mixing.mix(frame(spark, rows)).collect()
     assert len(got) == len(rows)
     sizes = Counter()
+    size = lambda text: len(re.findall(r"[^\x20\x09-\x0d]+", text or ""))
     for d, text, _, source, *_ in rows:
-        sizes[source] += len(re.findall(r"[^\x20\x09-\x0d]+", text or ""))
+        sizes[source] += size(text)
     target = plain_targets(sizes)
-    source = {r[0]: r[3] for r in rows}
-    taken = Counter()
+    taken, slack = Counter(), Counter()
     for r in got:
-        s = source[r.doc_id]
-        assert r.source_size == sizes[s] and math.isclose(r.target, target[s]) and r.taken <= 3 * r.size and r.taken == r.copies * r.size
-        taken[s] += r.taken
+        assert r.taken <= 3 * r.size and r.taken == r.copies * r.size
+    full = mixing._mix(frame(spark, rows), None).collect()
+    assert Counter((r.doc_id, r.size, r.copies) for r in full) == Counter((r.doc_id, r.size, r.copies) for r in got)
+    assert Counter((r.doc_id, r.source, r.size) for r in full) == Counter((d, source, size(text)) for d, text, _, source, *_ in rows)
+    for r in full:
+        assert r.source_size == sizes[r.source] and math.isclose(r.target, target[r.source])
+        taken[r.source] += r.taken
+        slack[r.source] = max(slack[r.source], r.size)
     for s in sizes:
-        assert abs(taken[s] - target[s]) <= 40
+        assert abs(taken[s] - target[s]) <= max(40, slack[s])
     again = mixing.mix(frame(spark, rows, parts=7)).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
-    copies = Counter(r.doc_id for r in mixing.mixed_documents(frame(spark, rows)).collect())
-    assert copies[100] == next(r.copies for r in got if r.doc_id == 100) and sum(copies.values()) >= sum(r.copies for r in got)
+    # the documents come out as often as the mix says, rows of one doc_id and rows without one too
+    mixed = mixing.mixed_documents(frame(spark, rows))
+    assert mixed.columns == frame(spark).columns
+    want = Counter()
+    for r in full:
+        want[r.doc_id, r.source, r.size] += r.copies
+    assert Counter((r.doc_id, r.source, size(r.text)) for r in mixed.collect()) == +want
 
 
 def test_mix_without_words(spark):

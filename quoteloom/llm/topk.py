@@ -1,14 +1,18 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
-Vectors are dealt by a hash of their id into blocks of about BLOCK rows.  A block has a sorted list for each
-dimension.  A query goes down all lists in step, from the end that its sign favours; vectors met for the first time are
-scored in full; the sum of what the lists hold at that depth bounds every vector not met.  It stops when the bound is
-below the k-th score (at equality a smaller id might still come, so it goes on) or when all vectors have been met.
-Depth grows by a factor from round to round.
+Blocks.  Vectors are grouped by the dimension that is largest in them and its sign, and groups are dealt into blocks of about
+BLOCK rows.  A block has a sorted list for each dimension; they are sorted once, and all queries pass by them.
 
-A query block meets a candidate block by an equi-join on the pair's number; queries are a stated set, so this is a
-search in blocks and not a join of all rows with all.  Each pair returns k rows a query at most, and the best k of
-those are taken in order of rank.
+Search.  A query goes down all lists in step, from the end that its sign favours.  Vectors that are met are scored in full; the
+sum of what the lists hold at that depth bounds every vector not met, and the search stops when the bound is below the k-th
+score (at equality a smaller id might still come, so it goes on).  A query is first searched in the block that it stands in.  Its k-th score
+there is its floor in all other blocks: the depth at which the bound falls below it is known before any vector is scored, and
+often it is the top of the lists, so that nothing is.  Where the lists would lead to a quarter of the block or more, all of
+it is scored in one matrix product, which is the end of the search there (all vectors are met).
+
+A query block meets a candidate block by an equi-join on the latter's number; queries are a stated set, so this is a
+search in blocks and not a join of all rows with all.  Candidates move once.  Each pair returns k rows a query at most, and the
+best k of those are taken in order of rank.
 
 Edge cases: vectors that are null, or hold a null or a number that is not finite, and rows without vec_id take no
 part; a query's own vec_id is no candidate of its own; of rows with one vec_id the greatest vector counts; ties go to the smaller
@@ -27,79 +31,120 @@ from .common import save
 
 K, SCALE = 20, 64
 #: Candidates and queries to a block, about.
-BLOCK, QUERIES = 8192, 1024
-#: Depth of the first round, and how many times as deep the next ones are.
-FIRST_DEPTH, DEEPER = 256, 4
+BLOCK, QUERIES = 16_384, 4096
+#: Share of a block's rows that its lists may lead to before all are scored at once; scores that are held at once.
+WALKED, AT_ONCE = 0.25, 4_000_000
 HITS = "query_id long, vec_id long, score long"
 
 
 class SortedLists:
-    """A block of vectors (one a row) with a list for each dimension, sorted from its smallest value to its largest."""
+    """A block of vectors (one a row) with lists for each dimension, from its largest value down and from its smallest up."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        upward = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32)
-        # for either sign of a weight, rows and values of each dimension from the best on
-        self.order = np.stack([upward, upward[:, ::-1]])
-        self.values = np.take_along_axis(self.vectors.T[None], self.order, axis=2)
-
-    def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the k best for ``query``, ties to smaller ids; ``own`` is left out."""
-        m = len(self.ids)
+        self.ids, self.vectors, self.scored = ids[order], vectors[order], 0
+        m, width = vectors.shape
+        depth = max(1, int(m * WALKED / max(width, 1)))
+        #: Depths of the rounds, as far as lists are walked.
+        self.depths = np.unique(np.minimum(4 ** np.arange(1 + int(np.log2(depth) / 2 + 1)), depth))
+        up = np.argsort(self.vectors, axis=0, kind="stable")
+        # for either sign of a weight
+        self.rows = np.stack([up[: self.depths[-1]].T, up[::-1][: self.depths[-1]].T])
+        at = self.depths - 1
+        columns = np.arange(width)
+        self.least, self.most = (self.vectors[edge[at], columns] for edge in (up, up[::-1]))
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """What no vector below each depth can beat; (queries, depths)."""
+        return np.maximum(queries, 0) @ self.most.T + np.minimum(queries, 0) @ self.least.T
+
+    def met(self, query: np.ndarray, depth: int) -> np.ndarray:
         dims = np.flatnonzero(query)
-        weights = query[dims]
-        side = (weights > 0).astype(int)
-        met = np.zeros(m, bool)
-        scored = self.ids == own
-        rows, scores = np.empty(0, np.int64), np.empty(0, self.vectors.dtype)
-        depth, upto = 0, min(FIRST_DEPTH, m)
-        while True:
-            for s, d in zip(side.tolist(), dims.tolist(), strict=True):
-                met[self.order[s, d, depth:upto]] = True
-            if upto == m:
-                met[:] = True  # a list of each vector has ended
-            new = np.flatnonzero(met & ~scored)
-            scored[new] = True
-            found = self.vectors.take(new, axis=0) @ query
-            if len(rows) == k:
-                likely = np.flatnonzero(found >= scores.min())
-                new, found = new[likely], found[likely]
-            elif len(found) > k:
-                likely = np.flatnonzero(found >= np.partition(found, len(found) - k)[len(found) - k])
-                new, found = new[likely], found[likely]
-            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, found])
-            best = np.lexsort((rows, -scores))[:k]
-            rows, scores = rows[best], scores[best]
-            bound = weights @ self.values[side, dims, upto - 1]
-            if upto == m or scored.all() or (len(rows) == k and bound < scores.min()):
-                return rows, scores
-            depth, upto = upto, min(DEEPER * upto, m)
-
-
-def matrix(vectors: list[list[int]], width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+        return np.unique(self.rows[(query[dims] > 0).astype(int), dims, :depth])
+
+    def best(self, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best, ties to smaller ids, which are earlier rows."""
+        if len(scores) > k:
+            likely = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+            rows, scores = rows[likely], scores[likely]
+        first = np.lexsort((rows, -scores))[:k]
+        return rows[first], scores[first]
+
+    def score(self, query: np.ndarray, own: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = rows[self.ids[rows] != own]
+        self.scored += len(rows)
+        return rows, self.vectors[rows] @ query
+
+    def top(self, own: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None):
+        """(query's place, rows, scores) of the k best of each query; with floors, at least those that reach them."""
+        bounds, whole = self.bounds(queries), []
+        for i, bound in enumerate(bounds):
+            if floors is not None:
+                if bound[0] < floors[i]:
+                    continue
+                stop = np.flatnonzero(bound < floors[i])
+                if not len(stop):
+                    whole.append(i)
+                    continue
+                yield i, *self.best(*self.score(queries[i], own[i], self.met(queries[i], self.depths[stop[0]])), k)
+                continue
+            for depth, least in zip(self.depths, bound, strict=True):
+                rows, scores = self.score(queries[i], own[i], self.met(queries[i], depth))
+                if len(scores) >= k and least < np.partition(scores, len(scores) - k)[len(scores) - k]:
+                    yield i, *self.best(rows, scores, k)
+                    break
+            else:
+                whole.append(i)
+        step = max(1, AT_ONCE // max(1, len(self.ids)))
+        for at in range(0, len(whole), step):
+            part = whole[at : at + step]
+            scores = queries[part] @ self.vectors.T
+            self.scored += scores.size
+            for i, line in zip(part, scores, strict=True):
+                others = np.flatnonzero(self.ids != own[i])
+                yield i, *self.best(others, line[others], k)
+
+
+def matrix(lists) -> np.ndarray:
+    """Lists of integers as rows, the shorter ones padded with zeros."""
+    lengths, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+    if len(lengths) and (lengths == lengths[0]).all():
+        return values.reshape(len(lengths), -1)
+    out = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = values
     return out
 
 
+def padded(x: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(x, ((0, 0), (0, width - x.shape[1])))
+
+
 def search(batches, k: int):
-    """Rows (ids, vectors, query_ids, query_vectors) -> HITS."""
+    """Rows (block, ids, vectors, query ids, query vectors, blocks that the queries stand in, floors) -> HITS.
+
+    Queries without floors are those of the block itself.  Rows of a block follow each other."""
+    last, lists = None, None
     for batch in batches:
         for r in range(batch.num_rows):
-            ids, vectors, own, queries = (c[r].as_py() for c in batch.columns)
-            width = max(map(len, [*vectors, *queries]))
-            x, q = matrix(vectors, width), matrix(queries, width)
+            block, ids, vectors, own, queries, homes, floors = (c[r] for c in batch.columns)
+            block, own, q = block.as_py(), own.values.to_numpy(), matrix(queries.values)
+            if floors.is_valid:
+                away = homes.values.to_numpy() != block
+                own, q, floor = own[away], q[away], floors.values.to_numpy(zero_copy_only=False)[away]
+            x = matrix(vectors.values) if last is None or last[0] != block else last[1]
+            width = max(x.shape[1], q.shape[1])
             largest = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * width
             kind = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else np.int64
-            lists, q = SortedLists(np.array(ids, np.int64), x.astype(kind)), q.astype(kind)
-            out = []
-            for query_id, query in zip(own, q, strict=True):
-                rows, scores = lists.top(query_id, query, k)
-                out += [(query_id, i, int(s)) for i, s in zip(lists.ids[rows].tolist(), scores.tolist(), strict=True)]
-            columns = zip(*out, strict=True) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+            if last is None or last[0] != block or last[2:] != (width, kind):
+                last, lists = (block, x, width, kind), SortedLists(ids.values.to_numpy(), padded(x, width).astype(kind))
+            if floors.is_valid:  # a query with fewer than k scores so far has no floor
+                least = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
+                floor = np.where(np.isnan(floor), least, np.nan_to_num(floor)) if floor.dtype.kind == "f" else floor
+                floor = floor.astype(kind) if kind is not np.int64 else floor.astype(np.int64)
+            found = list(lists.top(own, padded(q, width).astype(kind), k, floor if floors.is_valid else None))
+            sizes = [len(rows) for _, rows, _ in found]
+            columns = [own[np.repeat([i for i, *_ in found], sizes).astype(int)], *(np.concatenate([f[c] for f in found]) if found else np.empty(0, int) for c in (1, 2))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (columns[0], lists.ids[columns[1]], columns[2].astype(np.int64))], names=["query_id", "vec_id", "score"])
 
 
 def quantised(embedding: Column) -> Column:
@@ -108,21 +153,37 @@ def quantised(embedding: Column) -> Column:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score); vectors: (vec_id, embedding)."""
+    spark = vectors.sparkSession
     wrong = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     used = vectors.where(F.col("embedding").isNotNull() & ~wrong & F.col("vec_id").isNotNull())
-    used = save(used.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"), is_query.alias("asks")).groupBy("vec_id", "asks").agg(F.max("v").alias("v")), "vectors")
-    sizes = used.agg(F.count("*").alias("rows"), F.count_if("asks").alias("queries")).first()
-    blocks, asking = max(1, -(-sizes["rows"] // BLOCK)), max(1, -(-sizes["queries"] // QUERIES))
-
-    def packed(rows: DataFrame, number: int, others: int, name: str, pair: Column) -> DataFrame:
-        block = F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(number))
-        parts = rows.groupBy(block.alias("b")).agg(F.collect_list(F.struct("vec_id", "v")).alias("x"))
-        return parts.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).select(pair.alias("pair"), F.col("x.vec_id").alias(f"{name}_ids"), F.col("x.v").alias(f"{name}_vectors"))
-
-    left = packed(used, blocks, asking, "all", F.col("b") * asking + F.col("o"))
-    right = packed(used.where("asks"), asking, blocks, "query", F.col("o") * asking + F.col("b"))
-    both = left.join(right, "pair").select("all_ids", "all_vectors", "query_ids", "query_vectors")
-    hits = both.mapInArrow(lambda batches: search(batches, k), HITS)
+    used = used.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"), is_query.alias("asks")).groupBy("vec_id", "asks").agg(F.max("v").alias("v"))
+    used = used.withColumn("sizes", F.transform("v", lambda x: F.abs(x))).withColumn("at", F.coalesce(F.array_position("sizes", F.array_max("sizes")), F.lit(0)).cast("int"))
+    used = save(used.withColumn("g", F.when(F.get("v", F.col("at") - 1) < 0, -F.col("at")).otherwise(F.col("at"))).drop("sizes", "at"), "vectors")
+
+    groups = used.groupBy("g").agg(F.count("*").alias("n"), F.count_if("asks").alias("asking")).orderBy("g").collect()  # two rows a dimension at most
+    parts = [max(1, -(-r.n // BLOCK)) for r in groups]
+    starts = np.cumsum([0, *parts]).tolist()
+    of = spark.createDataFrame([(r.g, p, at) for r, p, at in zip(groups, parts, starts[:-1], strict=True)], "of int, parts int, start int")
+    asking = max(1, -(-sum(r.asking for r in groups) // QUERIES))
+    block = (F.col("start") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("block")
+    used = used.join(F.broadcast(of), F.col("g") == F.col("of")).select("vec_id", "v", F.coalesce("asks", F.lit(False)).alias("asks"), block)
+
+    blocks = save(used.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v", "asks")).alias("x")), "blocks")
+    sides = [F.col("block"), F.col("x.vec_id").alias("ids"), F.col("x.v").alias("vectors"), F.col("q.vec_id").alias("query_ids"), F.col("q.v").alias("queries")]
+    none = F.lit(None)
+    mine = blocks.withColumn("q", F.filter("x", lambda e: e["asks"])).where(F.size("q") > 0)
+    mine = mine.select(*sides, none.cast("array<int>").alias("homes"), none.cast("array<double>").alias("floors"))
+    first = save(mine.mapInArrow(lambda batches: search(batches, k), HITS), "first")
+
+    floors = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    queries = used.where("asks").join(floors, F.col("vec_id") == F.col("id"), "left").select("vec_id", "v", "block", "floor")
+    # a floor that a double cannot hold is lowered to one that it can
+    floor = F.when(F.abs("floor") < 2**53, F.col("floor").cast("double"))
+    queries = queries.groupBy(F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(asking)).alias("b")).agg(F.collect_list(F.struct("vec_id", "v", "block", F.coalesce(floor, F.lit(float("nan"))).alias("floor"))).alias("q"))
+    queries = queries.select("q", F.explode(F.sequence(F.lit(0), F.lit(max(starts[-1] - 1, 0)))).alias("block"))
+    both = queries.hint("merge").join(blocks, "block")
+    both = both.select(*sides, F.col("q.block").alias("homes"), F.col("q.floor").alias("floors"))
+    hits = both.mapInArrow(lambda batches: search(batches, k), HITS).unionByName(first)
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,10 +91,10 @@ def test_line_dedup_equals_brute_force(spark, often):
 
 def test_fields_without_digits(spark):
     """Names are fields: of lines that differ in one word the first document's stays."""
-    line = "Dear {}, your parcel has left our house in Lyon today"
-    rows = [row(i, f"own text number {i} here\n{line.format(name)}") for i, name in enumerate(["Ada", "Bo", "Cy"])] + [row(9, line.format("Ada").replace("Lyon", "Rome").replace("parcel", "friend").replace("house", "town"))]
+    line = "Your parcel for {} has left our house in Lyon today"
+    rows = [row(i, f"own text number {i} here\n{line.format(name)}") for i, name in enumerate(["Ada", "Bo", "Cy"])] + [row(9, line.format("Ada").replace("Lyon", "Rome").replace("left", "reached").replace("house", "town"))]
     got = {r.doc_id: r.n_dropped for r in linededup.report(frame(spark, rows)).collect()}
-    assert got == {0: 0, 1: 2, 2: 2, 9: 0} or got == {0: 0, 1: 1, 2: 1, 9: 0}
+    assert got == {0: 0, 1: 1, 2: 1, 9: 0}
 
 
 # --- mixing
@@ -243,6 +244,25 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", [np.float32, np.int64])
+def test_threshold_stops_early(kind):
+    """On vectors of few strong dimensions most are never scored; results are those of a full search."""
+    rnd = np.random.default_rng(3)
+    vectors = np.floor(64 * rnd.normal(size=(4000, 16)) * 0.5 ** np.arange(16)).astype(kind)
+    lists = topk.SortedLists(np.arange(4000), vectors)
+    queries = vectors[::80]
+    scores = queries @ vectors.T
+    scores[np.arange(50), np.arange(50) * 80] = np.iinfo(np.int32).min
+    want = [sorted(zip(-line, range(4000), strict=True))[:20] for line in scores]
+    for floors in (None, np.array([-w[19][0] for w in want]), np.array([-w[19][0] / 2 for w in want]).astype(kind)):
+        lists.scored, got = 0, {i: list(zip(-s, r, strict=True)) for i, r, s in lists.top(np.arange(50) * 80, queries, 20, floors)}
+        assert all([x for x in got.get(i, []) if floors is None or -x[0] >= floors[i]] == [x for x in w if floors is None or -x[0] >= floors[i]] for i, w in enumerate(want))
+        assert lists.scored < 0.5 * 50 * 4000
+    # a floor that no vector reaches: nothing is scored
+    lists.scored = 0
+    assert list(lists.top(np.arange(50), queries, 20, lists.bounds(queries)[:, 0] + 1)) == [] and lists.scored == 0
+
+
 # --- the pipeline
 
 

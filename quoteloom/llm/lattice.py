@@ -102,11 +102,13 @@ class Lattice:
             out[part] = (alpha[np.arange(len(part)), lengths] + weight[0]) / np.log(10)
         return out
 
-    def expected(self, words: list[bytes], weight: np.ndarray) -> np.ndarray:
-        """Sum over the words of the expected number of times that each piece is used."""
+    def expected(self, words: list[bytes], weight: np.ndarray, often: np.ndarray | None = None) -> np.ndarray:
+        """Sum over the words, each as ``often`` as it says, of the expected number of times that a piece is used."""
         counts = np.zeros(len(self.pieces))
-        for _, chars, lengths in self.blocks(words):
+        often = np.ones(len(words)) if often is None else often
+        for part, chars, lengths in self.blocks(words):
             kept: list = []
+            times = often[part]
             alpha = self.forward(chars, lengths, weight, kept)
             own = np.arange(len(chars))
             total = alpha[own, lengths]
@@ -116,6 +118,6 @@ class Lattice:
                 for k, rows, piece in kept[start]:
                     through = weight[piece] + beta[rows, start + k]
                     beta[rows, start] = np.logaddexp(beta[rows, start], through)
-                    counts += np.bincount(piece, np.exp(alpha[rows, start] + through - total[rows]), len(counts))
-            counts[0] += len(chars)
+                    counts += np.bincount(piece, times[rows] * np.exp(alpha[rows, start] + through - total[rows]), len(counts))
+            counts[0] += times.sum()
         return counts

@@ -1,25 +1,22 @@
 """Document log-probabilities by subword lattices: a unigram model of pieces, summed over all segmentations.
 
-Words of a text follow each other independently and an end follows the last one.  A word is made in one of two ways:
-as one known unit, with its count in the training texts, or as any sequence of vocabulary pieces and an end of the
-word.  The two are weighted by absolute discounting: each of the V kinds of training words gives up a share D of its
-count (Good-Turing, from the words seen once and twice), and the lattice gets D * V / N.  The lattice starts from the
-existing vocabulary's weights, which are fitted to the training words (each kind once) by expected counts from forward
-and backward sums.
-
-Texts come in classes (languages, say).  A class has counts of its own, smoothed by PRIOR words of the model above, and
-a text's probability is the sum over the classes, weighted by their shares of the training texts; the class column is
-read of training texts only.  Within a text words recur: the next word is drawn from CACHE words of its class and
-all words that the text has had so far (a Dirichlet-multinomial, whose probability needs each word's count only).  The
-probabilities of all texts sum to one.
+Model.  A text is a sequence of words and an end.  After each word the text ends with the share of ends among the training
+tokens; else a word follows.  A word is any sequence of vocabulary pieces that spells it, and an end of the word; its
+probability is the sum over all segmentations, by forward recursion in log space (lattice.py).  ``score`` is log10 of the
+product, the marginal probability of the text; the probabilities of all texts sum to one.
+
+Fit.  The weights start from those of the existing vocabulary and are fitted to the training words, each as often as it
+stands there, by expected counts from forward and backward sums; the existing weights count as PRIOR words.
+
+Further columns.  ``base_score`` is the additive word model that scores are held against.  ``word_score`` gives each known word its
+count too, absolutely discounted (Good-Turing, from the words seen once and twice), the lattice getting what is taken away.
 
 Corpus counts and weights come from all training texts: counts are combined in the task, then by word.  Expected
 counts are one row for each piece and task.  The HEAD most frequent words (a bound, whatever the corpus) travel to
 the tasks that read the texts, each rarer word of a document is one row that meets the table of words.
 
-Edge cases: null and empty texts are an end alone; without training texts every word is left to the lattice with the
-existing weights; at most CLASSES classes are told apart, rarer ones and null are one more; repeated rows of a doc_id
-are added up into one result; other columns are ignored.
+Edge cases: null and empty texts are an end alone; without training texts the existing weights count, and an end follows a
+word as often as not; rows are scored each, repeated ones and those without doc_id too; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,61 +32,39 @@ from pyspark.sql import functions as F
 from .common import save, words
 from .lattice import MARK, Lattice, existing_vocabulary
 
-HEAD, ROUNDS = 150_000, 2
-CLASSES, PRIOR, CACHE = 7, 20_000, 3_000
+HEAD, ROUNDS, PRIOR = 150_000, 3, 100
 #: Distinct words that are counted in Python before their counts go on.
 COUNTED = 400_000
 #: What base scores add to each count.
 ADDED = 0.1
 END = b"\n"  # no word: words hold no white space
+SUMS = ["known", "base", "lattice", "whole"]
 
 
-def word_counts(docs: DataFrame, classes: int) -> DataFrame:
-    """(word, n, n0, n1, ...): all words and ends of all texts, with their counts in training texts, in all and by class.
-
-    docs: (text, class), class being null for texts that are not for training."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): all words and ends of all texts, with their counts in the training texts; docs: (text, learn)."""
 
     def run(batches):
-        held = [Counter() for _ in range(classes)]
-        other: set = set()
+        held: Counter = Counter()
 
         def out():
-            rows = [(w, k, n) for k, c in enumerate(held) for w, n in c.items()] + [(w, -1, 0) for w in other if w not in held[0]]
-            columns = zip(*rows, strict=True) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["word", "class", "n"])
-            for c in (*held, other):
-                c.clear()
+            columns = zip(*held.items(), strict=True) if held else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64()), strict=True)], names=["word", "n"])
+            held.clear()
 
         for b in batches:
-            for text, k in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                ws = words(text.as_py())
-                if k is None:
-                    other.update(ws)
-                    other.add(END)
+            for text, learn in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                ws = [*words(text.as_py()), END]
+                if learn:
+                    held.update(ws)
                 else:
-                    held[k].update(ws)
-                    held[k][END] += 1
-                if sum(map(len, held)) + len(other) > COUNTED:
+                    for w in ws:
+                        held.setdefault(w, 0)
+                if len(held) > COUNTED:
                     yield from out()
         yield from out()
 
-    made = docs.select("text", "class").mapInArrow(run, "word binary, class int, n long")
-    by = [F.coalesce(F.sum(F.when(F.col("class") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(classes)]
-    return made.groupBy("word").agg(F.sum("n").alias("n"), *by)
-
-
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Natural log of the gamma function of positive numbers, by Stirling's series eight steps up."""
-    y, product = x + 8.0, np.ones_like(x)
-    for step in range(8):
-        product = product * (x + step)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(product)
-
-
-def recurring(share: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log10 of a (a + 1) ... (a + n - 1) for a = CACHE * 10 ** share."""
-    a = CACHE * 10.0**share
-    return share + math.log10(CACHE) + (log_gamma(a + n) - log_gamma(a + 1)) / math.log(10)
+    return docs.select("text", "learn").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def fit(counted: DataFrame, vocabulary: dict[bytes, float], rounds: int) -> tuple[list[bytes], np.ndarray]:
@@ -106,111 +81,89 @@ def fit(counted: DataFrame, vocabulary: dict[bytes, float], rounds: int) -> tupl
                 if lattice is None:
                     lattice = Lattice(shared.value[0])
                     counts = np.zeros(len(lattice.pieces))
-                counts += lattice.expected([MARK + w for w in b.column(0).to_pylist()], shared.value[1])
+                counts += lattice.expected([MARK + w for w in b.column(0).to_pylist()], shared.value[1], b.column(1).to_numpy().astype(float))
             if counts is not None:
                 used = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], names=["piece", "n"])
 
-        parts = counted.where((F.col("n") > 0) & (F.col("word") != F.lit(END))).select("word").mapInArrow(run, "piece int, n double")
+        parts = counted.where((F.col("n") > 0) & (F.col("word") != F.lit(END))).select("word", "n").mapInArrow(run, "piece int, n double")
         sums = parts.groupBy("piece").agg(F.sum("n").alias("n")).toPandas()  # at most one row a piece
-        counts = np.exp(prior) * 100  # the existing weights count as a hundred words' pieces
+        counts = np.exp(prior) * PRIOR
         counts[sums["piece"].to_numpy()] += sums["n"].to_numpy()
         weight = np.log(counts / counts.sum())
     return pieces, weight
 
 
-def scores(docs: DataFrame, training: Column, label: str | None = None, vocabulary=existing_vocabulary, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each doc_id; scores are log10.
+def weighed(counted: DataFrame, total: int, ends: int, kinds: int, discount: float, model) -> DataFrame:
+    """(word, known, base, lattice, whole) of each word; the last three are log10 of its probabilities in the three models."""
+    share = discount * (kinds - (ends > 0)) / total if total else 1.0
+    end = (ends + 0.5) / (total + 1)
 
-    ``label`` names a column that parts the training texts into classes."""
-    spark = docs.sparkSession
-    kind = F.col(label).cast("string") if label else F.lit("all")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("learn"), kind.alias("kind"))
-    common = docs.where("learn and kind is not null").groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(CLASSES).collect()
-    own = {r.kind: k for k, r in enumerate(common)}
-    classes = len(own) + 1
-    number = F.lit(len(own))
-    for name, k in own.items():
-        number = F.when(F.col("kind") == name, k).otherwise(number)
-    docs = docs.select("doc_id", "text", F.when(F.col("learn"), number).alias("class"))
-
-    counted = save(word_counts(docs, classes), "counts")
-    # one row: all words, kinds of words, kinds seen once and twice, words and texts of each class
-    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ["n", *(f"n{k}" for k in range(classes))]]
-    ends = [F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col(f"n{k}"))), F.lit(0)) for k in range(classes)]
-    total, kinds, once, twice, *rest = counted.agg(sums[0], *(F.count_if(c) for c in (F.col("n") > 0, F.col("n") == 1, F.col("n") == 2)), *sums[1:], *ends).first()
-    sizes, texts = np.array(rest[:classes], float), np.array(rest[classes:], float)
-    discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
-    fitted = spark.sparkContext.broadcast(fit(counted, vocabulary(), rounds))
-
-    def weigh(batches):
+    def run(batches):
         lattice = None
         for b in batches:
-            lattice = lattice or Lattice(fitted.value[0])
-            ws = b.column("word").to_pylist()
-            n = b.column("n").to_numpy()
-            spelled = lattice.log10([MARK + w for w in ws], fitted.value[1])
+            lattice = lattice or Lattice(model.value[0])
+            ws, n = b.column("word").to_pylist(), b.column("n").to_numpy()
             is_end = np.array([w == END for w in ws])
-            share = 1.0 if total == 0 else discount * kinds / total
+            spelled = lattice.log10([MARK + w for w in ws], model.value[1])
+            own = np.where(is_end, math.log10(end), spelled + math.log10(1 - end))
             with np.errstate(divide="ignore"):
                 lower = spelled + math.log10(share)
-                seen = np.where(is_end, n, np.maximum(n - discount, 0)) / max(total, 1)
-                whole = np.where(seen > 0, np.log10(seen + np.where(is_end, 0.0, 10.0**lower)), lower)
-                by = [np.log10(b.column(f"n{k}").to_numpy() + PRIOR * 10.0**whole) - math.log10(sizes[k] + PRIOR) for k in range(classes)]
-            # too small for a sum of numbers: long words that no training text holds
-            by = [np.where(np.isfinite(s), s, whole + math.log10(PRIOR / (sizes[k] + PRIOR))) for k, s in enumerate(by)]
+                seen = np.log10(np.maximum(n - discount, 0) / max(total, 1))
+                whole = np.where(is_end, math.log10(end), np.logaddexp(seen * math.log(10), lower * math.log(10)) / math.log(10))
             base = np.log10((n + ADDED) / (total + ADDED * (kinds + 1)))
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(n > 0), pa.array(base), *map(pa.array, by)], names=["word", "known", "base", *names])
+            yield pa.RecordBatch.from_arrays([b.column("word"), *map(pa.array, ((n > 0).astype(float), base, own, whole))], names=["word", *SUMS])
+
+    return counted.mapInArrow(run, "word binary, " + ", ".join(f"{c} double" for c in SUMS))
 
-    names = [f"s{k}" for k in range(classes)]
-    listed = ", ".join(f"{x} double" for x in names)
-    weighed = save(counted.mapInArrow(weigh, f"word binary, known boolean, base double, {listed}"), "words")
+
+def scores(docs: DataFrame, training: Column, vocabulary=existing_vocabulary, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, word_score) of each row; scores are log10."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
+    counted = save(word_counts(docs), "counts")
+    # one row: all training tokens, ends, kinds of tokens, words seen once and twice
+    word = F.col("word") != F.lit(END)
+    total, ends, kinds, once, twice = counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(~word, F.col("n"))), F.lit(0)), F.count_if(F.col("n") > 0), F.count_if(word & (F.col("n") == 1)), F.count_if(word & (F.col("n") == 2))
+    ).first()
+    discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
+    model = spark.sparkContext.broadcast(fit(counted, vocabulary(), rounds if total else 0))
+    table = save(weighed(counted, total, ends, kinds, discount, model), "words")
     top = counted.orderBy(F.desc("n"), "word").limit(HEAD).select("word")
-    head = weighed.join(F.broadcast(save(top, "top")), "word").toPandas()  # HEAD rows at most
-    columns = [head[c].astype(float).tolist() for c in ("known", "base", *names)]
-    known = spark.sparkContext.broadcast((head["word"].map(bytes).tolist(), columns))
+    head = table.join(F.broadcast(save(top, "top")), "word").toPandas()  # HEAD rows at most
+    known = spark.sparkContext.broadcast((head["word"].map(bytes).tolist(), head[SUMS].to_numpy()))
 
     def read(batches):
-        at = {w: i for i, w in enumerate(known.value[0])}
-        value = np.array(known.value[1]).T
+        at, value = {w: i for i, w in enumerate(known.value[0])}, known.value[1]
         for b in batches:
             rows, heads = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc, text, x in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 count = Counter(words(text.as_py()))
                 count[END] += 1
                 place, often = [], []
                 for w, n in count.items():
                     if (i := at.get(w)) is None:
-                        rows.append((doc, w, n))
+                        rows.append((doc, x, w, n))
                     else:
                         place.append(i)
                         often.append(n)
-                n, own = np.array(often, float)[:, None], value[place] if place else np.zeros((0, classes + 2))
-                total = count.total()
-                drawn = recurring(np.zeros(1), np.array([float(total)]))[0]
-                sums = [*(n * own[:, :2]).sum(axis=0).tolist(), *(recurring(own[:, 2:], n).sum(axis=0) - drawn).tolist()]
-                heads.append((doc, b" %d" % (doc if doc is not None else -1), total, *sums))
-            # the head's sums carry a key of their own, which is no word, so that no key is shared by many rows
-            ids, ws, ns = zip(*rows, strict=True) if rows else ((), (), ())
-            doc, key, tokens, *sums = zip(*heads, strict=True)
+                sums = (np.array(often, float) @ value[place]).tolist() if place else [0.0] * len(SUMS)
+                # the head's sums carry a key of their own, which is no word, so that no key is shared by many rows
+                heads.append((doc, x, b" %d" % x, count.total(), *sums))
+            docs, xs, ws, ns = zip(*rows, strict=True) if rows else ((), (), (), ())
+            doc, own, key, tokens, *sums = zip(*heads, strict=True) if heads else [()] * (4 + len(SUMS))
             none = [None] * len(rows)
-            arrays = [pa.array([*ids, *doc], pa.int64()), pa.array([*ws, *key], pa.binary()), pa.array([*ns, *[None] * len(doc)], pa.int64()), pa.array([*none, *tokens], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([*none, *s], pa.float64()) for s in sums)], names=["doc_id", "word", "n", "tokens", *(f"h_{x}" for x in ("known", "base", *names))])
-
-    held = ", ".join(f"h_{x} double" for x in ("known", "base", *names))
-    parts = docs.select("doc_id", "text").mapInArrow(read, f"doc_id long, word binary, n long, tokens long, {held}")
-    parts = parts.join(weighed, "word", "left")
-
-    def of_word(x: str) -> Column:
-        if x in ("known", "base"):
-            return F.col("n") * F.col(x).cast("double")
-        again = F.aggregate(F.sequence(F.lit(1), F.col("n") - 1), F.lit(0.0), lambda acc, j: acc + F.log10(j + F.lit(float(CACHE)) * F.pow(F.lit(10.0), F.col(x))))
-        return F.col(x) + F.lit(math.log10(CACHE)) + F.when(F.col("n") > 1, again).otherwise(0.0)
-
-    added = {x: F.sum(F.coalesce(f"h_{x}", of_word(x))) for x in ("known", "base", *names)}
-    out = parts.groupBy("doc_id").agg(F.sum("tokens").alias("n_tokens"), *(c.alias(x) for x, c in added.items()))
-    prior = np.log10((texts + 1) / (texts.sum() + classes)).tolist()
-    each = [F.col(x) + F.lit(p) for x, p in zip(names, prior, strict=True)]
-    most = F.greatest(*each) if len(each) > 1 else each[0]
-    score = most + F.log10(sum((F.pow(F.lit(10.0), e - most) for e in each[1:]), F.pow(F.lit(10.0), each[0] - most)))
-    return out.select("doc_id", "n_tokens", F.col("known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))
+            arrays = [pa.array([*docs, *doc], pa.int64()), pa.array([*xs, *own], pa.int64()), pa.array([*ws, *key], pa.binary()), pa.array([*ns, *[None] * len(doc)], pa.int64()), pa.array([*none, *tokens], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([*none, *s], pa.float64()) for s in sums)], names=["doc_id", "x", "word", "n", "tokens", *(f"h_{c}" for c in SUMS)])
+
+    held = ", ".join(f"h_{c} double" for c in SUMS)
+    parts = docs.select("doc_id", "text", F.xxhash64("text").alias("x")).mapInArrow(read, f"doc_id long, x long, word binary, n long, tokens long, {held}")
+    parts = parts.join(table, "word", "left")
+    # equal rows are added up, and told apart again by their number
+    added = {c: F.sum(F.coalesce(f"h_{c}", F.col("n") * F.col(c))) / F.count("tokens") for c in SUMS}
+    out = parts.groupBy("doc_id", "x").agg((F.sum("tokens") / F.count("tokens")).cast("long").alias("n_tokens"), F.count("tokens").alias("rows"), *(c.alias(name) for name, c in added.items()))
+    out = out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return out.select(
+        "doc_id", "n_tokens", F.round("known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lattice").alias("score"), F.col("whole").alias("word_score")
+    )

@@ -84,39 +84,6 @@ def _mix(docs: DataFrame, quality: DataFrame | None) -> DataFrame:
     return cut.unionByName(whole).select("doc_id", "source", "x", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
-def _mix(docs: DataFrame, quality: DataFrame | None) -> DataFrame:
-    """(doc_id, source, x, size, source_size, target, taken, copies); x is a hash of the text of rows without doc_id, else null."""
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))).alias("x"))
-    weight = F.lit(1.0)
-    if quality is not None:
-        q = quality.groupBy(F.col("doc_id").alias("id")).agg(F.max("weight").cast("double").alias("weight"))
-        sized = sized.join(q, F.col("doc_id") == F.col("id"), "left")
-        weight = F.when((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.col("weight")).otherwise(1.0)
-    key = -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), "x"))) / weight
-    sized = save(sized.select("doc_id", "source", "x", "size", key.alias("key")), "sized")
-    sources = save(targets(sized), "sources")
-
-    ranges = F.greatest(F.ceil(F.col("docs") / RANGE), F.lit(1))
-    rows = sized.withColumnRenamed("source", "of").join(sources, F.col("of").eqNullSafe(F.col("source")))
-    rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("long"))
-    sums = rows.groupBy("rank", "range").agg(F.sum("size").alias("in_range"))
-    upto = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("upto", F.sum("in_range").over(upto)).select("rank", "range", (F.col("upto") - F.col("in_range")).alias("before"), "upto")
-    rows = rows.join(sums, ["rank", "range"])
-
-    edge = (F.col("before") < F.col("rest")) & (F.col("upto") > F.col("rest"))
-    # equal rows have one place in the order: all of them are taken, or none
-    order = ["key", "doc_id", "x", "size"]
-    within = Window.partitionBy("rank", "range").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.col("before") + F.sum("size").over(within)
-    start = end - F.sum("size").over(Window.partitionBy("rank", "range", *order))
-    first = (start < F.col("rest")) & (end - F.col("rest") <= F.col("rest") - start)
-    cut = rows.where(edge).withColumn("extra", first.cast("long"))
-    whole = rows.where(~edge).withColumn("extra", (F.col("upto") <= F.col("rest")).cast("long"))
-    copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("extra")).otherwise(0)
-    return cut.unionByName(whole).select("doc_id", "source", "x", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
-
-
 def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of each row of docs; quality: (doc_id, weight)."""
     return _mix(docs, quality).drop("source", "x")

@@ -1,7 +1,5 @@
 """Small documents with every odd case, for all operators."""
 
-#: Names that operators might use for columns of their own.
-CLASHING = ["__id", "__ID_", "__lost", "__copies", "__copy", "__start", "__part", "__row", "__gone", "__x", "x", "t", "pos", "line", "copies", "rank", "key", "word", "place", "keep"]
 #: Names that operators might use for columns of their own.
 CLASHING = ["__id", "__ID_", "__lost", "__copies", "__copy", "__start", "__part", "__row", "__gone", "__x", "x", "t", "pos", "line", "copies", "rank", "key", "word", "place", "keep"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `size` int, `a.b` string, score string, n string, " + ", ".join(f"`{c}` string" for c in CLASHING)

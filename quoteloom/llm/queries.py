@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, lm, media, mixing, packing, tokencount, topk, toxicity, warc
+from . import linededup, lm, media, minhash, mixing, packing, tokencount, topk, toxicity, warc
 from .common import table
-from .minhash import near_duplicates
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 def op2_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +73,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_minhash_near_dedup": minhash.ORACLE,
     "op4_warc_salvage": warc.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
     "op6_source_mixing": mixing.ORACLE,

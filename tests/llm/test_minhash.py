@@ -1,6 +1,10 @@
 import random
 import re
 
+import duckdb
+import pytest
+
+from quoteloom.llm import minhash
 from quoteloom.llm.minhash import drop_near_duplicates, near_duplicates
 
 SCHEMA = "doc_id long, text string, rep string"
@@ -52,7 +56,10 @@ def corpus():
     return rows
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("members", [1024, 5])
+def test_components_equal_brute_force(spark, monkeypatch, members):
+    """With small blocks most buckets go on as pairs of buckets."""
+    monkeypatch.setattr(minhash, "MEMBERS", members)
     rows = corpus()
     for width, percent in ((3, 85), (5, 80)):
         got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), width, percent).collect()
@@ -65,3 +72,21 @@ def test_empty_and_drop(spark):
     assert near_duplicates(none).count() == 0
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, None, None), (None, "a b c d e f", "z")], SCHEMA)
     assert sorted(map(str, (r.doc_id for r in drop_near_duplicates(docs).collect()))) == ["1", "3", "None"]
+
+
+def test_residual_grows_with_the_members(spark):
+    """One bucket of many members that share nothing else, and one of two groups that share two buckets."""
+    n = 50_000
+    sizes = spark.range(n).selectExpr("id as rep", "100L as n")
+    of = spark.range(n).selectExpr("id as rep", "id as comp")
+    shared = spark.range(n).selectExpr("7L as bucket", "id as rep", f"{n}L as size").union(spark.range(1500).selectExpr("8L as bucket", "id as rep", "1500L as size"))
+    assert minhash.residual(shared, sizes, of).count() == 1500 * 2  # two parts, three blocks
+
+
+def test_sql_equals_brute_force():
+    rows = [(d, t) for d, t, _ in {r[0]: r for r in corpus() if len(r[1] or "") < 10_000}.values()]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    got = {d: (n, c, k) for c, d, k, n in con.sql(f"select component_id, doc_id, kept, n_shingles from ({minhash.ORACLE})").fetchall()}
+    assert got == brute(rows, 3, 85)

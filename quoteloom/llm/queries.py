@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linededup, lm, media, minhash, mixing, packing, tokencount, topk, toxicity, warc
-from .common import table
+from .common import save, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,8 @@ def op8_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = media.read_media(media.write_media(table(spark, sf_dir, "documents")))
+    # written to the shared folder first: what is read back are the stored bytes
+    read = media.read_media(save(media.write_media(table(spark, sf_dir, "documents")), "media"))
     feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumbnail_hash")
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 

@@ -1,7 +1,8 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text's features are its distinct words (edge punctuation cut), the starts of its words (4 and 5 letters), word pairs
-and pairs that skip one word, hashed into ``2 ** BITS`` places.  Every coordinate has its own rate, and an L1 term
+A text's features are its distinct words (edge punctuation cut), word pairs and pairs that skip one word, and the starts of its
+words (4 and 5 letters, for stems; on the held-out fold of sf0.1 they bring 103 instead of 95 of 120 toxic texts, at 3 instead
+of 0 of 870 clean ones), hashed into ``2 ** BITS`` places.  Every coordinate has its own rate, and an L1 term
 keeps most weights at exactly zero, so the model that is broadcast is some hundred (place, weight) pairs.  Learning is
 sequential: it runs in one task over at most TOXIC + CLEAN labelled texts (a documented bound; the choice is by a
 hash of doc_id, so it depends neither on order nor on partitions); their features are made in parallel before.  All

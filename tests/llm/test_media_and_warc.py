@@ -2,10 +2,12 @@
 
 import gzip
 import hashlib
+import math
 import os
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -81,6 +83,100 @@ def test_foreign_baseline_picture():
     assert shades.ravel().tolist() == [int(np.clip(round(b[0] * 2) + 128, 0, 255)) for b in blocks]
 
 
+def coded(units, of, width, height, sampling, interval=0, quantisers=(16, 9)):
+    """A picture by a plain encoder, bit by bit: ``units`` of blocks, ``of`` their components, restarts after ``interval`` units."""
+    sizes = [run << 4 | size for run in range(4) for size in range(1, 8)] + [0x00, 0xF0]
+    dc_code, ac_code = {s: f"{i:05b}" for i, s in enumerate(range(12))}, {s: f"{i:06b}" for i, s in enumerate(sizes)}
+    seg, scan, bits, before = media._segment, b"", "", Counter()
+
+    def extra(v):
+        size = abs(v).bit_length()
+        return size, (f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if size else "")
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") if bits else b""
+
+    for u, unit in enumerate(units):
+        if interval and u and u % interval == 0:
+            scan += flush(bits) + bytes([0xFF, 0xD0 + (u // interval - 1) % 8])
+            bits, before = "", Counter()
+        for block, c in zip(unit, of, strict=True):
+            size, more = extra(block[0] - before[c])
+            before[c] = block[0]
+            bits, run = bits + dc_code[size] + more, 0
+            last = max((i for i in range(1, 64) if block[i]), default=0)
+            for i in range(1, last + 1):
+                if block[i] == 0:
+                    run += 1
+                    continue
+                while run > 3:  # runs that the table has no symbol for: 16 zeros, or a wide step of them
+                    assert run >= 16
+                    bits, run = bits + ac_code[0xF0], run - 16
+                size, more = extra(block[i])
+                bits, run = bits + ac_code[run << 4 | size] + more, 0
+            bits += ac_code[0x00] if last < 63 else ""
+    scan += flush(bits)
+    table = lambda kind, n, s: bytes([kind] + [0] * (n - 1) + [len(s)] + [0] * (16 - n) + list(s))
+    parts = len(sampling)
+    frame_ = struct.pack(">BHHB", 8, height, width, parts) + b"".join(bytes([i + 1, hv, min(i, 1)]) for i, hv in enumerate(sampling))
+    return b"".join(
+        [b"\xff\xd8", *(seg(0xDB, bytes([i]) + bytes([q] * 64)) for i, q in enumerate(quantisers)), seg(0xC0, frame_), seg(0xC4, table(0, 5, range(12)) + table(0x10, 6, sizes))]
+        + ([seg(0xDD, struct.pack(">H", interval))] if interval else [])
+        + [seg(0xDA, bytes([parts]) + b"".join(bytes([i + 1, 0]) for i in range(parts)) + b"\0\x3f\0"), scan, b"\xff\xd9"]
+    )
+
+
+def random_block(rnd):
+    block, at = [rnd.randrange(-60, 60)] + [0] * 63, 0
+    for _ in range(rnd.randrange(0, 9)):
+        at += rnd.choice([1, 1, 2, 3, 4, 17, 18])
+        if at < 64:
+            block[at] = rnd.choice([-100, -9, -1, 1, 2, 30, 127])
+    return block
+
+
+@pytest.mark.parametrize("interval", [0, 1, 3, 50])
+@pytest.mark.parametrize("sampling", [[0x11], [0x11, 0x11, 0x11], [0x22, 0x11, 0x11], [0x21, 0x11, 0x11]])
+def test_baseline_pictures_of_all_kinds(spark, sampling, interval):
+    """Grey and three components, 4:4:4, 4:2:0 and 4:2:2, restart intervals of several lengths, sizes that fill no unit."""
+    rnd = random.Random(len(sampling) + interval)
+    h, v = (sampling[0] >> 4, sampling[0] & 15) if len(sampling) > 1 else (1, 1)
+    of = [0] * (h * v) + list(range(1, len(sampling)))
+    width, height, (across, down) = 16 * 4 - 5, 16 * 3 - 9, (-(-(16 * 4 - 5) // (8 * h)), -(-(16 * 3 - 9) // (8 * v)))
+    units = [[random_block(rnd) for _ in of] for _ in range(across * down)]
+    raw = coded(units, of, width, height, sampling, interval)
+    picture = media.Picture(raw)
+    got = media.decode([picture])[0]
+    assert got.tolist() == units
+    grey = np.zeros((down * v, across * h), int)
+    for u, unit in enumerate(units):
+        for j in range(h * v):
+            grey[u // across * v + j // h, u % across * h + j % h] = int(np.clip(np.round(unit[j][0] * 16 / 8) + 128, 0, 255))
+    grey = grey[: -(-height // 8), : -(-width // 8)]
+    assert media.thumbnail(picture, got).tolist() == grey.tolist()
+    # a column of such pictures has dimensions and hashes, and no payload; one with the marker beside it keeps its own
+    mine = media.encode(os.urandom(640))
+    df = spark.createDataFrame([(1, 5, bytearray(raw)), (2, 640, bytearray(mine)), (3, 1, bytearray(raw[:-30]))], "doc_id long, n_bytes long, media binary").coalesce(1)
+    rows = {r.doc_id: r for r in media.read_media(df).collect()}
+    assert (rows[1].width, rows[1].height, rows[1].thumbnail_hash, rows[1].payload_sha256) == (width, height, plain_hash(grey), None)
+    assert rows[2].payload_bytes == 640 and rows[3].width is None
+
+
+def plain_hash(pixels):
+    """Cell by cell."""
+    high, wide = pixels.shape
+    mean = lambda r, c: pixels[r * high // 8 : max((r + 1) * high // 8, r * high // 8 + 1), c * wide // 9 : max((c + 1) * wide // 9, c * wide // 9 + 1)]
+    bits = "".join("1" if mean(r, c).sum() * mean(r, c + 1).shape[1] < mean(r, c + 1).sum() * mean(r, c).shape[1] else "0" for r in range(8) for c in range(8))
+    return f"{int(bits, 2):016x}"
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (3, 5), (8, 9), (9, 10), (40, 33)])
+def test_difference_hash(shape):
+    pixels = np.random.default_rng(1).integers(0, 256, shape).astype(np.uint8)
+    assert media.difference_hash(pixels) == plain_hash(pixels.astype(int))
+
+
 def test_broken_pictures():
     good = media.encode(os.urandom(640))
     for raw in (b"", b"\xff\xd8", good[:50], good[:-40] + b"\xff\xd9", good.replace(b"\xff\xc0", b"\xff\xc2")):
@@ -97,7 +193,11 @@ def test_media_columns(spark):
         payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(media.encode(payload)), hashlib.sha256(media.encode(payload)).hexdigest())
-    assert len({r.thumbnail_hash for r in got if r.doc_id in (6, 7)}) == 1
+        blocks = len(payload) // 64
+        wide = math.ceil(math.sqrt(blocks))
+        shades = [(b if b >= 128 else b - 255) for b in payload[::64]] + [-255] * (-(-blocks // wide) * wide - blocks)  # the DC coefficient of each block
+        grey = np.array([int(np.clip(np.round(d * 4 / 8) + 128, 0, 255)) for d in shades]).reshape(-1, wide)
+        assert (r.width, r.height, r.thumbnail_hash) == (8 * wide, 8 * len(grey), plain_hash(grey))
     assert media.read_media(media.write_media(frame(spark, []))).count() == 0
     broken = spark.createDataFrame([(1, 2, bytearray(b"no picture")), (2, 0, None)], "doc_id long, n_bytes long, media binary")
     assert [r.payload_sha256 for r in media.read_media(broken).collect()] == [None, None]

@@ -6,11 +6,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import adapters as A
 from .functions import scalars, validation
 from .operators import accounts, browse, prices, reports
 from .plans import imports, preview
+from .schemas import PRICES
 from .sources import price_csv
 from .streaming import jobs
 
@@ -262,13 +264,16 @@ def check_csv_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     _with(A.RAW_SQL, _CHECKED)
-    + """, ranked as (select s_suppkey as file, r.error, count(row_idx) over (partition by s_suppkey) as rows,
-  row_number() over (partition by s_suppkey order by (r.error is null), row_idx, l_partkey) as rn from supplier left join rows r on r.file = s_suppkey and r.row_idx % 50 = 0 and l_partkey % 50 > 8)
+    + """, files as (select distinct l_partkey as file from lineitem union all select -1 - s_suppkey from supplier),
+ranked as (select f.file, r.error, count(r.row_idx) over (partition by f.file) as rows,
+  row_number() over (partition by f.file order by (r.error is null), r.row_idx) as rn from files f left join rows r on r.l_partkey = f.file)
 select file, rows, case when rows = 0 then 'The uploaded CSV file is empty.' else error end as error, rows > 0 and error is null as ok from ranked where rn = 1"""
 )
 def file_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    rows = validation.check_csv_rows(_csv_rows(spark, sf)).where("row_idx % 50 = 0 and l_partkey % 50 > 8")
-    return price_csv.file_verdict(rows, A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("file")))
+    """All rows of lineitem, a file a part, and a file without rows for each supplier."""
+    rows = validation.check_csv_rows(_csv_rows(spark, sf)).withColumn("file", F.col("l_partkey"))
+    files = rows.select("file").distinct().union(A.table(spark, sf, "supplier").select(-1 - F.col("s_suppkey")))
+    return price_csv.file_verdict(rows, files)
 
 
 @query(
@@ -295,6 +300,69 @@ def file_verdict_by_order(spark: SparkSession, sf: str) -> DataFrame:
     return price_csv.file_verdict(validation.check_csv_rows(rows), A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("file")))
 
 
+_CSV_CELLS = ["tradeDate", "open", "high", "low", "close", "adjustedClose", "volume"]
+
+
+@query(
+    _RAW
+    + """select nullif(day, '') as "tradeDate", nullif(price, '') as open, '1' as high, '2' as low, nullif(plain, '') as close,
+  case when l_orderkey % 2 = 0 then nullif(price, '') end as "adjustedClose", cast(l_orderkey * 10 + l_linenumber as varchar) as volume, count(*) as same from raw group by all"""
+)
+def read_price_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of lineitem written as price files with headers of two spellings, and read back."""
+    c, odd = F.col, F.col("l_orderkey") % 2 == 1
+    raw = A.raw_cells(spark, sf)
+    cells = [c("day"), c("price"), F.lit("1"), F.lit("2"), c("plain"), c("price"), (c("l_orderkey") * 10 + c("l_linenumber")).cast("string")]
+    folder = A.scratch(spark, "csv")
+    plain = raw.where(~odd).select(*(v.alias(n) for v, n in zip(cells, _CSV_CELLS, strict=True)))
+    other = raw.where(odd).select(*(v.alias(n) for v, n in zip(cells[:5] + cells[6:], ["Date", "OPEN", "High Price", "low-price", "Closing Price", "TRADE_VOLUME"], strict=True)))
+    for name, rows in (("plain", plain), ("other", other)):
+        rows.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{folder}/{name}")
+    files = price_csv.list_files(spark, folder).where(F.col("name").endswith(".csv"))
+    read = price_csv.read_price_csv(spark, [r.path for r in files.select("path").collect()])
+    return read.groupBy(*_CSV_CELLS).agg(F.count("*").alias("same"))
+
+
+@query(_PRICES + """select *, year("tradeDate")::integer as trade_year from prices""")
+def write_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """The price table written by year of trade, and read back."""
+    path = f"{A.scratch(spark, 'prices')}/table"
+    prices.write_prices(A.prices(spark, sf), path)
+    return spark.read.schema(StructType([*PRICES.fields, StructField("trade_year", IntegerType())])).parquet(path)
+
+
+@query(
+    _with(
+        A.PRICES_SQL,
+        """filed as (select symbol, "tradeDate", close + 1 as close, volume from prices where notes <> 'error')""",
+        """before as (select * from prices where notes <> 'view')""",
+    )
+    + f"""select symbol, "tradeDate", case when f.close is null then b._id end as old_id, coalesce(f.close, b.close) as close,
+  case when f.close is null then b."adjustedClose" end as "adjustedClose", coalesce(f.volume, b.volume) as volume,
+  case when f.close is null then b."companyName" else 'Company ' || symbol end as "companyName",
+  case when f.close is null then b."updatedAt" else timestamp '{A.AS_OF}' end as "updatedAt"
+  from filed f full join before b using (symbol, "tradeDate")"""
+)
+def stream_price_imports(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices in a table, a file of later ones for each symbol, imported as they arrive, and the table that comes of it."""
+    all_, folder = A.prices(spark, sf), A.scratch(spark, "stream")
+    table = f"{folder}/table"
+    jobs.start_table(all_.where("notes <> 'view'"), table)
+    day = F.date_format("tradeDate", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    same = [F.lit("1").alias(c) for c in ("open", "high", "low")]
+    cells = all_.where("notes <> 'error'").select("symbol", day.alias("Trade Date"), *same, (F.col("close") + 1).cast("string").alias("Close"), F.col("volume").cast("string").alias("volume"))
+    cells.repartition("symbol").write.partitionBy("symbol").option("header", True).csv(f"{folder}/in")
+    files = price_csv.list_files(spark, f"{folder}/in").where(F.col("name").endswith(".csv"))
+    symbol = F.regexp_extract("path", r"symbol=([^/]+)/", 1)
+    uploads = files.select(
+        symbol.alias("upload_id"), F.lit(1).alias("upload_seq"), "path", "length", F.col("name").alias("fileName"), symbol.alias("symbol"),
+        F.concat(F.lit("Company "), symbol).alias("companyName"), F.lit("from a file").alias("notes"), F.lit("u").alias("userId"),
+    )
+    jobs.stream_price_imports(spark, f"{folder}/in", uploads, table, f"{folder}/state", A.as_of()).awaitTermination()
+    done = jobs.read_table(spark, table)
+    return done.select("symbol", "tradeDate", F.when(F.col("updatedAt") < A.as_of(), F.col("_id")).alias("old_id"), "close", "adjustedClose", "volume", "companyName", "updatedAt")
+
+
 # --- checks ----------------------------------------------------------------------------------------------------------
 
 

@@ -1,12 +1,12 @@
 """Users: directory, registration, edits, deletion and the latest login, in batches judged against the table before."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_email, trimmed
 from ..functions.validation import INVALID_INPUT, validate_users
 from ..schemas import USERS
-from .prices import dedupe_batch, new_id
+from .prices import among, dedupe_batch, new_id
 
 EXISTS = "An account already exists for this email."
 OWNED = "Another account already uses this email."
@@ -37,7 +37,8 @@ def judge_registrations(users: DataFrame, registrations: DataFrame) -> DataFrame
     role = F.when(F.col("kind") == "self", "user").when(F.col("kind") == "seed", "admin").otherwise(F.col("role"))
     asked = validate_users(registrations.withColumns({"name": trimmed(F.col("name")), "email": normalize_email(F.col("email")), "role": role}))
     valid = F.size("errors") == 0
-    first = F.min(F.when(valid, F.col("seq"))).over(Window.partitionBy("email"))
+    asked = asked.withColumn("valid", valid)
+    first = F.min(F.when(valid, F.col("seq"))).over(among("valid", "seq", "email"))
     known = users.select("email", F.lit(True).alias("known"))
     judged = asked.withColumn("wins", F.coalesce(valid & (F.col("seq") == first), F.lit(False))).join(known, "email", "left")
     status = F.when(~valid, 400).when(F.col("wins") & F.col("known").isNull(), 201).when(F.col("kind") == "seed", 200).otherwise(409)
@@ -62,8 +63,8 @@ def judge_user_edits(users: DataFrame, edits: DataFrame) -> DataFrame:
     valid = F.size("errors") == 0
     good = F.coalesce(valid & F.col("found") & (F.col("owner").isNull() | (F.col("owner") == F.col("_id"))), F.lit(False))
     asked = asked.withColumn("good", good)
-    first = F.min(F.when(F.col("good"), F.struct("seq", "_id"))).over(Window.partitionBy("email"))
-    last = F.max(F.when(F.col("good"), F.col("seq"))).over(Window.partitionBy("_id"))
+    first = F.min(F.when(F.col("good"), F.struct("seq", "_id"))).over(among("good", "seq", "email"))
+    last = F.max(F.when(F.col("good"), F.col("seq"))).over(among("good", "seq", "_id"))
     asked = asked.withColumns({"second": F.col("good") & (first["_id"] != F.col("_id")), "last": F.col("good") & (F.col("seq") == last)})
     status = F.when(~valid, 400).when(F.col("found").isNull(), 404).when(~F.col("good") | F.col("second"), 409).otherwise(200)
     said = F.when(status == 400, INVALID_INPUT).when(status == 404, NOT_FOUND).when(status == 409, OWNED)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .prices import list_prices
 
 USERS_PER_PAGE, RECORDS_PER_PAGE = 5, 6
+#: Pages that end within so many rows are the first rows of the order; deeper ones are taken by number.
+NEAR = 10_000
 
 
 def containing(df: DataFrame, query: str | None, *names: str) -> DataFrame:
@@ -35,9 +37,26 @@ def page_info(total: int, page: int, size: int) -> dict[str, int]:
 
 
 def paginate(df: DataFrame, order: list[Column], page: int, size: int) -> tuple[DataFrame, dict[str, int]]:
-    """(rows of the page, info); the page is moved into the range that exists."""
+    """(rows of the page, info); the page is moved into the range that exists.  ``order`` must be total.
+
+    A page far down is found by the numbers of ranges of the order, so that no task carries all rows before it."""
     info = page_info(df.count(), page, size)
-    return df.orderBy(*order).offset((info["page"] - 1) * size).limit(size), info
+    start = (info["page"] - 1) * size
+    if start + size <= NEAR:
+        return df.orderBy(*order).offset(start).limit(size), info
+    (name,) = _fresh(df, "number")
+    rows = numbered(df, order, name).where(F.col(name).between(start + 1, start + size))
+    return rows.orderBy(name).drop(name), info
+
+
+def _fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "n", parts: int | None = None) -> DataFrame:
@@ -46,11 +65,14 @@ def numbered(df: DataFrame, order: list[Column], name: str = "n", parts: int | N
     The rows are dealt by ranges of the order; a part's numbers start after the counts of the parts before it, of which
     there is one row a part.  ``order`` must be total, so that a rerun deals rows alike."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).persist()
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    row = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return dealt.withColumn("__row", row).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__row")).drop("__part", "__row", "__start")
+    part, row, start = _fresh(df, "part", "row", "start")
+    # kept, since ranges are drawn from a sample and a second reading might draw others
+    dealt = df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()).persist()
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(part).agg(F.count("*").alias(row)).select(part, F.coalesce(F.sum(row).over(before), F.lit(0)).alias(start))
+    number = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    rows = dealt.withColumn(row, number).join(F.broadcast(starts), part)  # one row a part
+    return rows.withColumn(name, F.col(start) + F.col(row)).drop(part, row, start)
 
 
 def export_users(users: DataFrame, query: str | None = None) -> DataFrame:

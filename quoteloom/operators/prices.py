@@ -1,6 +1,6 @@
 """The price table: newest rows, the universe of symbols, and the merges that keep (symbol, tradeDate) unique."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_symbol, number_text, parse_trade_date, trimmed, utc_wall_time
@@ -101,6 +101,11 @@ def import_summary(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return sums.select("upload_id", "matched", F.col("matched").alias("modified"), "upserted", "totalRows")
 
 
+def among(good: str, seq: str, *keys: str) -> WindowSpec:
+    """A window by ``keys`` over the good rows; all others, whose keys may be null or alike, are dealt by their number."""
+    return Window.partitionBy(good, *(F.when(F.col(good), F.col(k)) for k in keys), F.when(~F.col(good), F.col(seq)))
+
+
 def judge_price_edits(prices: DataFrame, edits: DataFrame) -> DataFrame:
     """Edits with status (200, 400, 404 or 409) and message, against the table as it is before the batch.
 
@@ -113,8 +118,8 @@ def judge_price_edits(prices: DataFrame, edits: DataFrame) -> DataFrame:
     valid = F.size("errors") == 0
     good = valid & F.col("found") & (F.col("owner").isNull() | (F.col("owner") == F.col("_id")))
     owned = owned.withColumn("good", F.coalesce(good, F.lit(False)))
-    last = F.max(F.when(F.col("good"), F.col("edit_seq"))).over(Window.partitionBy("_id"))
-    first = F.min(F.when(F.col("good"), F.struct("edit_seq", "_id"))).over(Window.partitionBy("newSymbol", "newDate"))
+    last = F.max(F.when(F.col("good"), F.col("edit_seq"))).over(among("good", "edit_seq", "_id"))
+    first = F.min(F.when(F.col("good"), F.struct("edit_seq", "_id"))).over(among("good", "edit_seq", "newSymbol", "newDate"))
     owned = owned.withColumns({"applied": F.col("good") & (F.col("edit_seq") == last), "second": F.col("good") & (first["_id"] != F.col("_id"))})
     status = F.when(~valid, 400).when(F.col("found").isNull(), 404).when(~F.col("good") | F.col("second"), 409).otherwise(200)
     said = F.when(status == 400, INVALID_INPUT).when(status == 404, NOT_FOUND).when(status == 409, TAKEN)

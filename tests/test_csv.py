@@ -12,7 +12,7 @@ from quoteloom.operators.prices import KEY, stock_universe, write_prices
 from quoteloom.plans.imports import import_prices
 from quoteloom.schemas import PRICES
 from quoteloom.sources.price_csv import EMPTY, RAGGED, TOO_LARGE, WRONG_TYPE, list_files, read_price_csv
-from quoteloom.streaming.jobs import request_rate_audit, start_table, stream_price_imports
+from quoteloom.streaming.jobs import NO_UPLOAD, read_table, request_rate_audit, start_table, stream_price_imports, superseded
 
 HEAD = "tradeDate,open,high,low,close,adjustedClose,volume\n"
 DAY = "2026-01-02,182.50,185.00,181.25,184.40,184.40,1450000\n"
@@ -129,11 +129,34 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     moved = mine.withColumn("path", F.concat(F.lit(f"file:{arriving}/"), "fileName"))
     start_table(none(spark), f"{tmp_path}/table")
     stream_price_imports(spark, f"file://{arriving}", moved, f"{tmp_path}/table", f"{tmp_path}/state", as_of()).awaitTermination()
-    streamed = spark.read.parquet(f"{tmp_path}/table/version=1").select(*PRICES.names)
+    streamed = read_table(spark, f"{tmp_path}/table")
     batch = import_prices(spark, none(spark), mine, as_of()).prices
     assert streamed.count() == batch.count() > 0
     assert streamed.exceptAll(batch).isEmpty()
-    assert spark.read.parquet(f"{tmp_path}/table/rejects=1").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/table/rejects/version=1").count() == 1
+
+
+def test_stream_in_lots_writes_changed_years_only(spark, folder, tmp_path):
+    """Three lots: a file of 2026, one of 2026 and 2027 once its upload is known, and one of no upload."""
+    (tmp_path / "in").mkdir()
+    table, run = f"{tmp_path}/table", lambda mine: stream_price_imports(spark, f"file://{tmp_path}/in", mine, f"{tmp_path}/table", f"{tmp_path}/state", as_of(), lot=1).awaitTermination()
+    old = spark.createDataFrame([("o", "OLD", "Old", dt.datetime(2020, 5, 5), 1.0, 1.0, 1.0, 1.0, None, 1.0, "x", "", "u", dt.datetime(2020, 5, 5), dt.datetime(2020, 5, 5))], PRICES)
+    start_table(old, table)
+    texts = {"a.csv": HEAD + DAY, "b.csv": HEAD + DAY.replace("182.50", "200.00") + "2027-01-04,1,1,1,1,1,1\n", "stray.csv": HEAD + DAY}
+    mine = spark.createDataFrame(
+        [(n, i, f"file:{tmp_path}/in/{n}", len(t), n, "abc", "Some Company", None, "u1") for i, (n, t) in enumerate(texts.items()) if n != "stray.csv"],
+        "upload_id string, upload_seq long, path string, length long, fileName string, symbol string, companyName string, notes string, userId string",
+    )
+    for name in texts:
+        (tmp_path / "in" / name).write_text(texts[name])
+        run(mine)
+    rows = {(r.symbol, r.tradeDate.year): r.open for r in read_table(spark, table).collect()}
+    assert rows == {("OLD", 2020): 1.0, ("ABC", 2026): 200.0, ("ABC", 2027): 1.0}
+    folders = sorted(str(p.relative_to(tmp_path / "table" / "data")) for p in (tmp_path / "table" / "data").glob("version=*/trade_year=*"))
+    assert folders == ["version=0/trade_year=2020", "version=1/trade_year=2026", "version=2/trade_year=2026", "version=2/trade_year=2027"]
+    assert [(r.file.split("/")[-1], r.error) for r in spark.read.parquet(f"{table}/rejects").collect()] == [("stray.csv", NO_UPLOAD)]
+    assert {r.open for r in read_table(spark, table, before=2, years=[2026]).collect()} == {182.5}
+    assert superseded(spark, table, keep=1) == [f"{table}/data/version=1/trade_year=2026"] and superseded(spark, table) == []
 
 
 def test_read_nothing(spark):

@@ -2,7 +2,16 @@
 of each group of near-duplicates stays, sources are mixed to target weights, and the rest is packed into sequences.
 
 A stage takes (spark, docs, sf_dir), docs being what its predecessor kept, and returns a DataFrame; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``.  Each stage's result is written and read again.
+
+Line dedup comes before near-dedup, as the order is given.  The first document of a group of copies keeps its text, the others
+lose the lines that they share with it, so near-dedup meets remnants of copies rather than copies, and empty texts, which
+it links with nothing and mixing takes no words of.
+
+Edge cases: null and empty texts pass all filters and end as a piece that holds the end id alone, unless mixing takes them 0 times,
+as it does texts without words; rows without doc_id are judged by toxicity, untouched by the two dedup stages, and
+mixed and packed; repeated rows of a doc_id stay repeated up to mixing; an empty table gives no pieces; further columns
+go along, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -195,6 +196,53 @@ def test_toxicity_held_out(spark):
     assert again == first
 
 
+def plain_places(text):
+    """Feature places of a text, from its words one by one."""
+    h = lambda w, seed: xxhash.xxh3_64_intdigest(w, seed=seed)
+    full = 2**64 - 1
+
+    def spread(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ (x >> shift)) * factor) & full
+        return x ^ (x >> 31)
+
+    ws = ["".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x20\x09-\x0d]+", text or "")]
+    bare = [w.strip(toxicity.EDGE.decode()) or w for w in ws]
+    own = [h(w.encode(), 0) for w in bare]
+    found = own + [h(w[:n].encode(), n) for n in (4, 5) for w in bare]
+    found += [spread((x * 3 + y) & full) for x, y in zip(own, own[1:], strict=False)] + [spread((x * 5 + y) & full) for x, y in zip(own, own[2:], strict=False)]
+    return {x >> (64 - toxicity.BITS) for x in found}
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    """Per-coordinate FTRL-proximal, one feature at a time, in the order of the operator."""
+    rows, labels = toxic_rows(300)
+    rows += [row(400, "Ünï wörds, ÄÖ <b>html</b>! 'quoted' -- ... x"), row(401, None)]
+    docs, marks = frame(spark, rows), spark.createDataFrame([x for x in labels if x[0] < 300 and x[2] is not None and x[0] > 2] + [(400, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.s for r in docs.select("doc_id", toxicity.scorer(docs, marks)("text").alias("s")).collect()}
+    known = sorted((r.doc_id, r.toxic) for r in marks.collect())
+    text = {r[0]: r[1] for r in rows}
+    z, n, free = defaultdict(float), defaultdict(float), 2**toxicity.BITS
+
+    def weight(i):
+        l1, l2 = (0.0, 0.0) if i == free else (toxicity.L1, toxicity.L2)
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + l2)
+
+    def score(text):
+        return 1 / (1 + math.exp(-sum(weight(i) for i in plain_places(text) | {free})))
+
+    order = np.random.default_rng(0)
+    for _ in range(toxicity.EPOCHS):
+        for k in order.permutation(len(known)):
+            doc, label = known[k]
+            g = score(text[doc]) - label
+            for i, w in [(i, weight(i)) for i in plain_places(text[doc]) | {free}]:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w
+                n[i] += g * g
+    assert all(math.isclose(got[d], score(t), rel_tol=1e-4, abs_tol=1e-6) for d, t in text.items())
+    assert len({round(s, 3) for s in got.values()}) > 10
+
+
 def test_toxicity_scores_follow_all_labels(spark, monkeypatch):
     # 200 toxic to 1,600 clean documents; the marked word stands in half of the toxic and in a twentieth of the clean ones
     bad = lambda i: i % 9 == 0

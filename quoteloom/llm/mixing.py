@@ -1,14 +1,13 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame operations only.
 
 Targets.  Sources in code-point order, null last, weigh 1, 2, 3, repeating, and share all words; a source's target
-stops at CAP times its size and the excess goes to the others by weight.  With sources ordered by size to weight this
-is one running sum over the table of sources.
+stops at CAP times its size and the excess goes to the others by weight, which is to say that all are filled to one level.
 
 Selection.  Each document draws an exponential key, ``-ln(u) / quality``, u from a digest of doc_id, so reruns agree
 and better documents come early.  A source's target is a number of complete epochs plus a remainder; the remainder
 takes documents in key order until its budget is met, the one at the edge only if that comes nearer to it.
 
-Scale.  Running sums over a source are built from sums of key ranges: whole ranges are taken or left, and rows are
+Scale.  Sources may be many: they are numbered by ranges, and their level is looked for in ranges too.  Running sums over a source are built from sums of key ranges: whole ranges are taken or left, and rows are
 sorted only inside the one range where the budget ends, so no task sees a whole source.
 
 Edge cases: null texts have size 0 and documents without words are taken 0 times; a document without quality weighs 1;
@@ -25,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import WORD, fresh, own_columns, save, word_count
 
 CAP = 3
-#: Documents to a range of keys, about.
-RANGE = 5_000
+#: Documents to a range of keys, about; sources to a range of names, at least.
+RANGE, SOURCES = 5_000, 50_000
+#: Ranges of cap to weight to a doubling.
+STEPS = 64
 
 
 def uniform(name: Column) -> Column:
@@ -35,18 +36,47 @@ def uniform(name: Column) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(2**48))
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """The sources with ``rank``, their number by code point, from 1, null last: by ranges, of which one count each goes on."""
+    parts = max(1, min(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), sources.count() // SOURCES))
+    order = F.asc_nulls_last("source")
+    dealt = save(sources.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()), "dealt")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("part").agg(F.count("*").alias("held")).select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
+    row = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return dealt.withColumn("row", row).join(F.broadcast(starts), "part").select("source", "source_size", "docs", (F.col("start") + F.col("row")).alias("rank"))  # a row a part
+
+
 def targets(sized: DataFrame) -> DataFrame:
-    """(source, rank, source_size, docs, target, epochs, rest) of each source; one row a source goes through a window."""
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    s = s.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))))
+    """(source, rank, source_size, docs, target, epochs, rest) of each source.
+
+    A source is capped where the common level times its weight is above its cap.  The level is looked for in two steps, so that
+    no task sees all sources: among STEPS ranges of cap to weight a doubling, and then within the one range that holds it."""
+    s = ranked(save(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), "sources"))
     s = s.withColumn("w", (F.col("rank") - 1) % 3 + 1).withColumn("cap", CAP * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("w"), "rank")
-    before, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy())
-    s = s.withColumn("unit", (total - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(on))
-    below = F.when(F.col("unit") * F.col("w") <= F.col("cap"), F.struct(order_key := F.col("cap") / F.col("w"), "rank", "unit"))
-    level = F.min(below).over(Window.partitionBy())["unit"]
-    s = s.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(level, F.lit(0.0)) * F.col("w")))
+    s = save(s.withColumn("ratio", F.col("cap") / F.col("w")), "weighed")
+    # one row a ratio; those of a range of ratios are a few, since sizes are whole numbers
+    ratios = s.where("cap > 0").groupBy("ratio").agg(F.sum("cap").alias("cap"), F.sum("w").alias("w"))
+    ratios = save(ratios.withColumn("range", F.floor(F.log2("ratio") * STEPS)), "ratios")
+    total = s.agg(F.sum("source_size")).first()[0] or 0
+
+    def with_sums(df: DataFrame, by: str, before: int, after: int) -> DataFrame:
+        """What rows before each are capped at, and the weights from it on."""
+        order = Window.orderBy(by)
+        lower, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+        return df.withColumns({"below": F.coalesce(F.sum("cap").over(lower), F.lit(0)) + before, "on": F.sum("w").over(on) + after})
+
+    ranges = ratios.groupBy("range").agg(F.min("ratio").alias("ratio"), F.sum("cap").alias("cap"), F.sum("w").alias("w"))  # STEPS a doubling
+    held = with_sums(ranges, "range", 0, 0).where(F.col("below") + F.col("ratio") * F.col("on") <= total).orderBy(F.desc("range")).first()
+    if held is None:  # no source is capped
+        weights = ranges.agg(F.sum("w")).first()[0]
+        level = total / weights if weights else 0.0
+    else:
+        inside = with_sums(ratios.where(F.col("range") == held["range"]), "ratio", held["below"], held["on"] - held["w"])
+        last = inside.where(F.col("below") + F.col("ratio") * F.col("on") <= total).orderBy(F.desc("ratio")).first()
+        left = last["on"] - last["w"]
+        level = (total - last["below"] - last["cap"]) / left if left else last["ratio"]
+    s = s.withColumn("target", F.least(F.col("cap").cast("double"), F.lit(float(level)) * F.col("w")))
     s = s.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     return s.select("source", "rank", "source_size", "docs", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
 

@@ -56,15 +56,14 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("members", [1024, 5])
-def test_components_equal_brute_force(spark, monkeypatch, members):
+@pytest.mark.parametrize(("width", "percent", "members"), [(3, 85, 1024), (5, 80, 1024), (3, 85, 5)])
+def test_components_equal_brute_force(spark, monkeypatch, width, percent, members):
     """With small blocks most buckets go on as pairs of buckets."""
     monkeypatch.setattr(minhash, "MEMBERS", members)
     rows = corpus()
-    for width, percent in ((3, 85), (5, 80)):
-        got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), width, percent).collect()
-        assert len(got) == len({r[0] for r in rows})
-        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, width, percent)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), width, percent).collect()
+    assert len(got) == len({r[0] for r in rows})
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, width, percent)
 
 
 def test_empty_and_drop(spark):

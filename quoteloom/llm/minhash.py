@@ -6,10 +6,11 @@ k, gives coordinate k: ``min over x of pi((sigma(x) + k * STEP) mod 2^32)``.  Tw
 Candidates.  Coordinates are cut into bands; documents that share a band share a bucket.  No bucket is expanded into
 its pairs.  Every member is compared with the bucket's smallest one.  Buckets whose members are then still in several
 components go on: inside blocks of bounded size, likely links between components are checked one member against many
-at a time, and only the links that join components come out.  Of such buckets those of more than MEMBERS go on as pairs of
-buckets: members that share two of them share a smaller one.  (A pair at the threshold that shares no smaller bucket and just
-one large one is missed: 5e-7 of the pairs at 0.85, 5e-5 at 0.80.)  What is then still larger than a block is dealt out as
-pairs of blocks, so that each pair of its members meets in a block.
+at a time, and only the links that join components come out.  The members of a bucket's largest component are dealt out among
+its blocks, and the others go to each of them; if those others are more than a block, each pair of their parts is a block too.
+Buckets of more than WIDEST * MEMBERS go on as pairs of buckets before: members that share two of them share a smaller one.
+(A pair at the threshold that shares no smaller bucket and just one such bucket is missed: 5e-7 of the pairs at 0.85, 5e-5 at
+0.80.)
 
 Check.  Links are confirmed on the full shingle sets, made again from the texts of those that share a bucket.
 Documents with equal sets are one class throughout.
@@ -35,6 +36,8 @@ BANDS, ROWS = 24, 4
 STEP = 0x3C6EF373
 #: Shingles and members to a block of a bucket, about.
 BLOCK, MEMBERS = 500_000, 1024
+#: A bucket of more than so many times MEMBERS goes on as pairs of buckets.
+WIDEST = 16
 #: Shingles handled at once, so that the work array stays in cache whatever the text's length.
 CHUNK = 2048
 
@@ -245,10 +248,10 @@ def block_links(members: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def unsettled(members: DataFrame) -> DataFrame:
-    """Groups (gid, size, held) that hold several components; one for each set of members.  members: (gid, rep, n, comp)."""
+    """The gid of groups that hold several components; one for each set of members.  members: (gid, rep, n, comp)."""
     code = [F.min("rep"), F.max("rep"), F.count("*"), F.bit_xor(F.xxhash64("rep")), F.bit_xor(F.xxhash64(F.lit(1), "rep"))]
-    groups = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("held"), F.struct(*code).alias("code"))
-    return groups.where("lo <> hi").groupBy("code").agg(F.min(F.struct("gid", "size", "held")).alias("g")).select("g.*")
+    groups = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.struct(*code).alias("code"))
+    return groups.where("lo <> hi").groupBy("code").agg(F.min("gid").alias("gid")).select("gid")
 
 
 def residual(shared: DataFrame, sizes: DataFrame, of: DataFrame) -> DataFrame:
@@ -258,15 +261,30 @@ def residual(shared: DataFrame, sizes: DataFrame, of: DataFrame) -> DataFrame:
     mixed = shared.join(of, "rep").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     members = shared.select("bucket", "rep", "size").join(save(mixed, "mixed"), "bucket").join(sizes, "rep").join(of, "rep")
     members = save(members, "members")
-    small = members.where(F.col("size") <= MEMBERS).select(F.col("bucket").alias("gid"), "rep", "n", "comp")
+    fits = F.col("size") <= WIDEST * MEMBERS
+    small = members.where(fits).select(F.col("bucket").alias("gid"), "rep", "n", "comp")
     # a document's large buckets, two by two
     twos = F.expr("explode(flatten(transform(large, (x, i) -> transform(slice(large, i + 2, size(large)), y -> xxhash64(x, y)))))")
-    large = members.where(F.col("size") > MEMBERS).groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_set("bucket")).alias("large"))
-    groups = save(small.union(large.select(twos.alias("gid"), "rep", "n", "comp")), "groups")
-    parts = F.ceil(F.greatest(F.col("held") / BLOCK, F.col("size") / MEMBERS)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
-    dealt = groups.select("gid", "rep").join(save(unsettled(groups), "unsettled"), "gid").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), parts - 1))})
-    return dealt.select(F.xxhash64("gid", F.least("own", "other"), F.greatest("own", "other")).alias("gid"), "rep").distinct()
+    large = members.where(~fits).groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_set("bucket")).alias("large"))
+    return dealt(save(small.union(large.select(twos.alias("gid"), "rep", "n", "comp")), "groups"))
+
+
+def dealt(groups: DataFrame) -> DataFrame:
+    """(gid, rep): blocks in which each two members of a group that are of two components meet; groups: (gid, rep, n, comp)."""
+    rows = groups.join(save(unsettled(groups), "unsettled"), "gid")
+    each = rows.groupBy("gid", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("h"))
+    each = each.groupBy("gid").agg(F.max(F.struct("c", "comp", "h")).alias("m"), F.sum("c").alias("size"), F.sum("h").alias("held"))
+    parts = lambda size, held: F.ceil(F.greatest(size / MEMBERS, held / BLOCK)).cast("int")
+    largest = each.select("gid", F.col("m.comp").alias("largest"), parts(F.col("m.c"), F.col("m.h")).alias("p"), parts(F.col("size") - F.col("m.c"), F.col("held") - F.col("m.h")).alias("q"))
+    rows = save(rows.join(save(largest, "largest"), "gid"), "rows")
+    inner, number = F.col("comp") == F.col("largest"), F.xxhash64("rep")
+    own = lambda n: F.pmod(number, F.col(n)).cast("int").alias("own")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    block = lambda kind, *numbers: F.xxhash64("gid", F.lit(kind), *numbers).alias("gid")
+    a = rows.where(inner).select("gid", "rep", own("p"), upto("q")).select(block(0, "own", "other"), "rep")
+    b = rows.where(~inner).select("gid", "rep", own("q"), upto("p")).select(block(0, "other", "own"), "rep")
+    c = rows.where(~inner & (F.col("q") > 1)).select("gid", "rep", own("q"), upto("q")).select(block(1, F.least("own", "other"), F.greatest("own", "other")), "rep")
+    return a.union(b).union(c).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

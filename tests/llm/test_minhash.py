@@ -56,10 +56,11 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize(("width", "percent", "members"), [(3, 85, 1024), (5, 80, 1024), (3, 85, 5)])
-def test_components_equal_brute_force(spark, monkeypatch, width, percent, members):
-    """With small blocks most buckets go on as pairs of buckets."""
+@pytest.mark.parametrize(("width", "percent", "members", "widest"), [(3, 85, 1024, 16), (5, 80, 5, 16), (3, 85, 5, 1)])
+def test_components_equal_brute_force(spark, monkeypatch, width, percent, members, widest):
+    """With small blocks most buckets are dealt out, or go on as pairs of buckets."""
     monkeypatch.setattr(minhash, "MEMBERS", members)
+    monkeypatch.setattr(minhash, "WIDEST", widest)
     rows = corpus()
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), width, percent).collect()
     assert len(got) == len({r[0] for r in rows})
@@ -74,12 +75,26 @@ def test_empty_and_drop(spark):
 
 
 def test_residual_grows_with_the_members(spark):
-    """One bucket of many members that share nothing else, and one of two groups that share two buckets."""
+    """A bucket of 50,000 that share nothing else, one of 1,500 components, and a component of 10,000 with ten others."""
     n = 50_000
     sizes = spark.range(n).selectExpr("id as rep", "100L as n")
-    of = spark.range(n).selectExpr("id as rep", "id as comp")
-    shared = spark.range(n).selectExpr("7L as bucket", "id as rep", f"{n}L as size").union(spark.range(1500).selectExpr("8L as bucket", "id as rep", "1500L as size"))
-    assert minhash.residual(shared, sizes, of).count() == 1500 * 2  # two parts, three blocks
+    of = spark.range(n).selectExpr("id as rep", "case when id between 20000 and 29999 then 20000L else id end as comp")
+    bucket = lambda number, lo, hi: spark.range(lo, hi).selectExpr(f"{number}L as bucket", "id as rep", f"{hi - lo}L as size")
+    rows = lambda shared: minhash.residual(shared, sizes, of).count()
+    assert rows(bucket(7, 0, n)) == 0
+    assert rows(bucket(8, 0, 1500)) == 2 + 1499 + 2 * 1499
+    assert rows(bucket(9, 19_990, 30_000)) == 10_000 + 10 * 10
+    # each two members of two components meet in a block
+    shared = bucket(8, 0, 60).union(bucket(9, 19_990, 20_050))
+    blocks = {}
+    mp = pytest.MonkeyPatch()
+    mp.setattr(minhash, "MEMBERS", 7)
+    for r in minhash.residual(shared, sizes, of).collect():
+        blocks.setdefault(r.gid, set()).add(r.rep)
+    mp.undo()
+    comp = lambda x: 20_000 if 20_000 <= x < 30_000 else x
+    met = {(a, b) for m in blocks.values() for a in m for b in m if comp(a) < comp(b)}
+    assert met == {(a, b) for m in (range(60), range(19_990, 20_050)) for a in m for b in m if comp(a) < comp(b)} and max(map(len, blocks.values())) < 40
 
 
 def test_sql_equals_brute_force():

@@ -48,7 +48,7 @@ def op8_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     # written to the shared folder first: what is read back are the stored bytes
-    read = media.read_media(save(media.write_media(table(spark, sf_dir, "documents")), "media"))
+    read = media.read_media(save(media.write_media(table(spark, sf_dir, "documents")), "media", "zstd"))
     feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumbnail_hash")
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, lm, media, merkle, minhash, mixing, packing, tokencount, tokenfile, topk, toxicity, warc
+from . import linededup, lm, media, merkle, minhash, mixing, packing, tokencount, tokenfile, topk, toxicity, warc, whitening
 from .common import save, table
 
 
@@ -57,6 +57,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES = {
         op8_threshold_top_k,
         op9_jpeg_media,
         op10_best_fit_packing,
+        op11_embedding_whitening,
         op12_elias_fano_tokens,
         op13_merkle_manifest,
     )

@@ -1,13 +1,11 @@
 """The three tables and their batches, derived from the driver's tables, on both sides: as DataFrames for Spark, as
 common table expressions for the SQL that checks it.  For tests and queries only."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schemas import PRICES, REPORTS, USERS
+from .storage import scratch
 
 AS_OF = "2030-01-01 00:00:00"
 
@@ -16,17 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names in ``spark.checkpoint.dir``, for queries that write files."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def as_of():
     return F.lit(AS_OF).cast("timestamp_ntz")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import normalize_email, trimmed
 from ..functions.validation import INVALID_INPUT, validate_users
 from ..schemas import USERS
-from .prices import among, dedupe_batch, new_id
+from .prices import among, dedupe_batch, new_id, replayed
 
 EXISTS = "An account already exists for this email."
 OWNED = "Another account already uses this email."
@@ -71,9 +71,8 @@ def judge_user_edits(users: DataFrame, edits: DataFrame) -> DataFrame:
     return asked.withColumns({"status": status, "message": said, "applied": F.col("last") & ~F.col("second")})
 
 
-def update_users(users: DataFrame, edits: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(users, rejects)."""
-    judged = judge_user_edits(users, edits)
+def _edited(users: DataFrame, judged: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(users, rejects) of judged edits, of which one a user has ``applied``."""
     fields = ["name", "email", "role"]
     applied = judged.where("applied").select("_id", *(F.col(c).alias(f"new_{c}") for c in fields), F.lit(True).alias("new"))
     columns = {c: F.when(F.col("new"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in fields}
@@ -82,6 +81,18 @@ def update_users(users: DataFrame, edits: DataFrame, as_of: Column) -> tuple[Dat
     return changed, judged.where("status <> 200").select("seq", "_id", "status", "message")
 
 
+def update_users(users: DataFrame, edits: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(users, rejects)."""
+    return _edited(users, judge_user_edits(users, edits), as_of)
+
+
+def replay_user_edits(users: DataFrame, edits: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(users, rejects) of edits taken one after the other by seq, which is unique: an e-mail that an earlier edit has freed is free."""
+    checked = validate_users(edits.withColumns({"name": trimmed(F.col("name")), "email": normalize_email(F.col("email"))}))
+    owners = users.select(F.col("_id").alias("row"), F.col("email").alias("key"))
+    return _edited(users, replayed(checked, users, "seq", F.col("email"), owners, NOT_FOUND, OWNED), as_of)
+
+
 def delete_users(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(users, rejects); requests: (actorId, targetId).  Nobody deletes their own account."""
     known = users.select(F.col("_id").alias("targetId"), F.lit(True).alias("known"))

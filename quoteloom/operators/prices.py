@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import normalize_symbol, number_text, parse_trade_date, trimmed, utc_wall_time
 from ..functions.validation import INVALID_INPUT, validate_prices
 from ..schemas import IMPORTED, PRICES
+from ..storage import save
+from .chains import settle
 
 KEY = ["symbol", "tradeDate"]
 NEWEST = ["tradeDate", "createdAt", "_id"]
@@ -126,9 +128,8 @@ def judge_price_edits(prices: DataFrame, edits: DataFrame) -> DataFrame:
     return owned.withColumns({"status": status, "message": said, "applied": F.col("applied") & ~F.col("second")})
 
 
-def apply_price_edits(prices: DataFrame, edits: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(prices, rejects)."""
-    judged = judge_price_edits(prices, edits)
+def _edited(prices: DataFrame, judged: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(prices, rejects) of judged edits, of which one a row has ``applied``."""
     number = {c: F.nullif(F.col(c).cast("string"), F.lit("")).try_cast("double") for c in ("open", "high", "low", "close", "adjustedClose", "volume")}
     values = {"symbol": F.col("newSymbol"), "companyName": trimmed(F.col("companyName")), "tradeDate": F.col("newDate"), **number, "notes": trimmed(F.coalesce("notes", F.lit("")))}
     applied = judged.where("applied").select("_id", *(v.alias(f"new_{c}") for c, v in values.items()), F.lit(True).alias("new"))
@@ -139,6 +140,36 @@ def apply_price_edits(prices: DataFrame, edits: DataFrame, as_of: Column) -> tup
     return both.select(*(columns.get(c, F.col(c)).alias(c) for c in PRICES.names)), rejects
 
 
+def apply_price_edits(prices: DataFrame, edits: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(prices, rejects)."""
+    return _edited(prices, judge_price_edits(prices, edits), as_of)
+
+
+def replayed(checked: DataFrame, ids: DataFrame, seq: str, key: Column, owners: DataFrame, missing: str, taken: str) -> DataFrame:
+    """Checked requests (seq, _id, errors, ...) with the status and message that each gets when they are taken one after the other.
+
+    ids: the table's (_id); owners: its (row, key); ``applied`` marks the last accepted request of a row."""
+    found = save(checked.join(ids.select("_id", F.lit(True).alias("found")), "_id", "left"), "requests")
+    valid = F.size("errors") == 0
+    claims = found.where(valid & F.col("found")).select(F.col(seq).cast("long").alias("seq"), F.col("_id").alias("row"), key.alias("key"))
+    settled = settle(claims, owners).withColumnRenamed("seq", "of")
+    both = found.join(settled, F.col(seq) == F.col("of"), "left").drop("of")
+    status = F.when(~valid, 400).when(F.col("found").isNull(), 404).when(~F.col("accepted"), 409).otherwise(200)
+    said = F.when(status == 400, INVALID_INPUT).when(status == 404, missing).when(status == 409, taken)
+    last = F.max(F.when(F.col("accepted"), F.col(seq))).over(among("good", seq, "_id"))
+    judged = both.withColumn("good", F.coalesce("accepted", F.lit(False))).withColumns({"status": status, "message": said, "last": last})
+    return judged.withColumn("applied", F.col("good") & (F.col(seq) == F.col("last")))
+
+
+def replay_price_edits(prices: DataFrame, edits: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(prices, rejects) of edits taken one after the other by edit_seq, which is unique: an edit may take a key that an earlier one has freed,
+    and is refused if another row has it by then."""
+    checked = validate_prices(edits).withColumns({"newSymbol": normalize_symbol(F.col("symbol")), "newDate": utc_wall_time(parse_trade_date(F.col("tradeDate")))})
+    owners = prices.select(F.col("_id").alias("row"), F.struct("symbol", "tradeDate").alias("key"))
+    key = F.struct(F.col("newSymbol").alias("symbol"), F.col("newDate").alias("tradeDate"))
+    return _edited(prices, replayed(checked, prices, "edit_seq", key, owners, NOT_FOUND, TAKEN), as_of)
+
+
 def delete_by_id(table: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(table without the ids, ids that it does not have)."""
     return table.join(ids, "_id", "left_anti"), ids.join(table, "_id", "left_anti").distinct()

@@ -12,10 +12,10 @@ range is written as files of about FILE bytes.  A file knows its range and its n
 is the sum of the files before it.  Files are written by Spark's text writer, whose separator is the zero byte at the end,
 and read by its binary reader, so they may stand wherever Spark reads and writes.
 
-Encoding.  No pre-token of this vocabulary crosses white space, so each distinct word is encoded once for a worker (up to a bound).
+Encoding.  No pre-token of this vocabulary crosses white space, so a worker encodes each word that it keeps once.
 
 Edge cases: null and empty texts are the end id alone; rows without doc_id come first, then doc_ids ascend, rows of one
-doc_id by length and checksum of their ids; equal rows are written each; an empty table gives no files and no rows; a damaged file
+doc_id by length and hash of their texts; equal rows are written each; an empty table gives no files and no rows; a damaged file
 raises ValueError; other columns are ignored.
 """
 
@@ -26,6 +26,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +36,15 @@ from pyspark.sql import functions as F
 from .common import save, scratch
 
 END, VOCABULARY = 1, "word_bpe_49k.json"
-#: Bytes of token ids to a file and to a range, about.
+#: Bytes of token ids to a file, and of text to a range, about.
 FILE, RANGE = 32 * 2**20, 256 * 2**20
 #: Bits that an entry of the directory stands for; positions that are looked up at once.
 BLOCK, AT_ONCE = 512, 4096
-#: Words that a worker keeps, and the longest one.
-WORDS, LONGEST = 500_000, 64
+#: Words that a worker keeps in each of two halves, and the longest one.
+WORDS, LONGEST = 450_000, 64
 MAGIC = b"EFTOKEN1"
 #: After the magic: bytes of a token id, range, number of the file there, rows without doc_id, bytes of the two sequences.
 HEAD = struct.Struct("<8sBIIQQQ")
-ENCODED = "doc_id long, n_tokens long, ids_crc32 long, ids binary"
 READ = "part long, file long, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -130,53 +130,69 @@ def token_file(part: int, number: int, docs: list[tuple[int | None, bytes]], wid
     return data + zlib.crc32(data).to_bytes(4, "little")
 
 
-class Encoder:
-    """Texts to little-endian ids, word by word."""
+#: Letters of ASCII and Latin-1, in upper and in lower case, for words that need no normaliser but ``str.lower``.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PLAIN = re.compile(f"[!-~{LETTERS}]+")
+#: Fixed value: the vocabulary's pre-token pattern, over the characters of PLAIN.
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
 
-    #: Printable ASCII with nothing that the vocabulary's pattern or special tokens treat in their own way.
-    PLAIN, PARTS = re.compile(rb"[!-&(-;=-~]+"), re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+
+def byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, then those from 256 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
+class Parts(dict):
+    """pre-token in lower case -> its ids, by the library's model."""
+
+    def __init__(self, encoder: "Encoder") -> None:
+        super().__init__()
+        self.model, self.kind, self.characters = encoder.tokenizer.model, encoder.kind, byte_characters()
+
+    def __missing__(self, part: str) -> bytes:
+        ids = array(self.kind, [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.characters))]).tobytes()
+        if len(part) <= LONGEST:
+            if len(self) >= WORDS:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
+class Encoder(dict):
+    """word -> little-endian ids; called with a text, the ids of all its words.
+
+    Words of PLAIN are cut into pre-tokens here and encoded by the library's model; all others by the whole tokenizer.  When it is
+    full, the words kept become the older half, from which those that come again are taken over."""
 
     def __init__(self, name: str) -> None:
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.width = 2 if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 2**16 else 4
-        self.by_word: dict[bytes, bytes] = {}
-        self.by_part: dict[str, list[int]] = {}
+        self.kind = "H" if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 2**16 else "I"
+        self.width = array(self.kind).itemsize
+        self.parts, self.older = Parts(self), {}
 
     def __call__(self, text: str | None) -> bytes:
-        words, known = (text or "").encode("utf-8", "replace").split(), self.by_word
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) + len(new) > WORDS:
-                known.clear()
-                self.by_part.clear()
-                new = set(words)
-            self.learn(new)
-        out = b"".join(map(known.__getitem__, words))
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
-        return out
+        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
 
-    def learn(self, words: set[bytes]) -> None:
-        other, kind = [], f"<u{self.width}"
-        for w in words:
-            if self.PLAIN.fullmatch(w):
-                self.by_word[w] = np.array([i for part in self.PARTS.findall(w.decode().lower()) for i in self.part(part)], kind).tobytes()
-            else:
-                other.append(w)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-        self.by_word.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(other, found, strict=True))
-
-    def part(self, part: str) -> list[int]:
-        ids = self.by_part.get(part)
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
         if ids is None:
-            ids = [t.id for t in self.tokenizer.model.tokenize(part)]
-            if len(part) <= LONGEST:
-                self.by_part[part] = ids
+            text = word.decode()
+            if PLAIN.fullmatch(text) and "<|" not in text:
+                ids = b"".join(map(self.parts.__getitem__, PARTS.findall(text.lower())))
+            else:
+                ids = array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(word) <= LONGEST:
+            if len(self) >= WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -192,46 +208,33 @@ def batch(columns: list, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
-    """ENCODED of all rows; ids as they are filed, their checksum as 32-bit integers."""
+def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, file_bytes: int = FILE) -> None:
+    """Writes the documents' ids under ``path``, which must be new.  Texts move once; they are encoded where they are filed."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE)
+    # rows that are equal are dealt by where they stand in the table
+    rows = rows.withColumns({"size": F.octet_length("text"), "hash": F.xxhash64("text"), "stands": F.monotonically_increasing_id()})
+    order = ["doc_id", "size", "hash", "stands"]
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches):
         ids_of = encoder(vocabulary)
         tail = end.to_bytes(ids_of.width, "little")
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                ids = [ids_of(text) + tail for text in part.column(1).to_pylist()]
-                crc = [zlib.crc32(np.frombuffer(x, f"<u{ids_of.width}").astype("<u4")) for x in ids]
-                yield batch([part.column(0), [len(x) // ids_of.width for x in ids], crc, ids], ENCODED)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ENCODED)
-
-
-def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, file_bytes: int = FILE) -> None:
-    """Writes the documents' ids under ``path``, which must be new."""
-    ids = save(encoded(docs, vocabulary, end), "ids", "zstd")
-    total = ids.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * total // RANGE)
-    # rows that are equal are dealt by where they stand in the written table
-    order = ["doc_id", "n_tokens", "ids_crc32", "stands"]
-    dealt = ids.withColumn("stands", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    width = 2 if total == 0 else ids.select((F.octet_length("ids") / F.col("n_tokens")).cast("int")).first()[0]
-
-    def run(batches):
         held, size, number, part = [], 0, 0, 0
         for b in batches:
             for r in range(b.num_rows):
-                part, doc, x = (c[r].as_py() for c in b.columns)
-                if held and size + len(x) > file_bytes:
-                    yield batch([[token_file(part, number, held, width)]], "file binary")
+                part, doc, text = (c[r].as_py() for c in b.columns)
+                ids = ids_of(text) + tail
+                if held and size + len(ids) > file_bytes:
+                    yield batch([[token_file(part, number, held, ids_of.width)]], "file binary")
                     held, size, number = [], 0, number + 1
-                held.append((doc, x))
-                size += len(x)
+                held.append((doc, ids))
+                size += len(ids)
         if held:
-            yield batch([[token_file(part, number, held, width)]], "file binary")
+            yield batch([[token_file(part, number, held, ids_of.width)]], "file binary")
 
-    files = dealt.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "ids").mapInArrow(run, "file binary")
+    files = dealt.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "text").mapInArrow(run, "file binary")
     files.select(F.col("file").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 

@@ -528,6 +528,61 @@ def apply_price_edits_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return prices.apply_price_edits(A.prices(spark, sf), _price_edits(spark, sf), A.as_of())[1].select("edit_seq", "status", "message")
 
 
+def _chained(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All prices, with a symbol of their own on one day, and three edits of each: along a ring of 20 rows that one row
+    leaves, two places on, and to a neighbour's key; some broken, some of no row."""
+    p = A.prices(spark, sf).withColumns({"symbol": F.concat(F.lit("P"), F.col("_id")), "tradeDate": F.lit("2026-01-02").cast("timestamp_ntz")})
+    k = F.col("_id").cast("long")
+    ring, place = F.floor(k / 20), k % 20
+    at = lambda n: F.concat(F.lit(" p"), (ring * 20 + (place + n) % 20).cast("string"))
+    passes = [
+        F.when(place == 13, F.concat(F.lit("free"), F.col("_id"))).otherwise(at(1)),
+        F.when(k % 21 == 0, "x").when(k % 5 == 0, at(0)).otherwise(at(2)),
+        F.concat(F.lit("P"), k.bitwiseXOR(F.lit(1)).cast("string")),
+    ]
+    edits = [
+        p.select(
+            ((n * 20 + (place * 7 + 3 * n) % 20) * 10**9 + ring).alias("edit_seq"),
+            F.when((k % 27 == 0) & (F.lit(n) == 2), F.concat(F.lit("none-"), F.col("_id"))).otherwise(F.col("_id")).alias("_id"),
+            symbol.alias("symbol"), F.lit(" Edited ").alias("companyName"), F.lit("2026-01-02").alias("tradeDate"),
+            *(F.lit(v).alias(c) for c, v in (("open", "1"), ("high", "2.5"), ("low", "0"), ("close", str(n)), ("adjustedClose", ""), ("volume", "7"))), F.lit("").alias("notes"),
+        )
+        for n, symbol in enumerate(passes)
+    ]
+    return p, edits[0].unionByName(edits[1]).unionByName(edits[2])
+
+
+def _replayed(has: str, edits: str) -> str:
+    """Recursive SQL: per group g, claim by claim, with the keys that the rows of the group have.
+
+    has: (g, r, key); edits: (g, seq, r, key, valid, found)."""
+    return f"""has as ({has}), edits as ({edits}),
+claims as (select *, row_number() over (partition by g order by seq) as i from edits where valid and found),
+state(g, i, held, seq, ok) as (select g, 0::bigint, list({{'r': r, 'key': key}}), null::bigint, null::boolean from has group by g union all
+  select g, i, case when ok then list_transform(held, lambda x: case when x.r = r then {{'r': r, 'key': key}} else x end) else held end, seq, ok
+  from (select c.*, s.held, len(list_filter(s.held, lambda x: x.key = c.key and x.r <> c.r)) = 0 as ok from state s join claims c on c.g = s.g and c.i = s.i + 1)),
+judged as (select e.*, case when not valid then 400 when not found then 404 when not s.ok then 409 else 200 end as status from edits e left join state s on s.seq = e.seq),
+applied as (select * from (select *, row_number() over (partition by r order by seq desc) as back from judged where status = 200) where back = 1)"""
+
+
+_CHAINED = "with recursive " + A.PRICES_SQL + ", k as (select cast(_id as bigint) as k, cast(_id as bigint) // 20 as g, cast(_id as bigint) % 20 as at_ from prices),\n" + _replayed(
+    "select g, k as r, 'P' || k as key from k",
+    """select g, (n * 20 + (at_ * 7 + 3 * n) % 20) * 1000000000 + g as seq, k as r, not (n = 1 and k % 21 = 0) as valid, not (n = 2 and k % 27 = 0) as found, n,
+  case n when 0 then case when at_ = 13 then 'FREE' || k else 'P' || (g * 20 + (at_ + 1) % 20) end when 1 then 'P' || (g * 20 + (at_ + case when k % 5 = 0 then 0 else 2 end) % 20) else 'P' || xor(k, 1) end as key
+  from k, (select unnest([0, 1, 2])::bigint as n)""",
+)
+
+
+@query(_CHAINED + """ select p._id, coalesce(a.key, 'P' || p._id) as symbol, case when a.r is null then p.close else a.n end as close, case when a.r is null then p."companyName" else 'Edited' end as "companyName" from prices p left join applied a on a.r = cast(p._id as bigint)""")
+def replay_price_edits(spark: SparkSession, sf: str) -> DataFrame:
+    return prices.replay_price_edits(*_chained(spark, sf), A.as_of())[0].select("_id", "symbol", "close", "companyName")
+
+
+@query(_CHAINED + " select seq as edit_seq, case when n = 2 and r % 27 = 0 then 'none-' || r else cast(r as varchar) end as _id, status from judged where status <> 200")
+def replay_price_edits_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return prices.replay_price_edits(*_chained(spark, sf), A.as_of())[1].select("edit_seq", "_id", "status")
+
+
 def _price_deletes(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "events").where("event_id % 4 = 0").select(F.when(F.col("event_id") % 8 == 0, F.col("event_id").cast("string")).otherwise(F.concat(F.lit("x"), F.col("event_id").cast("string"))).alias("_id"))
 
@@ -637,6 +692,37 @@ def update_users_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return accounts.update_users(A.users(spark, sf), _user_edits(spark, sf), A.as_of())[1]
 
 
+def _mailbox_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Per order an edit of its customer, who are ten to a block: to an e-mail that some customer of the block had at first, to
+    one that the block shares, to one of their own."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    block = F.floor(c / 10)
+    first = lambda n: F.concat(F.lit("Customer."), F.lpad(n.cast("string"), 9, "0"), F.lit("@mail.test"))
+    email = F.when(k % 4 == 0, first(block * 10 + k % 10)).when(k % 4 == 1, F.concat(F.lit("block."), block.cast("string"), F.lit("@mail.test")))
+    email = email.when(k % 4 == 2, first(block * 10 + (c + 1) % 10)).otherwise(F.concat(F.lit("own."), c.cast("string"), F.lit("@mail.test")))
+    target = F.when(k % 9 == 0, F.concat(F.lit("none-"), c.cast("string"))).otherwise(c.cast("string"))
+    return A.table(spark, sf, "orders").select(k.alias("seq"), target.alias("_id"), F.lit(" New Name ").alias("name"), email.alias("email"), F.when(k % 11 == 0, "owner").otherwise("user").alias("role"))
+
+
+_MAILBOXES = "with recursive " + A.USERS_SQL + ",\n" + _replayed(
+    "select cast(_id as bigint) // 10 as g, cast(_id as bigint) as r, email as key from users",
+    """select o_custkey // 10 as g, o_orderkey as seq, o_custkey as r, o_orderkey % 11 <> 0 as valid, o_orderkey % 9 <> 0 and u._id is not null as found,
+  case o_orderkey % 4 when 0 then 'customer.' || lpad(cast(o_custkey // 10 * 10 + o_orderkey % 10 as varchar), 9, '0') || '@mail.test' when 1 then 'block.' || (o_custkey // 10) || '@mail.test'
+    when 2 then 'customer.' || lpad(cast(o_custkey // 10 * 10 + (o_custkey + 1) % 10 as varchar), 9, '0') || '@mail.test' else 'own.' || o_custkey || '@mail.test' end as key
+  from orders left join users u on u._id = cast(o_custkey as varchar)""",
+)
+
+
+@query(_MAILBOXES + " select u._id, case when a.r is null then u.name else 'New Name' end as name, coalesce(a.key, u.email) as email, case when a.r is null then u.role else 'user' end as role from users u left join applied a on a.r = cast(u._id as bigint)")
+def replay_user_edits(spark: SparkSession, sf: str) -> DataFrame:
+    return accounts.replay_user_edits(A.users(spark, sf), _mailbox_edits(spark, sf), A.as_of())[0].select("_id", "name", "email", "role")
+
+
+@query(_MAILBOXES + " select seq, case when seq % 9 = 0 then 'none-' || r else cast(r as varchar) end as _id, status from judged where status <> 200")
+def replay_user_edits_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return accounts.replay_user_edits(A.users(spark, sf), _mailbox_edits(spark, sf), A.as_of())[1].select("seq", "_id", "status")
+
+
 def _user_deletes(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("c_custkey")
     target = F.when(c % 7 == 0, F.concat(F.lit("x"), c.cast("string"))).otherwise(c.cast("string"))
@@ -780,3 +866,17 @@ def request_rate_audit(spark: SparkSession, sf: str) -> DataFrame:
     log = A.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("client"), "ts")
     found = jobs.request_rate_audit(log, limit=1)
     return found.select("client", scalars.utc_wall_time(F.col("start")).alias("start"), "requests")
+
+
+@query(
+    """with recursive w as (select user_id, min(ts) as start from events group by 1 union all
+  select w.user_id, (select min(e.ts) from events e where e.user_id = w.user_id and e.ts >= w.start + interval 6 hours) from w where w.start is not null),
+s as (select user_id, start, lead(start) over (partition by user_id order by start) as following from w where start is not null)
+select cast(s.user_id as varchar) as client, s.start, count(*) as requests from s join events e on e.user_id = s.user_id and e.ts >= s.start and (following is null or e.ts < following)
+group by 1, 2 having count(*) > 1"""
+)
+def limiter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of six hours, since the clients of ``events`` seldom ask; each begins at a request."""
+    log = A.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("client"), "ts")
+    done = jobs.limiter_audit(log, limit=1, minutes=360)
+    return done.withColumn("start", F.col("start").cast("timestamp_ntz"))

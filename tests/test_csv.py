@@ -1,6 +1,8 @@
 """Price CSV files end to end, in batch and as a stream."""
 
 import datetime as dt
+import os
+import random
 
 import pytest
 from pyspark.sql import Window
@@ -9,10 +11,11 @@ from pyspark.sql import functions as F
 from quoteloom.adapters import as_of
 from quoteloom.functions.validation import BAD_NUMBER, MISSING
 from quoteloom.operators.prices import KEY, stock_universe, write_prices
+from quoteloom.plans import imports
 from quoteloom.plans.imports import import_prices
 from quoteloom.schemas import PRICES
 from quoteloom.sources.price_csv import EMPTY, RAGGED, TOO_LARGE, WRONG_TYPE, list_files, read_price_csv
-from quoteloom.streaming.jobs import NO_UPLOAD, read_table, request_rate_audit, start_table, stream_price_imports, superseded
+from quoteloom.streaming.jobs import NO_UPLOAD, first_request_windows, limiter_audit, read_table, request_rate_audit, start_table, stream_limiter_audit, stream_price_imports, superseded
 
 HEAD = "tradeDate,open,high,low,close,adjustedClose,volume\n"
 DAY = "2026-01-02,182.50,185.00,181.25,184.40,184.40,1450000\n"
@@ -156,7 +159,77 @@ def test_stream_in_lots_writes_changed_years_only(spark, folder, tmp_path):
     assert folders == ["version=0/trade_year=2020", "version=1/trade_year=2026", "version=2/trade_year=2026", "version=2/trade_year=2027"]
     assert [(r.file.split("/")[-1], r.error) for r in spark.read.parquet(f"{table}/rejects").collect()] == [("stray.csv", NO_UPLOAD)]
     assert {r.open for r in read_table(spark, table, before=2, years=[2026]).collect()} == {182.5}
-    assert superseded(spark, table, keep=1) == [f"{table}/data/version=1/trade_year=2026"] and superseded(spark, table) == []
+    assert superseded(spark, table, keep=1) == [f"{table}/data/version=1/trade_year=2026", *(f"{table}/years/version={v}" for v in range(3))]
+    assert superseded(spark, table) == [f"{table}/data/version=1/trade_year=2026", *(f"{table}/years/version={v}" for v in range(2))]
+
+
+def test_upload_row_that_comes_later(spark, tmp_path):
+    """A file whose row comes one batch after it is imported once; one whose row never comes is refused when it is too late."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "rows").mkdir()
+    table, began = f"{tmp_path}/table", 1_700_000_000
+    schema = "upload_id string, upload_seq long, path string, fileName string, symbol string, companyName string, notes string, userId string, uploadedAt timestamp"
+    start_table(none(spark), table)
+
+    def file(name, minutes):
+        (tmp_path / "in" / name).write_text(HEAD + DAY)
+        os.utime(tmp_path / "in" / name, (began + 60 * minutes, began + 60 * minutes))
+
+    def uploaded(name, minutes, path=None):
+        at = dt.datetime.fromtimestamp(began + 60 * minutes, dt.UTC)
+        spark.createDataFrame([(name, 1, path or f"file:{tmp_path}/in/{name}", name, name[0] * 3, "Some Company", None, "u1", at)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/rows")
+
+    def run():
+        mine = spark.readStream.schema(schema).parquet(f"{tmp_path}/rows")
+        stream_price_imports(spark, f"file://{tmp_path}/in", mine, table, f"{tmp_path}/state", as_of(), wait="10 minutes").awaitTermination()
+        rejects = {(r.file.split("/")[-1], r.error) for r in spark.read.parquet(f"{table}/rejects").collect()}
+        return sorted(r.symbol for r in read_table(spark, table).collect()), rejects, spark.read.parquet(f"{table}/summary").count()
+
+    file("a.csv", 0)
+    file("stray.csv", 0)
+    uploaded("other", 0, path="file:/nowhere.csv")
+    assert run() == ([], set(), 0)
+    uploaded("a.csv", 5)
+    assert run() == (["AAA"], set(), 1)
+    file("b.csv", 60)
+    uploaded("b.csv", 61)
+    assert run()[0] == ["AAA", "BBB"]
+    file("c.csv", 120)
+    uploaded("c.csv", 120)
+    rows, rejects, imports = run()
+    assert (rows, rejects, imports) == (["AAA", "BBB", "CCC"], {("stray.csv", NO_UPLOAD)}, 3)
+
+
+def test_many_headers_in_one_read(spark, tmp_path):
+    """500 headers: other spellings, orders and widths; one scan of the files, and no job for a header."""
+    r, names = random.Random(1), [["tradeDate", "date"], ["open"], ["high", "High Price"], ["low"], ["closingPrice", "close"], ["volume"]]
+    want = {}
+    for i in range(500):
+        cells = [f"2026-01-{i % 28 + 1:02d}", f'"{i},5"', "3", "", str(i), '" q""x "']
+        order = r.sample(range(6), 6)
+        spelt = [r.choice(names[j]) + r.choice(["", " ", "-", "_"]) for j in order]
+        extra = [f"more {i}"] * (i % 4)
+        lines = [",".join(spelt + extra), ",".join([cells[j] for j in order] + ["z"] * len(extra)), "", ",".join(cells[j] for j in order[:4])]
+        (tmp_path / f"{i}.csv").write_text(r.choice(["", "\ufeff"]) + "\n".join(lines) + r.choice(["", "\n"]))
+        want[f"{i}.csv"] = (cells[0], f"{i},5", "3", None, str(i), None, ' q"x ')
+    paths = [f"file://{tmp_path}/{n}" for n in want]
+    tracker, group = spark.sparkContext.statusTracker(), "many-headers"
+    spark.sparkContext.setJobGroup(group, group)
+    rows = read_price_csv(spark, paths)
+    jobs = len(tracker.getJobIdsForGroup(group))
+    got = rows.collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 4  # listing and the one scan
+    assert "csv" not in rows._jdf.queryExecution().toString().lower().split("== physical plan ==")[1].split("relation")[0]
+    assert len(got) == 1000 and all(x.ragged == (x.row_idx == 1) for x in got)
+    first = {x.file.split("/")[-1]: tuple(x[c] for c in ("tradeDate", "open", "high", "low", "close", "adjustedClose", "volume")) for x in got if x.row_idx == 0}
+    assert first == want
+
+
+def test_too_many_files_in_a_call(spark, folder, monkeypatch):
+    monkeypatch.setattr(imports, "LOT", 2)
+    with pytest.raises(ValueError, match="more than 2 files"):
+        import_prices(spark, none(spark), uploads(spark, folder, ["template.csv", "alias.csv", "dup_key.csv"]), as_of())
 
 
 def test_read_nothing(spark):
@@ -175,3 +248,34 @@ def test_rate_audit_stream_equals_batch(spark, tmp_path):
     assert streamed.exceptAll(batch).isEmpty()
     last = batch.agg(F.max("start")).first()[0]
     assert batch.where(F.col("start") < F.lit(last)).exceptAll(streamed).isEmpty() and not streamed.isEmpty()  # the open window waits for its watermark
+
+
+def test_limiter_audit_stream_equals_batch_equals_one_by_one(spark, tmp_path):
+    r, minute = random.Random(7), 60
+    times = [(c, 60 * 1000 + r.randrange(400 * minute)) for c in "abc" for _ in range(120)]
+    times += [("hot", 60 * 1000 + r.randrange(300 * minute)) for _ in range(900)] + [("edge", 60 * 1000 + 15 * minute * i) for i in range(6)] * 2 + [("gap", 60 * 1000), ("gap", 60 * 1000 + 6000 * minute)]
+    want = []
+    for c in {c for c, _ in times}:
+        start = None
+        for t in sorted(t for x, t in times if x == c):
+            if start is None or t >= start + 15 * minute:
+                start = t
+                want.append([c, start, 0])
+            want[-1][2] += 1
+    naive = lambda t: dt.datetime.fromtimestamp(t, dt.UTC).replace(tzinfo=None)
+    all_ = {(c, naive(t), n) for c, t, n in want}
+    log = spark.createDataFrame([(c, naive(t)) for c, t in times] + [(None, naive(0)), ("a", None)], "client string, ts timestamp_ntz")
+    plain = lambda df: {(x.client, x.start.replace(tzinfo=None), x.requests) for x in df.withColumn("start", F.col("start").cast("timestamp_ntz")).collect()}
+    assert plain(first_request_windows(log)) == all_
+    batch = plain(limiter_audit(log, limit=4))
+    assert batch == {x for x in all_ if x[2] > 4}
+
+    # in parts by time, each shuffled, with a last request of another client to move the watermark on
+    parts = [[x for x in times if lo <= x[1] - 60000 < lo + 3600] for lo in range(0, 400 * minute, 3600)]
+    for n, part in enumerate([*parts, [("gap", 60 * 1000 + 6000 * minute)], [("end", 10**6)], [("end", 10**6 + 1)]]):
+        r.shuffle(part)
+        spark.createDataFrame([(c, naive(t)) for c, t in part], "client string, ts timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/log/{n:02d}")
+    source = spark.readStream.schema("client string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/log")
+    query = stream_limiter_audit(source, limit=4, lateness="70 minutes").writeStream.format("memory").queryName("limits").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert plain(spark.table("limits")) == batch

@@ -11,7 +11,8 @@ follow the classes as they are, however many of each the bound leaves.
 Scoring reads every text whole, without a shuffle.
 
 Edge cases: null and empty texts get the score of the intercept alone; labels that are null, contradict each other or
-belong to no document teach nothing; repeated rows are scored each; without toxic labels to learn from every score is
+belong to no document teach nothing; repeated rows of a doc_id are scored each, teach once (by the greatest of their texts) and
+count each in the ratio of the classes; without toxic labels to learn from every score is
 0 (to 15 digits), with toxic ones alone 1; other columns, whatever their names, never enter a score.
 """
 
@@ -138,7 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column) -> tuple[np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w, pa.float64())], names=["at", "w"])
 
     ids = F.broadcast(sample(known))  # TOXIC + CLEAN rows at most
-    made = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select("id", "toxic", "text").mapInArrow(featurise, "id long, toxic int, at array<int>")
+    learned = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"))
+    # one row a doc_id, however often it stands in the table: of its texts the greatest
+    learned = learned.groupBy("id", "toxic").agg(F.max("text").alias("text"))
+    made = learned.mapInArrow(featurise, "id long, toxic int, at array<int>")
     # one task: TOXIC + CLEAN rows at most
     model = save(made, "toxicity").coalesce(1).mapInArrow(learn, "at int, w double").toPandas()
     if model.empty:  # no labelled text, and so no task

@@ -13,7 +13,7 @@ sees a whole length), and a piece's number within its length finds its run, its
 with the plan, which has a bounded number of rows.
 
 Edge cases: null and empty texts are one piece that holds the end id alone; repeated rows are packed each; rows
-without doc_id too; ties in a length are broken by doc_id and piece; an empty table gives no pieces; other columns are ignored.
+without doc_id too; rows of one length are dealt to ranges by a hash of all they hold and of where they stand; an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -151,19 +151,24 @@ def placements(runs: list[tuple[list[int], int]]) -> list[tuple[int, int, int, i
     return out
 
 
+def in_ranges(rows: DataFrame) -> DataFrame:
+    """Rows with the range of their length that they are numbered in."""
+    return rows.withColumn("range", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "own"), F.col("ranges")))
+
+
 def pack(docs: DataFrame, tokenizer=byte_bpe, limit: int = LIMIT, end: int = END) -> DataFrame:
     """PIECES with the sequence_id of each and its offset there."""
     spark = docs.sparkSession
-    made = save(pieces(docs, tokenizer, limit, end), "pieces")
+    # a number of its own for each row, so that rows without doc_id and repeated ones are spread too
+    made = save(pieces(docs, tokenizer, limit, end).withColumn("own", F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r["count"] for r in made.groupBy("length").count().collect()}  # at most ``limit`` rows
     runs = spark.createDataFrame(placements(plan(counts, limit)), "of long, lo long, hi long, sequence long, offset long")
     sizes = spark.createDataFrame([(k, -(-n // RANGE)) for k, n in counts.items()], "size long, ranges long")
 
-    ranged = made.join(F.broadcast(sizes), F.col("length") == F.col("size"))  # ``limit`` rows
-    ranged = ranged.withColumn("range", F.pmod(F.xxhash64("doc_id", "piece"), F.col("ranges")))
+    ranged = in_ranges(made.join(F.broadcast(sizes), F.col("length") == F.col("size")))  # ``limit`` rows
     before = Window.partitionBy("length").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("length", "range").agg(F.count("*").alias("here")).select("length", "range", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "range").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "range").orderBy("doc_id", "piece", "ids_crc32", "own")
     numbered = ranged.withColumn("row", F.row_number().over(within)).join(starts, ["length", "range"])
     numbered = numbered.withColumn("number", F.col("base") + F.col("row") - 1)
     # the plan has a few rows for each of ``limit`` lengths, however many pieces there are

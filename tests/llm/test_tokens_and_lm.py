@@ -213,3 +213,18 @@ def test_exact_complements_are_found():
     assert sum(t for _, t in packing.plan({1000: 5, 20: 5, 4: 5})) == 5
     assert sum(t for _, t in packing.plan({1000: 5, 15: 5, 7: 5, 2: 5})) == 5
     assert sum(t for _, t in packing.plan({512: 7})) == 4
+
+
+def test_equal_pieces_are_spread_over_ranges(spark):
+    """Rows without doc_id, and rows of one doc_id, are numbered in many ranges."""
+    for doc in ("null", "7"):
+        rows = spark.range(0, 100_000, 1, 8).selectExpr(f"cast({doc} as long) as doc_id", "0 as piece", "5L as ids_crc32", "50 as ranges").withColumn("own", F.monotonically_increasing_id())
+        counts = [r["count"] for r in packing.in_ranges(rows).groupBy("range").count().collect()]
+        assert len(counts) == 50 and max(counts) < 2 * min(counts)
+
+
+def test_packing_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE", 100)
+    got = packing.pack(frame(spark, [row(None, "the same text")] * 700 + [row(5, "the same text")] * 300), limit=16).collect()
+    assert len(got) == 1000 and len({(r.sequence_id, r.offset) for r in got}) == 1000
+    assert len({r.sequence_id for r in got}) == -(-1000 // (16 // got[0].length))

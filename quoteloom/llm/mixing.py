@@ -26,8 +26,8 @@ from .common import WORD, fresh, own_columns, save, word_count
 CAP = 3
 #: Documents to a range of keys, about; sources to a range of names, at least.
 RANGE, SOURCES = 5_000, 50_000
-#: Ranges of cap to weight to a doubling.
-STEPS = 64
+#: Ranges of cap to weight to a doubling; quantiles of a source's keys from which its ranges are drawn.
+STEPS, QUANTILES = 64, 32
 
 
 def uniform(name: Column) -> Column:
@@ -95,7 +95,13 @@ def _mix(docs: DataFrame, quality: DataFrame | None) -> DataFrame:
 
     ranges = F.greatest(F.ceil(F.col("docs") / RANGE), F.lit(1))
     rows = sized.withColumnRenamed("source", "of").join(sources, F.col("of").eqNullSafe(F.col("source")))
-    rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("long"))
+    # ranges hold like numbers of documents whatever the weights: by quantiles of the source's own keys, evenly between two of them
+    cuts = sized.groupBy("source").agg(F.percentile_approx("key", [i / QUANTILES for i in range(QUANTILES + 1)], 1000).alias("cuts"))
+    rows = rows.join(cuts.withColumnRenamed("source", "cut"), F.col("of").eqNullSafe(F.col("cut"))).drop("cut")
+    below = F.greatest(F.least(F.size(F.filter("cuts", lambda c: c <= F.col("key"))), F.lit(QUANTILES)), F.lit(1))
+    lo, hi = F.get("cuts", below - 1), F.get("cuts", below)
+    inside = F.when(hi > lo, F.greatest(F.least((F.col("key") - lo) / (hi - lo), F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
+    rows = rows.withColumn("range", F.floor((below - 1 + inside) / QUANTILES * ranges).cast("long")).drop("cuts")
     sums = rows.groupBy("rank", "range").agg(F.sum("size").alias("in_range"))
     upto = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("upto", F.sum("in_range").over(upto)).select("rank", "range", (F.col("upto") - F.col("in_range")).alias("before"), "upto")

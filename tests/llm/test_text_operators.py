@@ -277,6 +277,20 @@ def test_toxicity_scores_follow_all_labels(spark, monkeypatch):
     assert abs(whole[1] - 100 / 1620) < 0.05 and abs(some[1] - 100 / 1620) < 0.05  # toxic ones of those without the word
 
 
+def test_a_document_teaches_once(spark, monkeypatch):
+    """A doc_id in 10,000 rows is one of the rows that are learned from."""
+    monkeypatch.setattr(toxicity, "TOXIC", 20)
+    monkeypatch.setattr(toxicity, "CLEAN", 20)
+    seen = []
+    keep = toxicity.save
+    monkeypatch.setattr(toxicity, "save", lambda df, name: seen.append((name, keep(df, name))) or seen[-1][1])
+    docs = frame(spark, [row(i, f"some {'bad' if i % 2 else 'good'} words {i}") for i in range(100)] + [row(1, "bad words again")] * 10_000)
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(100)], "doc_id long, quality int, toxic int")
+    at, w = toxicity.fit(docs, marks, F.lit(True))
+    learned = dict(seen)["toxicity"]
+    assert learned.count() == learned.select("id").distinct().count() <= 40 and len(at) == len(w)
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.s < 1e-15 for r in frame(spark).select(toxicity.scorer(frame(spark), none)("text").alias("s")).collect())
@@ -296,14 +310,15 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     rows += [(600 + i, [0.5] * 8) for i in range(70)] + [(700, None), (720, [1.0, None] * 4), (740, [float("nan")] * 8), (760, [float("inf")] * 8), (780, []), (800, [0.0] * 8), (None, [1.0] * 8), (820, [0.1] * 3)]
     rows += [rows[0], rows[20]]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string").repartition(4)
-    got = topk.top_k(df, F.col("vec_id") % 20 == 0).collect()
-    as_float = df.where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).distinct().collect()
-    used = {r.vec_id: [math.floor(64 * x) for x in r.e] for r in as_float if all(x is not None and math.isfinite(x) for x in r.e)}
-    want = set()
-    for q in (v for v in used if v % 20 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(used[q], used[c], strict=False)), c) for c in used if c != q)[:20]
-        want |= {(q, i + 1, c, -s) for i, (s, c) in enumerate(scores)}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    got = Counter(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect())
+    as_float = df.where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).collect()
+    used = [(r.vec_id, [math.floor(64 * x) for x in r.e]) for r in as_float if all(x is not None and math.isfinite(x) for x in r.e)]
+    want = Counter()
+    for n, (q, v) in enumerate(used):
+        if q % 20 == 0:  # repeated rows ask each, and are candidates each
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), c) for m, (c, w) in enumerate(used) if m != n)[:20]
+            want.update((q, i + 1, c, -s) for i, (s, c) in enumerate(scores))
+    assert got == want
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
@@ -312,7 +327,7 @@ def test_threshold_stops_early(kind):
     """On vectors of few strong dimensions most are never scored; results are those of a full search."""
     rnd = np.random.default_rng(3)
     vectors = np.floor(64 * rnd.normal(size=(4000, 16)) * 0.5 ** np.arange(16)).astype(kind)
-    lists = topk.SortedLists(np.arange(4000), vectors)
+    lists = topk.SortedLists(np.arange(4000), np.arange(4000), vectors)
     queries = vectors[::80]
     scores = queries @ vectors.T
     scores[np.arange(50), np.arange(50) * 80] = np.iinfo(np.int32).min
@@ -326,6 +341,25 @@ def test_threshold_stops_early(kind):
     assert list(lists.top(np.arange(50), queries, 20, lists.bounds(queries)[:, 0] + 1)) == [] and lists.scored == 0
 
 
+def test_threshold_search_of_even_dimensions_is_walked():
+    """On vectors without strong dimensions the bound stops late, but it stops; no vector is scored twice."""
+    rnd = np.random.default_rng(4)
+    vectors = np.floor(64 * rnd.normal(size=(2000, 64)) / 8).astype(np.float32)
+    lists = topk.SortedLists(np.arange(2000), np.arange(2000), vectors)
+    got = {i: p.tolist() for i, p, _ in lists.top(np.arange(30), vectors[:30], 20)}
+    for i in range(30):
+        scores = vectors @ vectors[i]
+        scores[i] = -(2**20)
+        assert got[i] == np.lexsort((np.arange(2000), -scores))[:20].tolist()
+    assert max(lists.stopped) < 2000 and lists.scored <= 30 * 1999
+
+
+def test_blocks_are_shared_by_small_groups(monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 100)
+    assert topk.starts([30, 30, 50, 350, 20, 70, 20]) == ([0, 0, 1, 2, 5, 5, 6], [1, 1, 1, 3, 1, 1, 1], 7)
+    assert topk.starts([]) == ([], [], 0)
+
+
 # --- the pipeline
 
 

@@ -7,10 +7,13 @@ Candidates.  Coordinates are cut into bands; documents that share a band share a
 its pairs.  Every member is compared with the bucket's smallest one.  Buckets whose members are then still in several
 components go on: inside blocks of bounded size, likely links between components are checked one member against many
 at a time, and only the links that join components come out.  The members of a bucket's largest component are dealt out among
-its blocks, and the others go to each of them; if those others are more than a block, each pair of their parts is a block too.
-Buckets of more than WIDEST * MEMBERS go on as pairs of buckets before: members that share two of them share a smaller one.
-(A pair at the threshold that shares no smaller bucket and just one such bucket is missed: 5e-7 of the pairs at 0.85, 5e-5 at
-0.80.)
+its blocks, and the others go to each of them, as long as those others are no more than a block.
+
+Buckets with more others than that hold families of documents below the threshold, and blocks of theirs would meet two by two.
+Their members meet by prefixes instead: shingles have one order, those that few members hold first; of two sets at the threshold the
+smaller one has a shingle among its first ``n - 2tn / (1 + t) + 1`` that is among the first ``n - tn + 1`` of the larger.  So members
+meet under rare shingles, what a family has in common leads to nothing, and no pair at the threshold is passed over.
+The order comes from counts by a hash of the shingle, SKETCH of them whatever the number of documents; any order gives the same links.
 
 Check.  Links are confirmed on the full shingle sets, made again from the texts of those that share a bucket.
 Documents with equal sets are one class throughout.
@@ -26,7 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, WordHashes, fresh, save, shingles, words
@@ -36,8 +39,8 @@ BANDS, ROWS = 24, 4
 STEP = 0x3C6EF373
 #: Shingles and members to a block of a bucket, about.
 BLOCK, MEMBERS = 500_000, 1024
-#: A bucket of more than so many times MEMBERS goes on as pairs of buckets.
-WIDEST = 16
+#: Counts of shingles, by hash, that their order comes from.
+SKETCH = 2**19
 #: Shingles handled at once, so that the work array stays in cache whatever the text's length.
 CHUNK = 2048
 
@@ -254,37 +257,86 @@ def unsettled(members: DataFrame) -> DataFrame:
     return groups.where("lo <> hi").groupBy("code").agg(F.min("gid").alias("gid")).select("gid")
 
 
-def residual(shared: DataFrame, sizes: DataFrame, of: DataFrame) -> DataFrame:
+def residual(shared: DataFrame, sizes: DataFrame, of: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(gid, rep): blocks of members of buckets that hold several components.
 
-    shared: (bucket, rep, size, ...); sizes: (rep, n); of: (rep, comp)."""
+    shared: (bucket, rep, ...); sizes: (rep, n); of: (rep, comp)."""
     mixed = shared.join(of, "rep").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    members = shared.select("bucket", "rep", "size").join(save(mixed, "mixed"), "bucket").join(sizes, "rep").join(of, "rep")
-    members = save(members, "members")
-    fits = F.col("size") <= WIDEST * MEMBERS
-    small = members.where(fits).select(F.col("bucket").alias("gid"), "rep", "n", "comp")
-    # a document's large buckets, two by two
-    twos = F.expr("explode(flatten(transform(large, (x, i) -> transform(slice(large, i + 2, size(large)), y -> xxhash64(x, y)))))")
-    large = members.where(~fits).groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_set("bucket")).alias("large"))
-    return dealt(save(small.union(large.select(twos.alias("gid"), "rep", "n", "comp")), "groups"))
-
-
-def dealt(groups: DataFrame) -> DataFrame:
-    """(gid, rep): blocks in which each two members of a group that are of two components meet; groups: (gid, rep, n, comp)."""
+    members = shared.select("bucket", "rep").join(save(mixed, "mixed"), "bucket").join(sizes, "rep").join(of, "rep")
+    groups = save(members.select(F.col("bucket").alias("gid"), "rep", "n", "comp"), "groups")
     rows = groups.join(save(unsettled(groups), "unsettled"), "gid")
     each = rows.groupBy("gid", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("h"))
     each = each.groupBy("gid").agg(F.max(F.struct("c", "comp", "h")).alias("m"), F.sum("c").alias("size"), F.sum("h").alias("held"))
-    parts = lambda size, held: F.ceil(F.greatest(size / MEMBERS, held / BLOCK)).cast("int")
-    largest = each.select("gid", F.col("m.comp").alias("largest"), parts(F.col("m.c"), F.col("m.h")).alias("p"), parts(F.col("size") - F.col("m.c"), F.col("held") - F.col("m.h")).alias("q"))
+    others = parts(F.col("size") - F.col("m.c"), F.col("held") - F.col("m.h"))
+    largest = each.select("gid", F.col("m.comp").alias("largest"), parts(F.col("m.c"), F.col("m.h")).alias("p"), (others > 1).alias("many"))
     rows = save(rows.join(save(largest, "largest"), "gid"), "rows")
-    inner, number = F.col("comp") == F.col("largest"), F.xxhash64("rep")
-    own = lambda n: F.pmod(number, F.col(n)).cast("int").alias("own")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
-    block = lambda kind, *numbers: F.xxhash64("gid", F.lit(kind), *numbers).alias("gid")
-    a = rows.where(inner).select("gid", "rep", own("p"), upto("q")).select(block(0, "own", "other"), "rep")
-    b = rows.where(~inner).select("gid", "rep", own("q"), upto("p")).select(block(0, "other", "own"), "rep")
-    c = rows.where(~inner & (F.col("q") > 1)).select("gid", "rep", own("q"), upto("q")).select(block(1, F.least("own", "other"), F.greatest("own", "other")), "rep")
-    return a.union(b).union(c).distinct()
+    inner = F.col("comp") == F.col("largest")
+    a = rows.where(~F.col("many") & inner).select(block("gid", own("p")).alias("gid"), "rep")
+    b = rows.where(~F.col("many") & ~inner).select("gid", "rep", upto("p")).select(block("gid", "other").alias("gid"), "rep")
+    return a.union(b).union(prefixed(rows.where("many").select("rep", "n", "comp").distinct(), texts, width, percent)).distinct()
+
+
+def parts(size: Column, held: Column) -> Column:
+    """Parts of members that are a block at most."""
+    return F.ceil(F.greatest(size / MEMBERS, held / BLOCK)).cast("int")
+
+
+def own(n: str) -> Column:
+    return F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+
+
+def upto(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+
+
+def block(*numbers: Column | str) -> Column:
+    return F.xxhash64(*numbers)
+
+
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """Shingles of a set of n, in the common order, one of which it shares with any set at the threshold that is not smaller; not larger."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1, n - -(-percent * n // 100) + 1
+
+
+def prefixed(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(gid, rep): blocks in which all members that may be linked meet, by the prefixes of their sets; members: (rep, n, comp)."""
+
+    def sets(batches):
+        cache = WordHashes()
+        for b in batches:
+            s = [shingles(cache.of(words(t)), width).view(np.int64) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(s, pa.list_(pa.int64()))], names=["rep", "n", "comp", "s"])
+
+    made = save(members.join(texts.hint("merge"), "rep").select("rep", "n", "comp", "text").mapInArrow(sets, "rep long, n long, comp long, s array<long>"), "sets")
+    place = F.explode(F.transform("s", lambda x: x.bitwiseAND(F.lit(SKETCH - 1)))).alias("place")
+    counted = made.select(place).groupBy("place").agg(F.count("*").alias("c")).toPandas()  # SKETCH rows at most
+    counts = np.zeros(SKETCH, np.int64)
+    counts[counted["place"].to_numpy(np.int64)] = counted["c"].to_numpy(np.int64)
+    counts = made.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches):
+        for b in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for rep, n, comp, s in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3), strict=True):
+                s = s.values.to_numpy()
+                smaller, larger = prefix_lengths(len(s), percent)
+                first = s[np.lexsort((s, counts.value[s & (SKETCH - 1)]))[:larger]]
+                for column, value in zip(out, ([rep] * larger, [n] * larger, [comp] * larger, first.tolist(), [i < smaller for i in range(larger)]), strict=True):
+                    column += value
+            types = [pa.int64()] * 4 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["rep", "n", "comp", "token", "smaller"])
+
+    rows = save(made.mapInArrow(prefixes, "rep long, n long, comp long, token long, smaller boolean"), "prefixes")
+    small = F.col("smaller")
+    groups = rows.groupBy("token").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), parts(F.count("*"), F.sum("n")).alias("l"), parts(F.count_if(small), F.sum(F.when(small, F.col("n")).otherwise(0))).alias("s")
+    )
+    # a larger set meets smaller ones only, so a shingle that is no smaller set's is none's
+    groups = save(groups.where("lo <> hi and s > 0").select("token", "l", "s"), "tokens")
+    met = rows.join(groups, "token")
+    as_smaller = met.where(small).select("token", "rep", own("s").alias("own"), upto("l")).select(block("token", "own", "other").alias("gid"), "rep")
+    as_larger = met.select("token", "rep", own("l").alias("own"), upto("s")).select(block("token", "other", "own").alias("gid"), "rep")
+    return as_smaller.union(as_larger)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -309,7 +361,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labels = components(save(confirm(pairs, texts, width, percent), "edges"), labels)
 
     of = labels.withColumnRenamed("node", "rep")
-    blocks = save(residual(shared, reps.select("rep", "n"), of).join(sigs, "rep").join(of, "rep"), "blocks")
+    blocks = save(residual(shared, reps.select("rep", "n"), of, texts, width, percent).join(sigs, "rep").join(of, "rep"), "blocks")
     some = save(involved(blocks, percent), "involved")
     members = blocks.join(some, ["gid", "rep"], "left_semi").join(texts.hint("merge"), "rep")
     labels = components(save(block_links(members, width, percent), "edges"), labels)

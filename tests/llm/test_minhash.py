@@ -56,11 +56,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize(("width", "percent", "members", "widest"), [(3, 85, 1024, 16), (5, 80, 5, 16), (3, 85, 5, 1)])
-def test_components_equal_brute_force(spark, monkeypatch, width, percent, members, widest):
-    """With small blocks most buckets are dealt out, or go on as pairs of buckets."""
+@pytest.mark.parametrize(("width", "percent", "members"), [(3, 85, 1024), (5, 80, 5), (3, 85, 2)])
+def test_components_equal_brute_force(spark, monkeypatch, width, percent, members):
+    """With small blocks most buckets are dealt out, or their members meet by prefixes."""
     monkeypatch.setattr(minhash, "MEMBERS", members)
-    monkeypatch.setattr(minhash, "WIDEST", widest)
     rows = corpus()
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), width, percent).collect()
     assert len(got) == len({r[0] for r in rows})
@@ -74,27 +73,59 @@ def test_empty_and_drop(spark):
     assert sorted(map(str, (r.doc_id for r in drop_near_duplicates(docs).collect()))) == ["1", "3", "None"]
 
 
-def test_residual_grows_with_the_members(spark):
-    """A bucket of 50,000 that share nothing else, one of 1,500 components, and a component of 10,000 with ten others."""
-    n = 50_000
-    sizes = spark.range(n).selectExpr("id as rep", "100L as n")
-    of = spark.range(n).selectExpr("id as rep", "case when id between 20000 and 29999 then 20000L else id end as comp")
+def test_prefixes_meet_wherever_sets_may_be_linked():
+    """Of any two sets at the threshold, whatever the order of shingles."""
+    r = random.Random(2)
+    for percent in (80, 85):
+        for _ in range(3000):
+            n = r.randrange(1, 60)
+            common = r.randrange(n + 1)
+            x, y = set(range(n)), set(range(common)) | set(range(100, 100 + r.randrange(0, 20)))
+            if not y or 100 * len(x & y) < percent * len(x | y):
+                continue
+            order = r.sample(range(200), 200)
+            x, y = sorted((sorted(x, key=order.__getitem__), sorted(y, key=order.__getitem__)), key=len)
+            assert set(x[: minhash.prefix_lengths(len(x), percent)[0]]) & set(y[: minhash.prefix_lengths(len(y), percent)[1]])
+
+
+def family(n, tail=24, seed=1):
+    """Documents that share 98 of 120 shingles or so, and nothing else."""
+    r = random.Random(seed)
+    head = [f"w{i}" for i in range(100)]
+    return [(i, " ".join(head + [f"t{r.randrange(10**9)}" for _ in range(tail)]), "x") for i in range(n)]
+
+
+@pytest.mark.parametrize("near", [0, 40])
+def test_rows_of_families_do_not_grow(spark, monkeypatch, near):
+    """Families just below the threshold: no more rows of blocks a member for twice the members; near copies inside are found."""
+    monkeypatch.setattr(minhash, "MEMBERS", 64)
+    seen, keep = {}, minhash.save
+    monkeypatch.setattr(minhash, "save", lambda df, name: seen.setdefault(name, keep(df, name)) if name == "blocks" else keep(df, name))
+    rows = {}
+    for n in (1000, 2000):
+        seen.clear()
+        docs = family(n)
+        docs += [(n + i, docs[i * 20][1].replace("w50 ", f"new{i} "), "x") for i in range(near)]
+        got = near_duplicates(spark.createDataFrame(docs, SCHEMA).repartition(5), 3, 85).where("not kept").collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(n + i, i * 20) for i in range(near)}
+        rows[n] = seen["blocks"].count() / n
+    assert rows[2000] <= 1.1 * rows[1000] + 0.1 and rows[2000] < 5
+
+
+def test_blocks_of_a_component_and_a_few_others(spark):
+    """A bucket of one component of 10,000 with ten others, and one of 900 components: rows in proportion, and all meet."""
+    sizes = spark.range(50_000).selectExpr("id as rep", "100L as n")
+    of = spark.range(50_000).selectExpr("id as rep", "case when id between 20000 and 29999 then 20000L else id end as comp")
+    none = spark.createDataFrame([], "rep long, text string")
     bucket = lambda number, lo, hi: spark.range(lo, hi).selectExpr(f"{number}L as bucket", "id as rep", f"{hi - lo}L as size")
-    rows = lambda shared: minhash.residual(shared, sizes, of).count()
-    assert rows(bucket(7, 0, n)) == 0
-    assert rows(bucket(8, 0, 1500)) == 2 + 1499 + 2 * 1499
-    assert rows(bucket(9, 19_990, 30_000)) == 10_000 + 10 * 10
-    # each two members of two components meet in a block
-    shared = bucket(8, 0, 60).union(bucket(9, 19_990, 20_050))
+    rows = lambda shared: minhash.residual(shared, sizes, of, none, 3, 85)
+    assert rows(bucket(8, 0, 900)).count() == 900
+    assert rows(bucket(9, 19_990, 30_000)).count() == 10_000 + 10 * 10
     blocks = {}
-    mp = pytest.MonkeyPatch()
-    mp.setattr(minhash, "MEMBERS", 7)
-    for r in minhash.residual(shared, sizes, of).collect():
+    for r in rows(bucket(9, 19_990, 24_000)).collect():
         blocks.setdefault(r.gid, set()).add(r.rep)
-    mp.undo()
-    comp = lambda x: 20_000 if 20_000 <= x < 30_000 else x
-    met = {(a, b) for m in blocks.values() for a in m for b in m if comp(a) < comp(b)}
-    assert met == {(a, b) for m in (range(60), range(19_990, 20_050)) for a in m for b in m if comp(a) < comp(b)} and max(map(len, blocks.values())) < 40
+    met = {(a, b) for m in blocks.values() for a in m for b in m if a < 20_000 and a < b}
+    assert met == {(a, b) for a in range(19_990, 20_000) for b in range(a + 1, 24_000)}
 
 
 def test_sql_equals_brute_force():

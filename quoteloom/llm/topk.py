@@ -6,7 +6,7 @@ them.
 
 Search.  A query goes down all lists in step, from the end that its sign favours.  Vectors that are met for the first time are scored in
 full; the sum of what the lists hold at that depth bounds every vector not met, and the search stops when the bound is below the
-k-th score so far (at equality a smaller id might still come, so it goes on).  No vector is scored twice, and no other way of search is
+k-th score so far (at equality a smaller id might still come, so it goes on) or all vectors are met.  No vector is scored twice, and no other way of search is
 taken: where the bound falls slowly, lists are walked far.  A query is first searched in the block that it stands in; its k-th score
 there is its floor in all others.
 
@@ -33,7 +33,7 @@ K, SCALE = 20, 64
 #: Candidates and queries to a block, and blocks whose bounds are one row, about.
 BLOCK, QUERIES, BOUNDS = 16_384, 4096, 1024
 #: Each round of a search goes so many times as deep as the one before.
-DEEPER = 1.4
+DEEPER = 1.5
 HITS = "query long, query_id long, vec_id long, score long"
 
 
@@ -53,6 +53,8 @@ class SortedLists:
         self.lists = np.stack([up.T, up[::-1].T])
         columns = np.arange(width)
         self.least, self.most = (self.vectors[edge[self.depths - 1], columns] for edge in (up, up[::-1]))
+        #: Length of the longest vector, and a little.
+        self.longest = 1 + 1.001 * float(np.sqrt((self.vectors.astype(float) ** 2).sum(axis=1).max(initial=0)))
         #: Vectors scored, and depths at which searches stopped, so far.
         self.scored, self.stopped = 0, []
 
@@ -75,20 +77,24 @@ class SortedLists:
             if floor is not None and bound[0] < floor:
                 continue
             dims = np.flatnonzero(query)
-            lists = self.lists[(query[dims] > 0).astype(int), dims]
+            signs = (query[dims] > 0).astype(int)
             met = self.rows == own[i]
-            places, scores, depth = np.empty(0, np.int64), np.empty(0, queries.dtype), 0
-            for deeper, least in zip(self.depths, bound, strict=True):
+            left, places, scores, depth = len(met) - int(met.sum()), np.empty(0, np.int64), np.empty(0, queries.dtype), 0
+            # while the bound is above what any vector of the block can score, no search stops
+            attainable = self.longest * (1 + float(np.sqrt((query.astype(float) ** 2).sum())))
+            first = min(int((bound >= attainable).sum()), len(bound) - 1)
+            for deeper, least in zip(self.depths[first:].tolist(), bound[first:], strict=True):
                 known = met.copy()
-                met[lists[:, depth:deeper]] = True
-                if not len(dims) or deeper == len(met):  # all lists are at their ends
+                met[self.lists[signs, dims, depth:deeper]] = True
+                if not len(dims):
                     met[:] = True
                 new, depth = np.flatnonzero(met & ~known), deeper
+                left -= len(new)
                 self.scored += len(new)
-                places, scores = self.best(np.concatenate([places, new]), np.concatenate([scores, self.vectors[new] @ query]), k)
+                places, scores = self.best(np.concatenate([places, new]), np.concatenate([scores, self.vectors.take(new, axis=0) @ query]), k)
                 least_score = scores[-1] if len(scores) == k else None
                 threshold = least_score if floor is None else floor if least_score is None else max(floor, least_score)
-                if threshold is not None and least < threshold:
+                if not left or (threshold is not None and least < threshold):
                     break
             self.stopped.append(int(depth))
             yield i, places, scores

@@ -10,10 +10,11 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import adapters as A
 from .functions import scalars, validation
-from .operators import accounts, browse, prices, reports
+from .operators import accounts, browse, layout, prices, reports, search, universe
 from .plans import imports, preview
 from .schemas import PRICES
 from .sources import price_csv
+from .storage import save
 from .streaming import jobs
 
 QUERIES: dict = {}
@@ -72,6 +73,49 @@ def latest_prices(spark: SparkSession, sf: str) -> DataFrame:
     return prices.latest_prices(A.prices(spark, sf))
 
 
+@query(
+    _with(A.PRICES_SQL, A.USERS_SQL)
+    + """select (select count(*) from users where role = 'user') as "userCount", (select count(*) from users where role = 'admin') as "adminCount",
+  (select count(*) from prices) as "stockRecordCount", (select count(distinct symbol) from prices) as "exactCount", true as within"""
+)
+def approximate_overview(spark: SparkSession, sf: str) -> DataFrame:
+    """From stored sketches of years; ``within``: the merged estimate is as near to the exact count as is stated."""
+    path = f"{A.scratch(spark, 'sketches')}/years"
+    prices.company_sketches(A.prices(spark, sf)).write.parquet(path)
+    found = prices.approximate_overview(A.users(spark, sf), spark.read.parquet(path))
+    exact = A.prices(spark, sf).agg(F.count_distinct("symbol").alias("exactCount"))
+    within = F.abs(F.col("companyCount") - F.col("exactCount")) <= 3 * 1.04 / 2 ** (prices.PRECISION / 2) * F.col("exactCount")
+    return found.crossJoin(exact).select("userCount", "adminCount", "stockRecordCount", "exactCount", within.alias("within"))  # one row each
+
+
+@query(
+    _with(
+        A.PRICES_SQL,
+        """after as (select * exclude (close), case when cast(_id as bigint) % 5 = 0 then close + 1 else close end as close from prices where cast(_id as bigint) % 7 <> 0 and symbol <> 'U7'
+  and _id not in (select arg_max(_id, struct_pack(a := "tradeDate", b := "createdAt", c := _id)) from prices where cast(_id as bigint) % 7 <> 0 group by symbol))""",
+        A.UNIVERSE_SQL.replace("from prices", "from after"),
+    )
+    + "select * from universe"
+)
+def update_universe(spark: SparkSession, sf: str) -> DataFrame:
+    """The universe of a part of the table, kept up to date as the rest comes in, rows are edited, and others are deleted, the newest of each symbol at last."""
+    p, k = A.prices(spark, sf), F.col("_id").cast("long")
+    kind = lambda df, what: df.withColumn("kind", F.lit(what))
+    edited = p.withColumn("close", F.when(k % 5 == 0, F.col("close") + 1).otherwise(F.col("close")))
+    kept = edited.where((k % 7 != 0) & (F.col("symbol") != "U7"))
+    newest = prices.latest_price_per_symbol(edited.where(k % 7 != 0))
+    steps = [
+        (kind(p.where(k % 3 == 0), "insert"), p),
+        (kind(p.where(k % 5 == 0), "delete").unionByName(kind(edited.where(k % 5 == 0), "insert")), edited),
+        (kind(edited.where((k % 7 == 0) | ((k % 7 != 0) & (F.col("symbol") == "U7"))), "delete"), kept),
+        (kind(newest.where("symbol <> 'U7'"), "delete"), kept.join(newest, "_id", "left_anti")),
+    ]
+    state = universe.universe_state(p.where(k % 3 != 0))
+    for changes, after in steps:
+        state = save(universe.update_universe(state, changes, after), "universe")
+    return universe.universe_of(state)
+
+
 @query(
     _with(A.PRICES_SQL, A.USERS_SQL)
     + """select (select count(*) from users where role = 'user') as "userCount", (select count(*) from users where role = 'admin') as "adminCount",
@@ -327,10 +371,18 @@ def read_price_csv(spark: SparkSession, sf: str) -> DataFrame:
 def write_prices(spark: SparkSession, sf: str) -> DataFrame:
     """The price table written by year of trade, and read back."""
     path = f"{A.scratch(spark, 'prices')}/table"
-    prices.write_prices(A.prices(spark, sf), path)
+    layout.write_prices(A.prices(spark, sf), path)
     return spark.read.schema(StructType([*PRICES.fields, StructField("trade_year", IntegerType())])).parquet(path)
 
 
+@query(_PRICES + "select * from prices where symbol = 'U5'")
+def read_symbol(spark: SparkSession, sf: str) -> DataFrame:
+    """One symbol's rows from the whole table as it is written, of which few files are opened."""
+    path = f"{A.scratch(spark, 'prices')}/table"
+    layout.write_prices(A.prices(spark, sf), path)
+    return layout.read_symbol(spark, path, "u5")
+
+
 @query(
     _with(
         A.PRICES_SQL,
@@ -773,6 +825,23 @@ def search_prices_everywhere(spark: SparkSession, sf: str) -> DataFrame:
     return browse.search_prices(A.prices(spark, sf), "00012", scope=None)
 
 
+@query(_PRICES + "select * from prices where contains(lower(\"companyName\"), '00012') or contains(lower(symbol), '00012') or contains(lower(notes), '00012')")
+def search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The search of the whole table by an index of trigrams."""
+    path = f"{A.scratch(spark, 'trigrams')}/index"
+    names = ("companyName", "symbol", "notes")
+    search.write_index(A.prices(spark, sf), path, "_id", *names)
+    return search.search_indexed(A.prices(spark, sf), path, "_id", " 00012", *names)
+
+
+@query(_PRICES + "select * from prices " + _NEWEST + " limit 6 offset 594")
+def stored_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Page 100 of the table, stored by ranges of its order."""
+    path, order = A.scratch(spark, "pages"), [F.desc(c) for c in prices.NEWEST]
+    layout.store_order(A.prices(spark, sf), order, path)
+    return layout.stored_page(spark, path, order, 100, browse.RECORDS_PER_PAGE)[0]
+
+
 @query(_USERS + 'select *, least(3, greatest(1, ceil((select count(*) from users) / 5.0)))::integer as page, (select count(*) from users)::integer as total from (select * from users order by "createdAt" desc, _id desc limit 5 offset 10)')
 def paginate(spark: SparkSession, sf: str) -> DataFrame:
     rows, info = browse.paginate(A.users(spark, sf), [F.desc("createdAt"), F.desc("_id")], 3, browse.USERS_PER_PAGE)

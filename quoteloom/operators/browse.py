@@ -5,6 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import save
 from .prices import list_prices
 
 USERS_PER_PAGE, RECORDS_PER_PAGE = 5, 6
@@ -66,8 +67,8 @@ def numbered(df: DataFrame, order: list[Column], name: str = "n", parts: int | N
     there is one row a part.  ``order`` must be total, so that a rerun deals rows alike."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part, row, start = _fresh(df, "part", "row", "start")
-    # kept, since ranges are drawn from a sample and a second reading might draw others
-    dealt = df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()).persist()
+    # written, since ranges are drawn from a sample and a second reading might draw others
+    dealt = save(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()), "numbered")
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(part).agg(F.count("*").alias(row)).select(part, F.coalesce(F.sum(row).over(before), F.lit(0)).alias(start))
     number = F.row_number().over(Window.partitionBy(part).orderBy(*order))

@@ -12,6 +12,8 @@ from .chains import settle
 KEY = ["symbol", "tradeDate"]
 NEWEST = ["tradeDate", "createdAt", "_id"]
 NOT_FOUND = "Stock record not found."
+#: Logarithm of the registers of a sketch.
+PRECISION = 14
 TAKEN = "A record with this unique value already exists."
 
 
@@ -55,6 +57,20 @@ def admin_overview(users: DataFrame, prices: DataFrame) -> DataFrame:
     return people.crossJoin(rows)  # one row each
 
 
+def company_sketches(prices: DataFrame, precision: int = PRECISION) -> DataFrame:
+    """(trade_year, rows, companies): for each year the rows and a HyperLogLog sketch of its symbols, to be stored."""
+    return prices.groupBy(F.year("tradeDate").alias("trade_year")).agg(F.count("*").alias("rows"), F.hll_sketch_agg("symbol", precision).alias("companies"))
+
+
+def approximate_overview(users: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``admin_overview`` from the sketches of years, which are merged; no price is read.
+
+    companyCount is off by more than 3 * 1.04 / sqrt(2 ** precision) of itself in one of several hundred cases: 2.4 % at 14."""
+    people = users.agg(F.count_if(F.col("role") == "user").alias("userCount"), F.count_if(F.col("role") == "admin").alias("adminCount"))
+    rows = sketches.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("stockRecordCount"), F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("companies")), F.lit(0)).alias("companyCount"))
+    return people.crossJoin(rows)  # one row each
+
+
 def price_edit_view(prices: DataFrame) -> DataFrame:
     """What the edit form shows."""
     day = F.date_format("tradeDate", "yyyy-MM-dd").alias("tradeDate")
@@ -178,8 +194,3 @@ def delete_by_id(table: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame
 def delete_prices(prices: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept, unknown = delete_by_id(prices, ids)
     return kept, unknown.withColumns({"status": F.lit(404), "message": F.lit(NOT_FOUND)})
-
-
-def write_prices(prices: DataFrame, path: str) -> None:
-    """By year of trade; ``path`` must be new, never one that is being read."""
-    prices.withColumn("trade_year", F.year("tradeDate")).write.partitionBy("trade_year").parquet(path)

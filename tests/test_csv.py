@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quoteloom.adapters import as_of
 from quoteloom.functions.validation import BAD_NUMBER, MISSING
-from quoteloom.operators.prices import KEY, stock_universe, write_prices
+from quoteloom.operators.layout import write_prices
+from quoteloom.operators.prices import KEY, stock_universe
 from quoteloom.plans import imports
 from quoteloom.plans.imports import import_prices
 from quoteloom.schemas import PRICES

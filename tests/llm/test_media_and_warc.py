@@ -6,6 +6,7 @@ import math
 import os
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -87,24 +88,26 @@ def coded(units, of, width, height, sampling, interval=0, quantisers=(16, 9)):
     """A picture by a plain encoder, bit by bit: ``units`` of blocks, ``of`` their components, restarts after ``interval`` units."""
     sizes = [run << 4 | size for run in range(4) for size in range(1, 8)] + [0x00, 0xF0]
     dc_code, ac_code = {s: f"{i:05b}" for i, s in enumerate(range(12))}, {s: f"{i:06b}" for i, s in enumerate(sizes)}
-    seg, scan, bits, before = media._segment, b"", "", Counter()
+    seg, scan, bits, before = media._segment, b"", [], Counter()
 
     def extra(v):
         size = abs(v).bit_length()
         return size, (f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if size else "")
 
     def flush(bits):
+        bits = "".join(bits)
         bits += "1" * (-len(bits) % 8)
         return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") if bits else b""
 
     for u, unit in enumerate(units):
         if interval and u and u % interval == 0:
             scan += flush(bits) + bytes([0xFF, 0xD0 + (u // interval - 1) % 8])
-            bits, before = "", Counter()
+            bits, before = [], Counter()
         for block, c in zip(unit, of, strict=True):
             size, more = extra(block[0] - before[c])
             before[c] = block[0]
-            bits, run = bits + dc_code[size] + more, 0
+            bits.append(dc_code[size] + more)
+            run = 0
             last = max((i for i in range(1, 64) if block[i]), default=0)
             for i in range(1, last + 1):
                 if block[i] == 0:
@@ -112,10 +115,12 @@ def coded(units, of, width, height, sampling, interval=0, quantisers=(16, 9)):
                     continue
                 while run > 3:  # runs that the table has no symbol for: 16 zeros, or a wide step of them
                     assert run >= 16
-                    bits, run = bits + ac_code[0xF0], run - 16
+                    bits.append(ac_code[0xF0])
+                    run -= 16
                 size, more = extra(block[i])
-                bits, run = bits + ac_code[run << 4 | size] + more, 0
-            bits += ac_code[0x00] if last < 63 else ""
+                bits.append(ac_code[run << 4 | size] + more)
+                run = 0
+            bits.append(ac_code[0x00] if last < 63 else "")
     scan += flush(bits)
     table = lambda kind, n, s: bytes([kind] + [0] * (n - 1) + [len(s)] + [0] * (16 - n) + list(s))
     parts = len(sampling)
@@ -138,7 +143,7 @@ def random_block(rnd):
 
 @pytest.mark.parametrize("interval", [0, 1, 3, 50])
 @pytest.mark.parametrize("sampling", [[0x11], [0x11, 0x11, 0x11], [0x22, 0x11, 0x11], [0x21, 0x11, 0x11]])
-def test_baseline_pictures_of_all_kinds(spark, sampling, interval):
+def test_baseline_pictures_of_all_kinds(spark, monkeypatch, sampling, interval):
     """Grey and three components, 4:4:4, 4:2:0 and 4:2:2, restart intervals of several lengths, sizes that fill no unit."""
     rnd = random.Random(len(sampling) + interval)
     h, v = (sampling[0] >> 4, sampling[0] & 15) if len(sampling) > 1 else (1, 1)
@@ -149,6 +154,9 @@ def test_baseline_pictures_of_all_kinds(spark, sampling, interval):
     picture = media.Picture(raw)
     got = media.decode([picture])[0]
     assert got.tolist() == units
+    monkeypatch.setattr(media, "LANES", 0)  # in step to the end
+    assert media.decode([picture, picture])[1].tolist() == units
+    monkeypatch.undo()
     grey = np.zeros((down * v, across * h), int)
     for u, unit in enumerate(units):
         for j in range(h * v):
@@ -163,6 +171,18 @@ def test_baseline_pictures_of_all_kinds(spark, sampling, interval):
     assert rows[2].payload_bytes == 640 and rows[3].width is None
 
 
+@pytest.mark.parametrize("interval", [0, 3000])
+def test_two_megapixels_without_many_restarts(interval):
+    rnd = random.Random(9)
+    some = [[random_block(rnd) for _ in range(6)] for _ in range(50)]
+    units = [rnd.choice(some) for _ in range(100 * 79)]
+    picture = media.Picture(coded(units, [0] * 4 + [1, 2], 1600, 1250, [0x22, 0x11, 0x11], interval))
+    began = time.process_time()
+    got = media.decode([picture])[0]
+    assert time.process_time() - began < 6
+    assert (got == np.array(units)).all() and media.thumbnail(picture, got).shape == (157, 200)
+
+
 def plain_hash(pixels):
     """Cell by cell."""
     high, wide = pixels.shape

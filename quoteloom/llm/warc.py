@@ -312,15 +312,24 @@ def page_of(record_id: str) -> F.Column:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the pages and reads them back: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
-    spark = pages.sparkSession
-    path = scratch(spark, "warc")
+    """Writes the pages and reads them back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
+
+    A gap in what was just written is no result: it raises ValueError."""
+    path = scratch(pages.sparkSession, "warc")
     write_archives(pages, path)
-    read = read_archives(spark, path).where("kind = 'record'")
+    return restored(pages.sparkSession, path)
+
+
+def restored(spark: SparkSession, path: str) -> DataFrame:
+    """The pages of the archives under ``path``, which must have no gaps."""
+    read = read_archives(spark, path)
     refers = F.when(F.col("record_type") == "revisit", page_of("refers_to"))
     said = F.substring_index("payload_digest", ":", -1)
-    read = read.select(page_of("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("digest"), said.alias("said"), "record_type", refers.alias("refers_to"))
+    read = read.select("kind", F.col("path").alias("archive"), page_of("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("digest"), said.alias("said"), "record_type", refers.alias("refers_to"))
     read = save(read, "read")
+    lost = read.where("kind <> 'record'").groupBy("archive").agg(F.count("*").alias("gaps")).orderBy("archive").first()
+    if lost:
+        raise ValueError(f"{lost.gaps} damaged places in {lost.archive}")
     response = read.where("record_type <> 'revisit'")
     # a revisit's payload is that of the record it refers to, by page and digest; responses take no part in the join
     full = response.groupBy(F.col("page_id").alias("of"), F.col("digest").alias("full")).agg(F.max("n").alias("full_n"))

@@ -253,6 +253,19 @@ def test_round_trip_of_a_long_url(spark):
     assert got == [(i, len(raw), hashlib.sha256(raw).hexdigest(), *kind) for i, kind in ((1, ("response", None)), (2, ("revisit", 1)), (3, ("revisit", 1)))]
 
 
+def test_damage_is_told(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}" * 50, "k", "d") for i in range(20)], PAGES)
+    warc.write_archives(pages.coalesce(1), f"file://{tmp_path}/w")
+    assert warc.restored(spark, f"file://{tmp_path}/w").count() == 20
+    (name,) = (f for f in (tmp_path / "w").rglob("*") if f.is_file() and not f.name.startswith((".", "_")) and f.stat().st_size)
+    raw = bytearray(name.read_bytes())
+    raw[len(raw) // 2] ^= 0xFF
+    name.with_name("damaged.warc.gz").write_bytes(raw)
+    name.unlink()
+    with pytest.raises(ValueError, match="damaged"):
+        warc.restored(spark, f"file://{tmp_path}/w").count()
+
+
 def archive(packed, n=12):
     records = [warc.record(i, f"http://{i}", bytes([i]) * (200 + i), "x", None) for i in range(n)]
     return [warc.member(r) if packed else r for r in records]

@@ -48,6 +48,10 @@ def test_token_counts_equal_brute_force(spark):
     assert got == want
 
 
+def test_token_counts_of_no_documents(spark):
+    assert tokencount.token_counts(frame(spark).limit(0)).collect() == []
+
+
 def test_trie_may_be_dropped(monkeypatch):
     trie = tokencount.CountTrie(VOCABULARY)
     texts = [b"there", b"therefore", b"the", b"other", b"there"]

@@ -539,11 +539,11 @@ def dedupe_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _price_edits(spark: SparkSession, sf: str) -> DataFrame:
-    """Edits of every third row, two of some: to a day of its own, to the day of another row, broken, or of no row."""
+    """Edits of each row, two of some: to a day of its own, to the day of another row, broken, or, of two thirds of the rows, of no row."""
     p, k = A.prices(spark, sf), F.col("_id").cast("long")
-    base = p.where(k % 3 == 0).select(
+    base = p.select(
         k.alias("edit_seq"),
-        F.when(k % 27 == 0, F.concat(F.lit("none-"), F.col("_id"))).otherwise(F.col("_id")).alias("_id"),
+        F.when((k % 27 == 0) | (k % 3 != 0), F.concat(F.lit("none-"), F.col("_id"))).otherwise(F.col("_id")).alias("_id"),
         F.when(k % 21 == 0, "x").otherwise(F.concat(F.lit(" e"), F.col("_id"))).alias("symbol"),
         F.lit(" Edited ").alias("companyName"),
         F.lit("2026-01-02").alias("tradeDate"),
@@ -555,11 +555,11 @@ def _price_edits(spark: SparkSession, sf: str) -> DataFrame:
     return base.unionByName(again).unionByName(shared)
 
 
-_EDITS = """b as (select cast(_id as bigint) as k, _id from prices where cast(_id as bigint) % 3 = 0),
+_EDITS = """b as (select cast(_id as bigint) as k, _id from prices),
 edits as (select k as seq, k, 'E' || _id as symbol, 2.0 as close from b union all select k + 1000000000000, k, 'E' || _id, 3.0 from b where k % 5 = 0
   union all select k + 10000000000000, k, 'SHARED' || (k % 1000), 2.0 from b where k % 4 = 0 and k % 21 <> 0 and k % 27 <> 0),
-j as (select *, case when k % 21 = 0 then 400 when k % 27 = 0 then 404 when symbol like 'SHARED%' and k <> min(k) over (partition by symbol) then 409 else 200 end as status,
-  max(case when k % 21 <> 0 and k % 27 <> 0 then seq end) over (partition by k) as last from edits)"""
+j as (select *, case when k % 21 = 0 then 400 when k % 27 = 0 or k % 3 <> 0 then 404 when symbol like 'SHARED%' and k <> min(case when k % 3 = 0 then k end) over (partition by symbol) then 409 else 200 end as status,
+  max(case when k % 3 = 0 and k % 21 <> 0 and k % 27 <> 0 then seq end) over (partition by k) as last from edits)"""
 
 
 @query(
@@ -636,7 +636,7 @@ def replay_price_edits_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _price_deletes(spark: SparkSession, sf: str) -> DataFrame:
-    return A.table(spark, sf, "events").where("event_id % 4 = 0").select(F.when(F.col("event_id") % 8 == 0, F.col("event_id").cast("string")).otherwise(F.concat(F.lit("x"), F.col("event_id").cast("string"))).alias("_id"))
+    return A.table(spark, sf, "events").select(F.when(F.col("event_id") % 8 == 0, F.col("event_id").cast("string")).otherwise(F.concat(F.lit("x"), F.col("event_id").cast("string"))).alias("_id"))
 
 
 @query(_PRICES + "select * from prices where cast(_id as bigint) % 8 <> 0")
@@ -644,7 +644,7 @@ def delete_prices(spark: SparkSession, sf: str) -> DataFrame:
     return prices.delete_prices(A.prices(spark, sf), _price_deletes(spark, sf))[0]
 
 
-@query("select 'x' || event_id as _id, 404 as status, 'Stock record not found.' as message from events where event_id % 8 = 4")
+@query("select 'x' || event_id as _id, 404 as status, 'Stock record not found.' as message from events where event_id % 8 <> 0")
 def delete_prices_not_found(spark: SparkSession, sf: str) -> DataFrame:
     return prices.delete_prices(A.prices(spark, sf), _price_deletes(spark, sf))[1]
 
@@ -777,8 +777,8 @@ def replay_user_edits_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 def _user_deletes(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("c_custkey")
-    target = F.when(c % 7 == 0, F.concat(F.lit("x"), c.cast("string"))).otherwise(c.cast("string"))
-    return A.table(spark, sf, "customer").where(c % 2 == 0).select(F.when(c % 10 == 0, target).otherwise("admin").alias("actorId"), target.alias("targetId"))
+    target = F.when((c % 7 == 0) | (c % 2 == 1), F.concat(F.lit("x"), c.cast("string"))).otherwise(c.cast("string"))
+    return A.table(spark, sf, "customer").select(F.when(c % 10 == 0, target).otherwise("admin").alias("actorId"), target.alias("targetId"))
 
 
 @query(_USERS + "select * from users where cast(_id as bigint) % 2 = 1 or cast(_id as bigint) % 7 = 0 or cast(_id as bigint) % 10 = 0")
@@ -787,7 +787,7 @@ def delete_users(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """with d as (select c_custkey as c, case when c_custkey % 7 = 0 then 'x' else '' end || c_custkey as t from customer where c_custkey % 2 = 0 and (c_custkey % 7 = 0 or c_custkey % 10 = 0))
+    """with d as (select c_custkey as c, case when c_custkey % 7 = 0 or c_custkey % 2 = 1 then 'x' else '' end || c_custkey as t from customer where c_custkey % 7 = 0 or c_custkey % 2 = 1 or c_custkey % 10 = 0)
 select case when c % 10 = 0 then t else 'admin' end as "actorId", t as "targetId", case when c % 10 = 0 then 400 else 404 end as status,
   case when c % 10 = 0 then 'You cannot delete the currently signed-in admin account.' else 'User not found.' end as message from d"""
 )

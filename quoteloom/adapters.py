@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schemas import PRICES, REPORTS, USERS
-from .storage import scratch
 
 AS_OF = "2030-01-01 00:00:00"
 

@@ -14,7 +14,7 @@ from .operators import accounts, browse, layout, prices, reports, search, univer
 from .plans import imports, preview
 from .schemas import PRICES
 from .sources import price_csv
-from .storage import save
+from .storage import save, scratch
 from .streaming import jobs
 
 QUERIES: dict = {}
@@ -80,7 +80,7 @@ def latest_prices(spark: SparkSession, sf: str) -> DataFrame:
 )
 def approximate_overview(spark: SparkSession, sf: str) -> DataFrame:
     """From stored sketches of years; ``within``: the merged estimate is as near to the exact count as is stated."""
-    path = f"{A.scratch(spark, 'sketches')}/years"
+    path = f"{scratch(spark, 'sketches')}/years"
     prices.company_sketches(A.prices(spark, sf)).write.parquet(path)
     found = prices.approximate_overview(A.users(spark, sf), spark.read.parquet(path))
     exact = A.prices(spark, sf).agg(F.count_distinct("symbol").alias("exactCount"))
@@ -357,7 +357,7 @@ def read_price_csv(spark: SparkSession, sf: str) -> DataFrame:
     c, odd = F.col, F.col("l_orderkey") % 2 == 1
     raw = A.raw_cells(spark, sf)
     cells = [c("day"), c("price"), F.lit("1"), F.lit("2"), c("plain"), c("price"), (c("l_orderkey") * 10 + c("l_linenumber")).cast("string")]
-    folder = A.scratch(spark, "csv")
+    folder = scratch(spark, "csv")
     plain = raw.where(~odd).select(*(v.alias(n) for v, n in zip(cells, _CSV_CELLS, strict=True)))
     other = raw.where(odd).select(*(v.alias(n) for v, n in zip(cells[:5] + cells[6:], ["Date", "OPEN", "High Price", "low-price", "Closing Price", "TRADE_VOLUME"], strict=True)))
     for name, rows in (("plain", plain), ("other", other)):
@@ -370,7 +370,7 @@ def read_price_csv(spark: SparkSession, sf: str) -> DataFrame:
 @query(_PRICES + """select *, year("tradeDate")::integer as trade_year from prices""")
 def write_prices(spark: SparkSession, sf: str) -> DataFrame:
     """The price table written by year of trade, and read back."""
-    path = f"{A.scratch(spark, 'prices')}/table"
+    path = f"{scratch(spark, 'prices')}/table"
     layout.write_prices(A.prices(spark, sf), path)
     return spark.read.schema(StructType([*PRICES.fields, StructField("trade_year", IntegerType())])).parquet(path)
 
@@ -378,7 +378,7 @@ def write_prices(spark: SparkSession, sf: str) -> DataFrame:
 @query(_PRICES + "select * from prices where symbol = 'U5'")
 def read_symbol(spark: SparkSession, sf: str) -> DataFrame:
     """One symbol's rows from the whole table as it is written, of which few files are opened."""
-    path = f"{A.scratch(spark, 'prices')}/table"
+    path = f"{scratch(spark, 'prices')}/table"
     layout.write_prices(A.prices(spark, sf), path)
     return layout.read_symbol(spark, path, "u5")
 
@@ -397,7 +397,7 @@ def read_symbol(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_price_imports(spark: SparkSession, sf: str) -> DataFrame:
     """Prices in a table, a file of later ones for each symbol, imported as they arrive, and the table that comes of it."""
-    all_, folder = A.prices(spark, sf), A.scratch(spark, "stream")
+    all_, folder = A.prices(spark, sf), scratch(spark, "stream")
     table = f"{folder}/table"
     jobs.start_table(all_.where("notes <> 'view'"), table)
     day = F.date_format("tradeDate", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
@@ -828,7 +828,7 @@ def search_prices_everywhere(spark: SparkSession, sf: str) -> DataFrame:
 @query(_PRICES + "select * from prices where contains(lower(\"companyName\"), '00012') or contains(lower(symbol), '00012') or contains(lower(notes), '00012')")
 def search_indexed(spark: SparkSession, sf: str) -> DataFrame:
     """The search of the whole table by an index of trigrams."""
-    path = f"{A.scratch(spark, 'trigrams')}/index"
+    path = f"{scratch(spark, 'trigrams')}/index"
     names = ("companyName", "symbol", "notes")
     search.write_index(A.prices(spark, sf), path, "_id", *names)
     return search.search_indexed(A.prices(spark, sf), path, "_id", " 00012", *names)
@@ -837,7 +837,7 @@ def search_indexed(spark: SparkSession, sf: str) -> DataFrame:
 @query(_PRICES + "select * from prices " + _NEWEST + " limit 6 offset 594")
 def stored_page(spark: SparkSession, sf: str) -> DataFrame:
     """Page 100 of the table, stored by ranges of its order."""
-    path, order = A.scratch(spark, "pages"), [F.desc(c) for c in prices.NEWEST]
+    path, order = scratch(spark, "pages"), [F.desc(c) for c in prices.NEWEST]
     layout.store_order(A.prices(spark, sf), order, path)
     return layout.stored_page(spark, path, order, 100, browse.RECORDS_PER_PAGE)[0]
 

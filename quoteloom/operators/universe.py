@@ -43,17 +43,18 @@ def universe_state(prices: DataFrame) -> DataFrame:
 
 def update_universe(state: DataFrame, changes: DataFrame, table: DataFrame) -> DataFrame:
     """The state after ``changes``: (kind, and the columns of prices), kind ``insert`` or ``delete``; an edit is a delete of the old row and an
-    insert of the new one.  ``table`` is read for those symbols alone whose known rows have all gone.
+    insert of the new one.  A row may change several times: what is inserted and deleted again cancels out, in any order.  ``table`` is
+    read for those symbols alone whose known rows have all gone.
 
     A new row that is older than ``edge`` only counts, since unknown ones may stand between."""
-    known = changes.where("symbol is not null")
     sign = F.when(F.col("kind") == "insert", 1).otherwise(-1)
-    counts = known.groupBy("symbol").agg(F.sum(sign).alias("change"))
-    gone = known.where("kind = 'delete'").select("_id").distinct()
+    known = changes.where("symbol is not null").groupBy("symbol", *_ROW).agg(F.sum(sign).alias("net")).where("net <> 0")
+    counts = known.groupBy("symbol").agg(F.sum("net").alias("change"))
+    gone = known.where("net < 0").select("_id").distinct()
     # of a symbol's deletes only those of kept rows matter, KEEP at most
     old = state.select("symbol", F.explode("newest").alias("r")).withColumn("_id", F.col("r._id"))
     left = old.join(gone, "_id", "left_anti").select("symbol", "r")
-    new = _top(known.where("kind = 'insert'").select("symbol", *_ROW)).select("symbol", _row().alias("r"))
+    new = _top(known.where("net > 0").select("symbol", *_ROW)).select("symbol", _row().alias("r"))
     edges = state.select("symbol", "edge")
     new = new.join(edges, "symbol", "left").where(F.col("edge").isNull() | (F.col("r") > F.col("edge"))).select("symbol", "r")
     listed = _listed(left.unionByName(new))

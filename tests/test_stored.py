@@ -65,6 +65,19 @@ def test_old_rows_are_counted_without_the_table(spark):
     assert {(r.symbol, r.recordCount, len(r.newest)) for r in after.collect()} == {("A", 21, 4), ("B", 1, 1)}
 
 
+def test_rows_that_change_several_times(spark):
+    """Edited twice, edited there and back, inserted and deleted, deleted and inserted elsewhere: only what is left counts."""
+    rows = [price(i, "A", i) for i in range(9)] + [price(20, "B", 5)]
+    state = universe.universe_state(frame(spark, rows))
+    moved, again = price(8, "A", 30, 7.0), price(8, "C", 31, 8.0)
+    short, other = price(40, "A", 99), price(7, "A", 50)
+    changes = [(rows[8], "delete"), (moved, "insert"), (moved, "delete"), (again, "insert"), (short, "insert"), (short, "delete"), (rows[7], "delete"), (other, "insert"), (other, "delete"), (rows[7], "insert"), (rows[9], "delete")]
+    table = frame(spark, [*rows[:8], again])
+    for order in (changes, changes[::-1]):
+        df = spark.createDataFrame([(*row, kind) for row, kind in order], StructType([*PRICES.fields, StructField("kind", StringType())]))
+        assert plain(universe.universe_of(universe.update_universe(state, df, table))) == plain(stock_universe(table))
+
+
 @pytest.mark.parametrize("companies", [3, 20_000])
 def test_sketches_of_years(spark, companies):
     rows = spark.range(60_000).select(

@@ -71,17 +71,21 @@ def settle(claims: DataFrame, owners: DataFrame) -> DataFrame:
     state = active.join(contested, "key", "left").select("seq", "row", "key", F.coalesce("contested", F.lit(False)).alias("contested"), F.lit(True).alias("ok"))
     state = save(state, "claims")
     cuts = spans(state, "seq")
-    while True:
-        judged = save(_round(state, cuts), "claims")
-        if judged.where("ok <> was").isEmpty():
-            break
-        state = judged.drop("was")
+    judged = save(_round(state.withColumn("again", F.col("contested")), cuts), "claims")
+    while not judged.where("ok <> was").isEmpty():
+        # what is said of a key rests on all claims of the rows that claim it: only keys of rows that changed are judged again
+        changed = judged.where("ok <> was").select("row").distinct()
+        keys = save(judged.where("contested").join(changed, "row", "left_semi").select("key").distinct().withColumn("again", F.lit(True)), "again")
+        rows = save(judged.join(keys, "key", "left_semi").select("row").distinct(), "rows")
+        part = judged.drop("was").join(rows, "row", "left_semi").join(keys, "key", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+        settled = judged.join(rows, "row", "left_anti").withColumn("was", F.col("ok"))
+        judged = save(settled.unionByName(_round(part, cuts)), "claims")
     refused = judged.where(~F.col("ok") & (F.col("seq") > START)).select("seq", F.lit(False).alias("accepted"))
     return claims.join(refused, "seq", "left").select("seq", F.coalesce("accepted", F.lit(True)).alias("accepted"))
 
 
 def _round(state: DataFrame, cuts: list) -> DataFrame:
-    """state (seq, row, key, contested, ok) with ``ok`` as it follows from what it was, and ``was``."""
+    """state (seq, row, key, contested, ok, again) with ``ok`` of the keys to be judged ``again`` as it follows from what it was, and ``was``."""
     ok = F.col("ok")
     rows = nearest(state, "row", "seq", F.when(ok, F.col("key")), "had", cuts)
     moved = ok & (F.col("had").isNull() | (F.col("had") != F.col("key")))
@@ -89,9 +93,9 @@ def _round(state: DataFrame, cuts: list) -> DataFrame:
     rows = nearest(rows, "row", "seq", F.when(ok, F.struct("seq", "key", "leave")), "then", cuts, after=True)
     # when the row would give the key up, if this claim were accepted
     until = F.when(F.col("then.key") != F.col("key"), F.col("then.seq")).otherwise(F.col("then.leave"))
-    rows = save(rows.select("seq", "row", "key", "contested", "ok", until.alias("until")), "until")
+    rows = save(rows.select("seq", "row", "key", "contested", "again", "ok", until.alias("until")), "until")
 
-    nodes = rows.where("contested")
+    nodes = rows.where("again")
     asks = nodes.where("until is not null").select("key", F.col("until").alias("at"), F.col("seq").alias("of"), F.lit(None).cast("long").alias("claim"))
     both = asks.unionByName(nodes.select("key", F.col("seq").alias("at"), F.lit(None).cast("long").alias("of"), F.col("seq").alias("claim")))
     pointers = nearest(both, "key", "at", F.col("claim"), "next", cuts, after=True).where("of is not null").select("key", F.col("of").alias("seq"), "next")
@@ -100,5 +104,5 @@ def _round(state: DataFrame, cuts: list) -> DataFrame:
     nodes = nearest(nodes.join(marked, ["key", "seq"], "left"), "key", "seq", F.when(F.col("taken"), F.struct("row", "until")), "holder", cuts)
     own = (F.col("holder.row") == F.col("row")) & (F.col("holder.until").isNull() | (F.col("seq") < F.col("holder.until")))
     now = F.coalesce("taken", own, F.lit(False)) | (F.col("seq") == START)
-    free = rows.where(~F.col("contested")).select("seq", "row", "key", "contested", F.lit(True).alias("ok"), F.col("ok").alias("was"))
+    free = rows.where(~F.col("again")).select("seq", "row", "key", "contested", "ok", F.col("ok").alias("was"))
     return nodes.select("seq", "row", "key", "contested", now.alias("ok"), F.col("ok").alias("was")).unionByName(free)

@@ -4,9 +4,11 @@ import random
 
 import pytest
 
-from quoteloom.operators import chains
+from quoteloom.adapters import as_of
+from quoteloom.operators import accounts, chains, prices
+from quoteloom.schemas import PRICES, USERS
 
-from .test_ordered import CASES, one_by_one, settled
+from .test_ordered import CASES, EDIT, NOW, edit, one_by_one, price, settled
 
 
 def test_rounds_do_not_grow_with_waiting(spark, monkeypatch):
@@ -46,3 +48,21 @@ def test_groups_of_long_chains(spark):
     found = {r.row: r.group for r in chains.linked(spark.createDataFrame(links, "row string, no long")).collect()}
     assert len(found) == 601 and len(set(found.values())) == 3
     assert all(len({g for row, g in found.items() if row[0] == c}) == 1 for c in "abc")
+
+
+def test_replays_settle_in_one_pass(spark, monkeypatch):
+    """Statuses of a batch of price edits and one of user edits, on few keys, against a plain loop; no round of joins is needed."""
+    names, save = [], chains.save
+    monkeypatch.setattr(chains, "save", lambda df, name: names.append(name) or save(df, name))
+    r, rows = random.Random(5), [f"{i:02d}" for i in range(30)]
+    asked = [(s, r.choice([*rows, "none"]), f"K{r.randrange(60) // 2 * 2:02d}") for s in range(200)]
+    want = one_by_one([x for x in asked if x[1] != "none"], [(i, f"K{i}") for i in rows])[0]
+    want = sorted((s, 404 if row == "none" else 409) for s, row, _ in asked if not want.get(s, False))
+    table = spark.createDataFrame([price(i, f"K{i}") for i in rows], PRICES)
+    rejects = prices.replay_price_edits(table, spark.createDataFrame([edit(s, row, key) for s, row, key in asked], EDIT), as_of())[1]
+    assert sorted((x.edit_seq, x.status) for x in rejects.collect()) == want
+    users = spark.createDataFrame([(i, "Name", f"k{i}@mail.test", "user", None, NOW, NOW) for i in rows], USERS)
+    edits = spark.createDataFrame([(s, row, "New", f"{key}@mail.test", "user") for s, row, key in asked], "seq long, _id string, name string, email string, role string")
+    rejects = accounts.replay_user_edits(users, edits, as_of())[1]
+    assert sorted((x.seq, x.status) for x in rejects.collect()) == want
+    assert "until" not in names
